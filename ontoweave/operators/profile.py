@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kinds
+from ..functions.local import local_frame
 from ..functions.hashing import compact, row_hash
 from ..functions.text import canonical, field, is_blank, is_sensitive, plain, unless_blank
 
@@ -71,12 +72,7 @@ def _facts(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """Definition-sized rows (columns, types, links) as one local DataFrame."""
-    spark = df.sparkSession
-    parsed = T._parse_datatype_string(schema)
-    if not rows:
-        return spark.createDataFrame([], parsed)
-    return spark.createDataFrame(rows, parsed).coalesce(1)
+    return local_frame(df.sparkSession, rows, schema)
 
 
 def profile_columns(df: DataFrame, only: list[str] | None = None) -> DataFrame:
@@ -151,30 +147,26 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame) -> DataFrame:
     """The whole dataset profile in one row: counts, duplicates, fingerprint, columns."""
-    measured = _measures(df)
-    facts = _facts(df)
-    columns = (
-        facts.join(F.broadcast(measured), "position", "left")
+    rows = small(df, [(ROW, None, None, False)], "position int, name string, type string, sensitive boolean")
+    measured = (
+        _facts(df)
+        .unionByName(rows)
+        .join(F.broadcast(_measures(df)), "position", "left")
         .na.fill(0, ["rows", "nulls", "distinct"])
         .withColumn("primary_key", key_flag(F.col("rows"), F.col("nulls"), F.col("distinct")))
     )
-    # A few rows (one per column), so one array; sorted by position.
-    listed = columns.agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    "position", "name", "type", "rows", "nulls", "distinct", "sensitive", "primary_key"
-                )
-            )
-        ).alias("columns")
+    whole = F.col("position") == ROW
+    column = F.struct(
+        "position", "name", "type", "rows", "nulls", "distinct", "sensitive", "primary_key"
     )
-    row = measured.where(F.col("position") == ROW).agg(
-        F.coalesce(F.max("rows"), F.lit(0)).alias("rows"),
-        F.coalesce(F.max(F.col("rows") - F.col("distinct")), F.lit(0)).alias("duplicate_rows"),
+    # One row per column goes in, so the array is as long as the schema.
+    return measured.agg(
+        F.max(F.when(whole, F.col("rows"))).alias("rows"),
+        F.max(F.when(whole, F.col("rows") - F.col("distinct"))).alias("duplicate_rows"),
         F.max("xor_hash").alias("x"),
         F.max("sum_hash").alias("s"),
-    )
-    return row.join(F.broadcast(listed)).select(
+        F.array_sort(F.collect_list(F.when(~whole, column))).alias("columns"),
+    ).select(
         "rows",
         "duplicate_rows",
         _fingerprint(df.schema, F.col("rows"), F.col("x"), F.col("s")).alias("fingerprint"),
