@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-TOPICS = ["preparing", "profiling", "sourcing", "measuring", "connecting", "publishing"]
+TOPICS = ["preparing", "profiling", "sourcing", "measuring", "connecting", "publishing", "operating"]
 
 for _topic in TOPICS:
     _module = importlib.import_module(f"workload.{_topic}")
