@@ -6,12 +6,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.text import field
 from ..operators.profile import sample_rows, small
 from ..operators.query import sql_over
+from ..operators.snapshots import Snapshots
+from .nodes import Node, build, source_ids
 
 
 @dataclass(frozen=True)
@@ -47,3 +49,13 @@ def preview(sources: Mapping[str, DataFrame], output: DataFrame, rows: int = 5)
         for name, df in [*sources.items(), ("output", output)]
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def rerun(store: Snapshots, graph: Sequence[Node], output_id: str, name: str, version: str | None = None) -> Row:
+    """Run a graph again over the active versions of its datasets, and serve the result as
+    a new version of its output."""
+    ids = source_ids(graph)
+    result = build(graph, {i: store.active(i) for i in ids})
+    state = store.commit(output_id, name, result, version)
+    store.record_lineage(output_id, ids)
+    return state

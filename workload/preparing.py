@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from ontoweave.operators import profile, query
 from ontoweave.plans import nodes, runs
+from ontoweave.operators.snapshots import Snapshots
 from ontoweave.plans.nodes import Node
 
-from .data import table
+from .data import scratch, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -211,6 +212,24 @@ def node_preview(spark, sf_dir):
     return runs.preview(sources, nodes.build(GRAPH, sources))
 
 
+@register(
+    "node_rerun",
+    """
+SELECT c_mktsegment AS segment, round(sum(o_totalprice * 0.9), 2) AS revenue, count(*) AS orders
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 0 AND o_orderstatus = 'F' GROUP BY 1""",
+)
+def node_rerun(spark, sf_dir):
+    """The output's second version, after its input was refreshed."""
+    store = Snapshots(spark, scratch(spark))
+    orders = table(spark, sf_dir, "orders")
+    store.commit("orders", "Orders", orders, "v1")
+    store.commit("customer", "Customers", table(spark, sf_dir, "customer"), "v1")
+    runs.rerun(store, GRAPH, "revenue", "Revenue")
+    store.commit("orders", "Orders", orders.where("o_orderstatus = 'F'"), "v2")
+    runs.rerun(store, GRAPH, "revenue", "Revenue")
+    return store.active("revenue")
+
+
 # SQL over declared inputs.
 
 
