@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -10,8 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kinds
+from ..functions.names import plural
 from ..functions.text import field
+from .entities import MOST_TYPES
 from .query import query_frames
+from .suggest import Suggestion
 
 
 @dataclass(frozen=True)
@@ -86,8 +90,6 @@ DATED = [r"creat", r"date|start|sign.?up|joined"]
 
 def dated_column(tables: Mapping[str, DataFrame]) -> tuple[str, str] | None:
     """The first table and column that say when its records came to be."""
-    import re
-
     for pattern in DATED:
         for name, df in tables.items():
             for f in df.schema.fields:
@@ -112,6 +114,13 @@ def overview(tables: Mapping[str, DataFrame]) -> list[tuple[str, str, DataFrame]
     return out
 
 
+def overview_tables(s: Suggestion, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The record types of an ontology by their plural, the best linked first."""
+    links = lambda e: sum(e.id in (x.source, x.target) for x in s.links)
+    records = [e for e in s.entities if e.kind == "record" and e.anchor in tables]
+    return {plural(e.name): tables[e.anchor] for e in sorted(records, key=links, reverse=True)[:MOST_TYPES]}
+
+
 def save_analysis(dashboards: Sequence[Dashboard], name: str, title: str, sql: str, inputs: Sequence[str]) -> list[Dashboard]:
     """Keep an answered query as a table widget; a dashboard of that name is replaced."""
     saved = Dashboard(name, (Widget(title, "table", sql, tuple(inputs)),))

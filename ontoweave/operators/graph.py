@@ -38,14 +38,15 @@ def _edges_between(relations: DataFrame, kept: DataFrame) -> DataFrame:
 def top_graph(objects: DataFrame, relations: DataFrame, limit: int = 1500) -> tuple[DataFrame, DataFrame]:
     """The best-connected records and the relations among them."""
     degree = link_counts(existing(relations, objects))
-    nodes = (
-        objects.join(degree, "id", "left")
-        .withColumn("degree", F.coalesce("links", F.lit(0)))
-        .drop("links")
+    # Only ids are ranked; the records themselves join the few that are kept.
+    top = (
+        objects.select("id")
+        .join(degree, "id", "left")
+        .select("id", F.coalesce("links", F.lit(0)).alias("degree"))
         .orderBy(F.col("degree").desc(), "id")
         .limit(_bounded(limit))
     )
-    return nodes, _edges_between(relations, nodes)
+    return objects.join(F.broadcast(top), "id"), _edges_between(relations, top)
 
 
 def _next_to(relations: DataFrame, ids: DataFrame) -> DataFrame:

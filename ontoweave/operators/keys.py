@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kinds, names
 from ..functions.local import local_frame
-from .profile import profile_columns
+from .profile import key_counts
 
 # One row per column (or text field of a struct column) that may take part in a link.
 FACTS = (
@@ -55,11 +54,23 @@ def ordered(datasets: Iterable[Dataset]) -> list[Dataset]:
 
 def profiles(datasets: Sequence[Dataset]) -> dict[str, list[dict]]:
     """Column profiles by dataset id, from one job over all datasets. Only counts reach the
-    driver, one row per column."""
-    each = [profile_columns(d.df).withColumn("dataset", F.lit(d.id)) for d in datasets]
-    out: dict[str, list[dict]] = {d.id: [] for d in datasets}
-    for row in reduce(DataFrame.unionByName, each).orderBy("dataset", "position").collect():
-        out[row["dataset"]].append(row.asDict())
+    driver, one row per column.
+
+    Only columns that could be keys are counted; of the others rules read just the type.
+    """
+    wanted = {}
+    for d in datasets:
+        could = [f.name for f in d.df.schema.fields if kinds.is_key_type(f.dataType)]
+        wanted[d.id] = (d.df, could or d.df.columns[:1])
+    counted = key_counts(wanted)
+    rows = {i: c["rows"] for (i, _), c in counted.items()}
+    out: dict[str, list[dict]] = {}
+    for d in datasets:
+        out[d.id] = []
+        for position, f in enumerate(d.df.schema.fields):
+            about = {"position": position, "name": f.name, "type": kinds.sql_name(f.dataType)}
+            none = {"rows": rows[d.id], "nulls": 0, "distinct": 0, "primary_key": False}
+            out[d.id].append(counted.get((d.id, f.name), none) | about)
     return out
 
 

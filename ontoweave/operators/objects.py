@@ -6,6 +6,8 @@ and need no lookup of what was written before.
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -225,8 +227,6 @@ class Graph:
         df.drop("generation").write.mode("overwrite").parquet(path)
 
     def _point(self, generation: str, bundle: Bundle, current, actor: str) -> None:
-        import datetime as dt
-
         row = (
             (current["seq"] if current else 0) + 1,
             generation,
@@ -272,8 +272,6 @@ def record_label(type_name: Column, key: Column, values: Column, names: Sequence
     """A readable name: a person's, else a name or title, else the record's own email, else
     its type and a shortened key. ``values`` is a map; ``names`` its possible keys, in the
     order the type lists them."""
-    import re
-
     def filled(name: str) -> Column:
         value = F.try_element_at(values, F.lit(name))
         return F.when(value.isNotNull() & ~F.trim(value).isin(BLANKS), value)

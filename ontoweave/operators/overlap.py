@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.local import local_frame
 from ..functions.text import field
+from ..plans.cells import cells, counted, typed
 from .keys import same_stem
 
 EXACT, FOLDED = 0, 1
@@ -30,16 +31,19 @@ def value_index(tables: Mapping[str, DataFrame], columns: Sequence[Row]) -> Data
     """
     parts = []
     for dataset in dict.fromkeys(c["dataset"] for c in columns):
-        entries = []
+        df = tables[dataset]
+        held = {}
         for c in columns:
-            if c["dataset"] != dataset:
-                continue
-            value = field(c["column"])
-            value = value[c["field"]] if c["field"] else value
-            entries.append(F.struct(F.lit(c["i"]).alias("c"), value.cast("string").alias("v")))
-        parts.append(tables[dataset].select(F.inline(F.array(*entries))))
-    cells = reduce(DataFrame.unionByName, parts).where(F.trim("v") != "")
-    return cells.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+            if c["dataset"] == dataset:
+                value, kind = field(c["column"]), df.schema[c["column"]].dataType
+                if c["field"]:
+                    value, kind = value[c["field"]], kind[c["field"]].dataType
+                held[c["i"]] = typed(value, kind, shorten=False)
+        parts.append(cells(df, held))
+    # Numbers are counted as numbers; only distinct ones are printed.
+    text = F.coalesce("text", F.col("number").cast("string"))
+    index = counted(reduce(DataFrame.unionByName, parts))
+    return index.select(F.col("position").cast("int").alias("c"), text.alias("v"), "n").where(F.trim("v") != "")
 
 
 def _comparable(columns: Sequence[Row], declared: set[tuple[int, int]]) -> list[tuple[int, int, bool]]:

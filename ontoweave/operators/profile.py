@@ -10,65 +10,73 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kinds
+from ..functions.hashing import row_hash
 from ..functions.local import local_frame
-from ..functions.hashing import compact, row_hash
-from ..functions.text import canonical, field, is_blank, is_sensitive, plain, unless_blank
+from ..functions.text import canonical, field, is_sensitive, plain, unless_blank
+from ..plans.cells import cells, counted, is_null, typed
 
 ROW = -1
-
-
-def _cells(df: DataFrame, with_rows: bool, only: list[str] | None = None) -> DataFrame:
-    cells = []
-    for position, f in enumerate(df.schema.fields):
-        if only is not None and f.name not in only:
-            continue
-        value = canonical(field(f.name), f.dataType)
-        if isinstance(f.dataType, T.StringType) or kinds.is_nested(f.dataType):
-            value = compact(value)
-        cells.append(F.struct(F.lit(position).alias("position"), value.alias("value")))
-    if with_rows:
-        a, b = row_hash(df)
-        both = F.concat_ws(":", a.cast("string"), b.cast("string"))
-        cells.append(F.struct(F.lit(ROW).alias("position"), both.alias("value")))
-    return (
-        df.select(F.inline(F.array(*cells)))
-        .groupBy("position", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+FACTS = "position string, name string, type string, sensitive boolean"
+
+
+def _measures(counts: DataFrame) -> DataFrame:
+    """One row per column (and one for whole rows) from counted cells."""
+    is_row = F.col("position") == str(ROW)
+    times = F.col("number").cast("decimal(38,0)") * F.col("n").cast("decimal(19,0)")
+    return counts.groupBy("position").agg(
+        F.sum("n").alias("rows"),
+        F.coalesce(F.sum(F.when(is_null(), F.col("n"))), F.lit(0)).alias("nulls"),
+        F.count(F.when(~is_null(), 1)).alias("distinct"),
+        F.bit_xor(F.when(is_row & (F.col("n") % 2 == 1), F.col("number"))).alias("xor_hash"),
+        F.sum(F.when(is_row, times)).alias("sum_hash"),
     )
 
 
-def _measures(df: DataFrame, with_rows: bool = True, only: list[str] | None = None) -> DataFrame:
-    """One row per column (and one for whole rows) of counts over the melted cells."""
-    first = F.split("value", ":")[0].cast("long")
-    is_row = F.col("position") == ROW
-    return (
-        _cells(df, with_rows, only)
-        .groupBy("position")
-        .agg(
-            F.sum("n").alias("rows"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-            F.count("value").alias("distinct"),
-            F.bit_xor(F.when(is_row & (F.col("n") % 2 == 1), first)).alias("xor_hash"),
-            F.sum(
-                F.when(is_row, first.cast("decimal(38,0)") * F.col("n").cast("decimal(19,0)"))
-            ).alias("sum_hash"),
-        )
-    )
+def _cells(df: DataFrame, with_rows: bool, only: list[str] | None = None) -> DataFrame:
+    columns = {
+        position: typed(field(f.name), f.dataType)
+        for position, f in enumerate(df.schema.fields)
+        if only is None or f.name in only
+    }
+    return counted(cells(df, columns, {ROW: row_hash(df)} if with_rows else None))
+
+
+def key_counts(tables: Mapping[str, tuple[DataFrame, list[str]]]) -> dict[tuple[str, str], dict]:
+    """Rows, nulls and distinct values of some columns of several tables, by table and
+    column name. All cells meet in one shuffle; one row per column reaches the driver."""
+    names: dict[int, tuple[str, str]] = {}
+    parts = []
+    for table, (df, only) in tables.items():
+        columns = {}
+        for f in df.schema.fields:
+            if f.name in only:
+                columns[len(names)] = typed(field(f.name), f.dataType)
+                names[len(names)] = (table, f.name)
+        parts.append(cells(df, columns))
+    measured = _measures(counted(reduce(DataFrame.unionByName, parts)))
+    flag = key_flag(F.col("rows"), F.col("nulls"), F.col("distinct"))
+    found = {
+        names[int(r["position"])]: r.asDict()
+        for r in measured.select("position", "rows", "nulls", "distinct", flag.alias("primary_key")).collect()
+    }
+    empty = {"rows": 0, "nulls": 0, "distinct": 0, "primary_key": False}
+    return {name: found.get(name, empty) for name in names.values()}
 
 
 def _facts(df: DataFrame) -> DataFrame:
-    """Schema as a small DataFrame: position, name, type, sensitive."""
+    """Schema as a small DataFrame: position (as cells name it), name, type, sensitive."""
     rows = [
-        (i, f.name, kinds.sql_name(f.dataType), is_sensitive(f.name))
+        (str(i), f.name, kinds.sql_name(f.dataType), is_sensitive(f.name))
         for i, f in enumerate(df.schema.fields)
     ]
-    return small(df, rows, "position int, name string, type string, sensitive boolean")
+    return small(df, rows, FACTS)
 
 
 def small(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -80,10 +88,10 @@ def profile_columns(df: DataFrame, only: list[str] | None = None) -> DataFrame:
 
     Both sides have one row per column, so the join is a broadcast of a few rows.
     """
-    counts = F.broadcast(_measures(df, with_rows=False, only=only))
+    counts = F.broadcast(_measures(_cells(df, False, only)))
     facts = _facts(df) if only is None else _facts(df).where(F.col("name").isin(only))
     return facts.join(counts, "position", "left").select(
-        "position",
+        F.col("position").cast("int").alias("position"),
         "name",
         "type",
         F.coalesce("rows", F.lit(0)).alias("rows"),
@@ -147,17 +155,17 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame) -> DataFrame:
     """The whole dataset profile in one row: counts, duplicates, fingerprint, columns."""
-    rows = small(df, [(ROW, None, None, False)], "position int, name string, type string, sensitive boolean")
+    rows = small(df, [(str(ROW), None, None, False)], FACTS)
     measured = (
         _facts(df)
         .unionByName(rows)
-        .join(F.broadcast(_measures(df)), "position", "left")
+        .join(F.broadcast(_measures(_cells(df, True))), "position", "left")
         .na.fill(0, ["rows", "nulls", "distinct"])
         .withColumn("primary_key", key_flag(F.col("rows"), F.col("nulls"), F.col("distinct")))
     )
-    whole = F.col("position") == ROW
+    whole = F.col("position") == str(ROW)
     column = F.struct(
-        "position", "name", "type", "rows", "nulls", "distinct", "sensitive", "primary_key"
+        F.col("position").cast("int").alias("position"), "name", "type", "rows", "nulls", "distinct", "sensitive", "primary_key"
     )
     # One row per column goes in, so the array is as long as the schema.
     return measured.agg(
@@ -174,10 +182,6 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
-def sensitive_columns(df: DataFrame) -> DataFrame:
-    return _facts(df).select("name", "sensitive")
-
-
 def _orderable(df: DataFrame) -> list[Column]:
     """A total order over whole rows; maps and variants take part as text."""
     return [
@@ -199,6 +203,11 @@ def page(df: DataFrame, order_by: list[str], offset: int = 0, limit: int = 100)
     return df.orderBy(*ranked).offset(max(0, offset)).limit(max(0, min(limit, 1000)))
 
 
+def counted_page(df: DataFrame, order_by: list[str], offset: int = 0, limit: int = 100) -> tuple[DataFrame, int]:
+    """One page, and how many rows there are in all."""
+    return page(df, order_by, offset, limit), df.count()
+
+
 def examples(df: DataFrame, n: int = 3) -> DataFrame:
     """The first values of each column, as text, from the sample."""
     top = sample_rows(df, n)
@@ -324,7 +333,3 @@ def mask_sample(df: DataFrame, hide: bool = True) -> DataFrame:
             for f in df.schema.fields
         ]
     )
-
-
-def non_blank(df: DataFrame, column: str) -> DataFrame:
-    return df.where(~is_blank(field(column).cast("string")))

@@ -138,12 +138,14 @@ class Snapshots:
     def path(self, dataset_id: str, version: str) -> str:
         return f"{self.root}/data/{dataset_id}/{version}"
 
-    def _point(self, old: Row | None, **values) -> None:
+    def _point(self, old: Row | None, **values) -> Row:
         fields = T._parse_datatype_string(REGISTRY).names
-        row = (old.asDict() if old else {}) | values
-        row["seq"] = (old["seq"] if old else 0) + 1
-        row["synced_at"] = dt.datetime.now(dt.timezone.utc)
-        self._append("registry", [tuple(row.get(f) for f in fields)], REGISTRY)
+        known = (old.asDict() if old else {}) | values
+        known["seq"] = (old["seq"] if old else 0) + 1
+        known["synced_at"] = dt.datetime.now(dt.timezone.utc)
+        row = Row(*fields)(*[known.get(f) for f in fields])
+        self._append("registry", [tuple(row)], REGISTRY)
+        return row
 
     # Versions.
 
@@ -195,7 +197,7 @@ class Snapshots:
                 ],
                 FINDINGS,
             )
-        self._point(
+        return self._point(
             old,
             dataset_id=dataset_id,
             name=old["name"] if old else name,
@@ -206,7 +208,6 @@ class Snapshots:
             versions=[version, *(old["versions"] if old else [])],
             generation=generation or (old["generation"] if old else None),
         )
-        return self.state(dataset_id)
 
     def _columns(self, profile: Row) -> DataFrame:
         return local_frame(self.spark, profile["columns"], COLUMN[len("struct<") : -1])
@@ -216,8 +217,7 @@ class Snapshots:
         old = self.state(dataset_id)
         if old is None or not old["pending_version"]:
             raise ValueError("No pending version")
-        self._point(old, active_version=old["pending_version"], pending_version=None)
-        return self.state(dataset_id)
+        return self._point(old, active_version=old["pending_version"], pending_version=None)
 
     def active(self, dataset_id: str, generation: str | None = None) -> DataFrame:
         """The served rows; a derived dataset is visible only in its own generation."""

@@ -101,8 +101,12 @@ def join(left: DataFrame, right: DataFrame, config: Mapping) -> DataFrame:
     condition = _required(config, "on", str)
     how = "LEFT" if config.get("joinType") == "left" else "INNER"
     chosen = config.get("select") or "a.*, b.*"
-    text = f"SELECT {chosen} FROM __left a {how} JOIN __right b ON {condition}"
-    joined = _with_views(left, {"__left": left, "__right": right}, text)
+    plain = lambda text: text.replace("{", "{{").replace("}", "}}")
+    joined = left.sparkSession.sql(
+        f"SELECT {plain(chosen)} FROM {{left}} a {how} JOIN {{right}} b ON {plain(condition)}",
+        left=left,
+        right=right,
+    )
     return joined.toDF(*distinct_names(joined.columns))
 
 
@@ -115,18 +119,6 @@ def aggregate(df: DataFrame, config: Mapping) -> DataFrame:
     )
 
 
-def _with_views(df: DataFrame, views: Mapping[str, DataFrame], text: str) -> DataFrame:
-    """Run text over a few DataFrames as one-off views of their own session."""
-    spark = df.sparkSession
-    for name, view in views.items():
-        view.createOrReplaceTempView(name)
-    try:
-        return spark.sql(text)
-    finally:
-        for name in views:
-            spark.catalog.dropTempView(name)
-
-
 ONE_INPUT: dict[str, Callable[[DataFrame, Mapping], DataFrame]] = {
     "select": select,
     "rename": rename,

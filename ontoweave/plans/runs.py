@@ -37,11 +37,15 @@ def run_checks(output: DataFrame, sources: Mapping[str, DataFrame], checks: Sequ
 
 def rejected_rows(source: DataFrame, output: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     """Source rows whose key no output row has; a caller showing a few sets a limit."""
-    kept = output.select(field(key)).distinct()
-    missing = source.join(kept, key, "left_anti").select(*source.columns)
+    missing = source.join(output.select(field(key)), key, "left_anti").select(*source.columns)
     return missing if limit is None else sample_rows(missing, limit)
 
 
+def kept_key(facts: Mapping[str, dict], output: DataFrame) -> str | None:
+    """The source's first key that the output still has, to tell rejected rows by."""
+    return next((c for c, f in facts.items() if f["primary_key"] and c in output.columns), None)
+
+
 def preview(sources: Mapping[str, DataFrame], output: DataFrame, rows: int = 5) -> DataFrame:
     """The first rows of every input and of the output, each row as JSON."""
     parts = [

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kinds
+from ..functions.local import local_frame
 
 # File kinds a folder listing offers for import.
 LISTED = r"(?i)\.(csv|json|jsonl|parquet)$"
@@ -74,12 +75,17 @@ def scan_or_empty(spark: SparkSession, path: str, format: str, columns: Sequence
 
 
 def land_rows(spark: SparkSession, rows: Iterable[Mapping], path: str) -> DataFrame:
-    """Write objects as JSON lines, so that they are inferred like any other import."""
+    """Land the objects of one request, so that they are inferred like any other import."""
     lines = [(json.dumps(r, ensure_ascii=False, default=str),) for r in rows]
     if not lines:
         raise ValueError("Provide at least one row")
-    spark.createDataFrame(lines, "value string").write.mode("overwrite").text(path)
-    return spark.read.json(path)
+    return land_json(local_frame(spark, lines, "value string"), path)
+
+
+def land_json(lines: DataFrame, path: str) -> DataFrame:
+    """Write JSON text, one object per row, and read it with inference."""
+    lines.write.mode("overwrite").text(path)
+    return lines.sparkSession.read.json(path)
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

@@ -26,8 +26,8 @@ REFRESH_MINUTES = {"posthog": 360, "stripe": 60, "workos": 60}
 DEFAULT_MINUTES = 5
 
 EVENT = "source string, tx string, lsn bigint, tag string"
-COUNTERS = "source string, changes bigint, cursor bigint, batch bigint"
-OPEN = "source string, tx string, changed boolean, lsn bigint, batch bigint"
+COUNTERS = "source string, changes bigint, cursor bigint"
+OPEN = "source string, tx string, changed boolean, lsn bigint"
 APPLIED = "source string, applied bigint"
 
 
@@ -40,11 +40,10 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return local_frame(spark, [], schema)
 
 
-def _before(spark: SparkSession, path: str, schema: str, batch: int) -> DataFrame:
-    """The state as the last batch before this one left it."""
-    table = _read(spark, path, schema).where(F.col("batch") < batch)
-    last = table.agg(F.max("batch").alias("b")).first()["b"]
-    return table.where(F.col("batch") == (-1 if last is None else last)).drop("batch")
+def _left_by(spark: SparkSession, path: str, schema: str, batch: int) -> DataFrame:
+    """The state as one batch left it; nothing before the first. Batches are numbered one
+    after another, so this reads one folder however long the stream has run."""
+    return _read(spark, f"{path}/batch={batch}", schema)
 
 
 def advance(
@@ -89,8 +88,8 @@ def count_changes(stream: DataFrame, state_path: str, once: bool = True):
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        counters = _before(spark, f"{state_path}/counters", COUNTERS, batch_id)
-        open_txs = _before(spark, f"{state_path}/open", OPEN, batch_id)
+        counters = _left_by(spark, f"{state_path}/counters", COUNTERS, batch_id - 1)
+        open_txs = _left_by(spark, f"{state_path}/open", OPEN, batch_id - 1)
         counted, still_open = advance(counters, open_txs, batch)
         # The counters come last: a batch without them is not done.
         still_open.write.mode("overwrite").parquet(f"{state_path}/open/batch={batch_id}")
@@ -109,7 +108,9 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int | None = No
 
 def counters(spark: SparkSession, state_path: str) -> DataFrame:
     """Changes and cursor per source, as of the last finished batch."""
-    return _before(spark, f"{state_path}/counters", COUNTERS, 2**62)
+    table = _read(spark, f"{state_path}/counters", f"{COUNTERS}, batch bigint")
+    last = table.agg(F.max("batch").alias("batch")).first()["batch"]
+    return table.where(F.col("batch") == (-1 if last is None else last)).drop("batch")
 
 
 def applied(spark: SparkSession, state_path: str) -> DataFrame:

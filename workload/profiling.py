@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ontoweave.functions.text import SENSITIVE, redact
 from ontoweave.operators import profile
 
-from .data import BUSINESS, business, table, with_business
+from .data import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -88,14 +88,15 @@ def sensitive_columns(spark, sf_dir):
     named = table(spark, sf_dir, "customer").withColumnsRenamed(
         {"c_name": "Contact_Email", "c_acctbal": "credit_limit"}
     )
-    return profile.sensitive_columns(named)
+    return profile.profile_columns(named).select("name", "sensitive", "distinct")
 
 
 QUERIES["sensitive_columns"] = sensitive_columns
 ORACLES["sensitive_columns"] = f"""
-SELECT name, regexp_matches(name, '(?i){SENSITIVE}') AS sensitive
-FROM (VALUES ('c_custkey'), ('Contact_Email'), ('c_nationkey'), ('credit_limit'), ('c_mktsegment')) v(name)
-WHERE (SELECT count(*) FROM customer) > 0"""
+SELECT name, regexp_matches(name, '(?i){SENSITIVE}') AS sensitive, n AS "distinct" FROM (
+SELECT 'c_custkey' AS name, count(DISTINCT c_custkey) AS n FROM customer UNION ALL SELECT 'Contact_Email', count(DISTINCT c_name) FROM customer
+UNION ALL SELECT 'c_nationkey', count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'credit_limit', count(DISTINCT c_acctbal) FROM customer
+UNION ALL SELECT 'c_mktsegment', count(DISTINCT c_mktsegment) FROM customer)"""
 
 QUERIES["profile_sample"] = lambda spark, d: profile.sample_rows(table(spark, d, "events"), 50)
 ORACLES["profile_sample"] = "SELECT * FROM events ORDER BY ALL LIMIT 50"

@@ -54,12 +54,12 @@ def empty_schema(spark, sf_dir):
     return files.scan_or_empty(spark, path, "jsonl", columns)
 
 
-@register("ingest_rows", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+@register("ingest_rows", "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier")
 def ingest_rows(spark, sf_dir):
-    rows = [r.asDict() for r in table(spark, sf_dir, "region").limit(10_000).collect()]
+    rows = table(spark, sf_dir, "supplier").select(F.to_json(F.struct("*")).alias("value"))
     store = Snapshots(spark, scratch(spark))
-    store.commit("regions", "Regions", files.land_rows(spark, rows, f"{store.root}/incoming"))
-    return store.active("regions")
+    store.commit("suppliers", "Suppliers", files.land_json(rows, f"{store.root}/incoming"))
+    return store.active("suppliers")
 
 
 @register("list_files")
