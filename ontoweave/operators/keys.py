@@ -184,13 +184,17 @@ def declared_keys(datasets: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def key_columns(facts: DataFrame, declared: DataFrame | None = None) -> DataFrame:
-    """Columns whose values may link datasets: named like a key or after another dataset,
-    text fields with key names inside a struct, and declared columns."""
+def flag_columns(facts: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """Column facts with what each column is: the own key, an alternate key, unique, and
+    ``links``: whether its values may link datasets.
+
+    Linking columns are named like a key or after another dataset, are text fields with key
+    names inside a struct, or are declared.
+    """
     own = own_keys(facts)
     alternate = alternate_keys(facts, own).withColumn("alt", F.lit(True))
     plain = F.col("field").isNull()
-    wanted = F.when(
+    named = F.when(
         plain, F.col("key_type") & (F.col("key_name") | F.col("refers")) & (F.col("distinct") >= 2)
     ).otherwise(F.col("key_name"))
     flagged = (
@@ -202,20 +206,26 @@ def key_columns(facts: DataFrame, declared: DataFrame | None = None) -> DataFram
         .drop("key")
     )
     if declared is None:
-        return flagged.where(wanted)
+        return flagged.withColumn("links", named)
     ends = (
         declared.select(F.col("from_dataset").alias("dataset"), F.col("from_column").alias("name"))
         .unionByName(declared.select(F.col("to_dataset").alias("dataset"), F.col("to_column").alias("name")))
         .distinct()
-        .withColumn("in_declared", F.lit(True))
+        .withColumn("stated", F.lit(True))
     )
+    stated = plain & F.col("key_type") & F.coalesce("stated", F.lit(False))
     return (
         flagged.join(F.broadcast(ends), ["dataset", "name"], "left")
-        .where(wanted | (plain & F.col("key_type") & F.coalesce("in_declared", F.lit(False))))
-        .drop("in_declared")
+        .withColumn("links", named | stated)
+        .drop("stated")
     )
 
 
+def key_columns(facts: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """The columns whose values may link datasets."""
+    return flag_columns(facts, declared).where("links")
+
+
 def same_stem(a: Column, b: Column) -> Column:
     shortened = (F.least(F.length(a), F.length(b)) >= 3) & (a.startswith(b) | b.startswith(a))
     return (a == b) | shortened

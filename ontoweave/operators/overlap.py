@@ -138,6 +138,18 @@ def key_overlap(
 
 # Edges. From here on rows are pairs of key columns.
 
+OVERLAP = (
+    "a int, b int, declared boolean, m_exact bigint, m_ci bigint, a_rows_exact bigint, a_rows_ci bigint, "
+    "a_distinct bigint, a_distinct_ci bigint, a_rows bigint"
+)
+
+
+def settled(overlap: DataFrame) -> DataFrame:
+    """The overlap counted once, as local rows (at most one per pair of key columns), for
+    rules that read it several times."""
+    names = [part.split()[0] for part in OVERLAP.split(", ")]
+    return local_frame(overlap.sparkSession, overlap.select(*names).collect(), OVERLAP)
+
 
 def _sides(overlap: DataFrame, columns: DataFrame) -> DataFrame:
     kept = [c for c in columns.columns if c != "i"]

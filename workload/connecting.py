@@ -178,7 +178,7 @@ def link_candidates(spark, sf_dir):
 @register("edge_classes")
 def edge_classes(spark, sf_dir):
     shared, columns = _overlap(spark, sf_dir)
-    edges = overlap.classify_edges(overlap.link_candidates(shared, columns))
+    edges = overlap.classify_edges(overlap.link_candidates(overlap.settled(shared), columns))
     return overlap.edge_rows(overlap.serial_guard(edges))
 
 

@@ -101,15 +101,14 @@ OPERATIONS_SOURCE = {
 
 
 def operations(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    from ontoweave.operators.query import sql_over
-
     configure(spark)
-    out = []
-    for name in names:
-        source = OPERATIONS_SOURCE[name]
-        text = OPERATIONS[name].replace("VARCHAR", "STRING")
-        out.append(sql_over({source: table(spark, sf_dir, source)}, text))
-    return out
+    return [derived(spark, sf_dir, OPERATIONS_SOURCE[name], OPERATIONS[name]) for name in names]
+
+
+def derived(spark: SparkSession, sf_dir: str, source: str, text: str) -> DataFrame:
+    """A SELECT over one given table, in the text both engines read."""
+    spoken = text.replace("VARCHAR", "STRING").replace(f" FROM {source}", " FROM {source}")
+    return spark.sql(spoken, source=table(spark, sf_dir, source))
 
 
 def with_operations(sql: str, *names: str) -> str:
@@ -128,15 +127,9 @@ def scratch(spark: SparkSession) -> str:
 
 def business(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     """The business datasets by name, from the same text the oracle reads."""
-    from ontoweave.operators.query import sql_over
-
     configure(spark)
-    out = {}
-    for name in names or list(BUSINESS):
-        text = BUSINESS[name][1].replace("VARCHAR", "STRING")
-        source = text.split(" FROM ")[1].split()[0]
-        out[name] = sql_over({source: table(spark, sf_dir, source)}, text)
-    return out
+    texts = {name: BUSINESS[name][1] for name in names or BUSINESS}
+    return {n: derived(spark, sf_dir, text.split(" FROM ")[1].split()[0], text) for n, text in texts.items()}
 
 
 def with_business(sql: str, names: list[str] | None = None) -> str:
