@@ -219,29 +219,25 @@ def unsourced_connections(datasets: DataFrame, uploads: DataFrame) -> DataFrame:
     """Sample sets and files, which have no source: one connection for each sample set and
     one for all files. ``datasets(id, source_id, sample_source, updated_at)``."""
     last = uploads.agg(
-        F.max_by("status", F.struct("updated_at", "id")).alias("upload_status"),
-        F.max_by("error", F.struct("updated_at", "id")).alias("upload_error"),
-        F.coalesce(F.max(busy(F.col("status"))), F.lit(False)).alias("uploading"),
-    ).withColumn("files", F.lit(True))
+        F.max_by("status", F.struct("updated_at", "id")).alias("status"),
+        F.max_by("error", F.struct("updated_at", "id")).alias("error"),
+        F.coalesce(F.max(busy(F.col("status"))), F.lit(False)).alias("busy"),
+    ).first()
+    files = "syncing" if last["busy"] else "failed" if last["status"] == "failed" else "healthy"
     sample = F.col("sample_source").isNotNull()
     grouped = (
         datasets.where(F.col("source_id").isNull())
         .groupBy(F.coalesce("sample_source", F.lit("upload")).alias("connector"), sample.alias("sample"))
         .agg(F.count(F.lit(1)).alias("datasets"), F.max("updated_at").alias("last_sync_at"))
-        .withColumn("files", ~F.col("sample"))
     )
-    # One row of upload facts meets at most one row.
-    return grouped.join(F.broadcast(last), "files", "left").select(
+    return grouped.select(
         F.when(F.col("sample"), F.concat(F.lit("sample:"), "connector")).otherwise(F.lit("files")).alias("id"),
         F.when(F.col("sample"), F.col("connector")).otherwise(F.lit("Files and API")).alias("name"),
         "connector",
-        F.when(F.col("uploading"), "syncing")
-        .when(F.col("upload_status") == "failed", "failed")
-        .otherwise("healthy")
-        .alias("status"),
+        F.when(F.col("sample"), "healthy").otherwise(files).alias("status"),
         "datasets",
         "last_sync_at",
-        F.col("upload_error").alias("error"),
+        F.when(~F.col("sample"), F.lit(last["error"])).alias("error"),
     )
 
 

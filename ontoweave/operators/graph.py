@@ -38,8 +38,9 @@ def _edges_between(relations: DataFrame, kept: DataFrame) -> DataFrame:
 def top_graph(objects: DataFrame, relations: DataFrame, limit: int = 1500) -> tuple[DataFrame, DataFrame]:
     """The best-connected records and the relations among them."""
     degree = link_counts(existing(relations, objects))
-    # Only ids are ranked; the records themselves join the few that are kept.
-    top = (
+    # Only ids are ranked; the records themselves join the few that are kept. The nodes and
+    # both ends of the edges read the ranking, so it is settled once.
+    top = cut(
         objects.select("id")
         .join(degree, "id", "left")
         .select("id", F.coalesce("links", F.lit(0)).alias("degree"))

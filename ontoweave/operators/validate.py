@@ -63,23 +63,22 @@ def relationship_coverage(
 ) -> DataFrame:
     """Distinct source keys, those with a match, and joined pairs, in one row.
 
-    Both sides are counted per join value first and only counts meet, so a value that a
-    third of the rows share is a single row of the join and pairs are never formed.
+    The target is counted per join value first, so each source row meets at most one count
+    and pairs are never formed. A value that many source rows share is a skewed join with a
+    single row on the other side, which AQE splits.
     """
     right = (
         target.groupBy(field(to_column).alias("v"))
         .agg(F.count(field(target_key)).alias("pairs"))
         .where(F.col("v").isNotNull())
     )
-    left = source.groupBy(field(source_key).alias("k"), field(from_column).alias("v")).agg(
-        F.count(F.lit(1)).alias("rows")
-    )
+    left = source.select(field(source_key).alias("k"), field(from_column).alias("v"))
     per_key = (
         left.join(right, "v", "left")
         .groupBy("k")
         .agg(
             F.max(F.coalesce("pairs", F.lit(0)) > 0).alias("matched"),
-            F.sum(F.col("rows") * F.coalesce("pairs", F.lit(0))).alias("pairs"),
+            F.sum("pairs").alias("pairs"),
         )
     )
     return per_key.agg(

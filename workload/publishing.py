@@ -233,10 +233,9 @@ def publish_generation(spark, sf_dir):
     generation = store.publish(
         BUNDLE, _tables(spark, sf_dir), expected_hash=objects.bundle_hash(BUNDLE), recorded=versions, versions=versions, generation="g1"
     )
-    counts = store.objects().agg(F.count(F.lit(1)).alias("objects")).withColumn("generation", F.lit(generation))
-    links = store.relations().agg(F.count(F.lit(1)).alias("relations")).withColumn("generation", F.lit(generation))
+    counts = objects.publication_counts(store.objects(), store.relations(), BUNDLE, {}, generation)
     previous = F.lit(store.pointer()["previous"]).cast("string").alias("previous")
-    return counts.join(links, "generation").select("generation", "objects", "relations", previous)
+    return counts.select(F.lit(generation).alias("generation"), F.col("records").alias("objects"), "relations", previous)
 
 
 @register(
