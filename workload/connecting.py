@@ -175,14 +175,51 @@ def link_candidates(spark, sf_dir):
     return _named(overlap.link_candidates(shared, columns), columns).select(*SHOWN, "shared", "matched")
 
 
-@register("edge_classes")
+SYSTEM = "CASE WHEN {0} = 'contacts' THEN 'crm' ELSE 'app' END"
+
+
+@register(
+    "edge_classes",
+    ORACLES["link_candidates"].rsplit("\nSELECT ", 1)[0]
+    + f"""
+, kept AS (SELECT *, CASE WHEN fold THEN m_ci ELSE m_exact END AS same, CASE WHEN fold THEN a_rows_ci ELSE a_rows_exact END AS matched,
+  CASE WHEN fold THEN a_distinct_ci ELSE a_distinct END AS dist, a_distinct = a_rows AS a_unique,
+  {SYSTEM.format("from_dataset")} <> {SYSTEM.format("to_dataset")} AS across FROM facts
+  WHERE (b_own OR b_alt) AND NOT (b_alt AND a_own) AND (NOT ints OR sa = sb)),
+classed AS (SELECT *, a_unique AND across AND (m_exact / a_distinct >= 0.8 OR a_rows_exact / a_rows >= 0.9) AS identity,
+  from_column = to_column AS same_name FROM kept WHERE same / dist >= 0.8 OR matched / a_rows >= 0.9)
+SELECT {", ".join(SHOWN)}, identity, false AS extension, CASE WHEN same_name THEN 'name' ELSE 'values' END AS evidence,
+  m_exact AS exact, matched, a_rows AS total, CASE WHEN fold THEN a_rows_ci - a_rows_exact ELSE 0 END AS case_rows
+FROM classed WHERE identity OR NOT (a_own OR (from_dataset, from_column) IN (SELECT dataset, name FROM alt))""",
+)
 def edge_classes(spark, sf_dir):
     shared, columns = _overlap(spark, sf_dir)
     edges = overlap.classify_edges(overlap.link_candidates(overlap.settled(shared), columns))
-    return overlap.edge_rows(overlap.serial_guard(edges))
+    flat = overlap.edge_rows(overlap.serial_guard(edges))
+    return flat.select(*SHOWN, "identity", "extension", "evidence", "exact", "matched", "total", "case_rows")
+
+
+def declared_sql(source: str, column: str, target: str, key: str) -> str:
+    return (
+        f"SELECT '{source}' AS from_dataset, '{column}' AS from_column, '{target}' AS to_dataset, '{key}' AS to_column, "
+        f"count(DISTINCT {column}) AS m_exact, count(*) AS a_rows_exact FROM b_{source} WHERE {column} IN (SELECT {key} FROM b_{target})"
+    )
 
 
-@register("declared_keys")
+@register(
+    "declared_keys",
+    with_business(
+        " UNION ALL ".join(
+            declared_sql(*pair)
+            for pair in [
+                ("order_lines", "line_number", "orders", "order_id"),
+                ("orders", "customer_id", "customers", "customer_id"),
+                ("customers", "country_id", "countries", "country_id"),
+            ]
+        ),
+        ["customers", "countries", "orders", "order_lines"],
+    ),
+)
 def declared_keys(spark, sf_dir):
     """Foreign keys as a database's catalog names them, found by the overlap of their
     columns whatever the names say."""

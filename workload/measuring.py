@@ -127,7 +127,13 @@ def metric_picks(spark, sf_dir):
     )
 
 
-@register("metric_refresh")
+@register(
+    "metric_refresh",
+    """
+SELECT 'orders' AS metric_id, 'orders' AS dataset_id, 'v2' AS version, CAST(NULL AS VARCHAR) AS label, CAST(count(*) AS DOUBLE) AS value,
+  CAST(NULL AS DOUBLE) AS previous, true AS ran_again FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'segments', 'customers', 'v1', c_mktsegment, count(*), NULL, false FROM customer GROUP BY c_mktsegment""",
+)
 def metric_refresh(spark, sf_dir):
     """Values before and after one of two datasets changes; only its metric runs again."""
     store = Snapshots(spark, scratch(spark))

@@ -250,18 +250,25 @@ def needs_refresh(spark, sf_dir):
     return changes.needs_refresh(counted, seen, known)
 
 
-@register("coalesced_refresh")
+@register(
+    "coalesced_refresh",
+    f"""
+WITH t AS (SELECT source, tx, bool_or(tag <> 'relation') AS changed, max(lsn) AS lsn FROM ({CDC}) GROUP BY 1, 2)
+SELECT source, count(*) FILTER (WHERE changed) AS changes, max(lsn) AS cursor,
+  CASE WHEN source = 'click' THEN count(*) FILTER (WHERE changed AND lsn < (SELECT max(event_id) // 2 FROM events)) END AS applied FROM t GROUP BY 1""",
+)
 def coalesced_refresh(spark, sf_dir):
     """One source is refreshed once for all its commits; later commits leave it dirty."""
     state = scratch(spark)
     messages, commits = change_events(spark, sf_dir)
-    path = _stream(spark, sf_dir, state, messages, commits.where("lsn < 5000"))
+    half = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] // 2
+    path = _stream(spark, sf_dir, state, messages, commits.where(F.col("lsn") < half))
     store = Snapshots(spark, f"{state}/store")
     clicks = table(spark, sf_dir, "events").where("event_type = 'click'")
     changes.refresh(store, path, "click", "clicks", "Clicks", lambda: clicks)
     clean = changes.needs_refresh(changes.counters(spark, path), changes.applied(spark, path), commits).where("source = 'click'")
     assert clean.isEmpty()
-    path = _stream(spark, sf_dir, state, commits.where("lsn >= 5000"))
+    path = _stream(spark, sf_dir, state, commits.where(F.col("lsn") >= half))
     return changes.counters(spark, path).join(changes.applied(spark, path), "source", "left")
 
 

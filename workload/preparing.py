@@ -176,7 +176,17 @@ def node_graph(spark, sf_dir):
     return nodes.build(GRAPH, {t: table(spark, sf_dir, t) for t in ("orders", "customer")})
 
 
-@register("node_checks")
+SEGMENTS = """WITH s AS (SELECT c_mktsegment AS segment, round(sum(o_totalprice * 0.9), 2) AS revenue, count(*) AS orders
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 0 GROUP BY 1)
+"""
+
+
+@register(
+    "node_checks",
+    SEGMENTS
+    + """SELECT 'Has rows' AS name, count(*) > 0 AS passed FROM s UNION ALL SELECT 'One row per segment', count(*) = count(DISTINCT segment) FROM s
+UNION ALL SELECT 'No negative revenue', min(revenue) >= 0 FROM s UNION ALL SELECT 'Rejects', count(*) = 0 FROM s""",
+)
 def node_checks(spark, sf_dir):
     sources = {t: table(spark, sf_dir, t) for t in ("orders", "customer")}
     checks = [

@@ -100,7 +100,13 @@ UNION ALL SELECT 'c_mktsegment', count(DISTINCT c_mktsegment) FROM customer)"""
 
 QUERIES["profile_sample"] = lambda spark, d: profile.sample_rows(table(spark, d, "events"), 50)
 ORACLES["profile_sample"] = "SELECT * FROM events ORDER BY ALL LIMIT 50"
-QUERIES["profile_examples"] = lambda spark, d: profile.examples(table(spark, d, "orders"))
+QUERIES["profile_examples"] = lambda spark, d: profile.examples(table(spark, d, "orders")).select(
+    "name", F.array_join("examples", "|").alias("examples")
+)
+ORACLES["profile_examples"] = "WITH t AS (SELECT * FROM orders ORDER BY ALL LIMIT 3) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS name, string_agg(CAST({c} AS VARCHAR), '|' ORDER BY CAST({c} AS VARCHAR)) AS examples FROM t"
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+)
 
 PAIRS = ["l_partkey", "l_returnflag", "l_linestatus"]
 QUERIES["duplicate_rows"] = lambda spark, d: profile.duplicate_rows(
@@ -111,7 +117,26 @@ SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT {", "
   AS duplicate_rows FROM lineitem"""
 
 QUERIES["fingerprint"] = lambda spark, d: profile.fingerprint(table(spark, d, "orders"))
-QUERIES["dataset_profile"] = lambda spark, d: profile.profile(table(spark, d, "customer"))
+
+
+CUSTOMER = [
+    ("c_custkey", "BIGINT"),
+    ("c_name", "VARCHAR"),
+    ("c_nationkey", "INTEGER"),
+    ("c_acctbal", "DOUBLE"),
+    ("c_mktsegment", "VARCHAR"),
+]
+
+
+def dataset_profile(spark, sf_dir):
+    """The stored profile of one dataset, flattened to a row per column."""
+    whole = profile.profile(table(spark, sf_dir, "customer"))
+    return whole.select(F.inline("columns"), "duplicate_rows")
+
+
+QUERIES["dataset_profile"] = dataset_profile
+ORACLES["dataset_profile"] = f"""SELECT *, (SELECT count(*) FROM customer) - (SELECT count(*) FROM (SELECT DISTINCT * FROM customer)) AS duplicate_rows
+FROM ({columns_sql("customer", CUSTOMER)})"""
 
 
 def schema_card(spark, sf_dir):
@@ -122,6 +147,24 @@ def schema_card(spark, sf_dir):
 QUERIES["schema_card"] = schema_card
 
 
+def card_sql(position: int, name: str, kind: str, category: bool) -> str:
+    values = f"(SELECT ' values: ' || string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT CAST({name} AS VARCHAR) AS v FROM orders))"
+    unique = f"CASE WHEN count(DISTINCT {name}) = count(*) THEN ' unique' ELSE '' END"
+    return f"SELECT {position} AS position, '{name}' AS name, '{name} {kind}' || {unique} || {values if category else chr(39) * 2} AS card FROM orders"
+
+
+ORACLES["schema_card"] = " UNION ALL ".join(
+    [
+        card_sql(0, "o_orderkey", "BIGINT", False),
+        card_sql(1, "o_custkey", "BIGINT", False),
+        card_sql(2, "o_orderstatus", "VARCHAR", True),
+        card_sql(3, "o_totalprice", "DOUBLE", False),
+        card_sql(4, "o_orderdate", "TIMESTAMP", False),
+        card_sql(5, "o_orderpriority", "VARCHAR", True),
+    ]
+)
+
+
 def mask_sample(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").withColumnRenamed("source", "source_token")
     return profile.mask_sample(documents)

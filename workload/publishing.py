@@ -374,11 +374,17 @@ def apply_edits(spark, sf_dir):
     )
 
 
-@register("audit_log")
+@register(
+    "audit_log",
+    f"""
+SELECT 'action_' || sha256('request-' || CAST(c_custkey AS VARCHAR)) AS id, 'Updated Customer ' || CAST(c_custkey AS VARCHAR) AS name, 'ada' AS actor,
+  {oid("Customer", "c_custkey")} AS object_id, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS before, '5.5' AS after
+FROM customer WHERE c_mktsegment IN ('FURNITURE', 'AUTOMOBILE')""",
+)
 def audit_log(spark, sf_dir):
-    return _applied(spark, sf_dir)[2].select(
-        "id", "name", "actor", "object_id", F.element_at("before", "c_acctbal").alias("before"), "request_hash"
-    )
+    number = F.element_at("before", "c_acctbal").cast("double")
+    after = F.element_at("values", "c_acctbal").alias("after")
+    return _applied(spark, sf_dir)[2].select("id", "name", "actor", "object_id", number.alias("before"), after)
 
 
 @register(

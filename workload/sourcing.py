@@ -309,14 +309,26 @@ def quality_diff(spark, sf_dir):
     return snapshots.quality_diff(profile.profile_columns(before), profile.profile_columns(after))
 
 
-@register("findings")
+LATER = "(SELECT o_custkey AS a, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS b FROM orders)"
+
+
+@register(
+    "findings",
+    f"""
+WITH n AS (SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {LATER})) AS duplicates FROM orders)
+SELECT 'orders' AS dataset_id, 'v2' AS version, 'Data refreshed: Orders' AS title, 'refresh' AS kind, rows AS rows_before, rows AS rows_after,
+  'o_orderkey lost uniqueness or contains nulls, o_custkey null rate increased' AS issues, duplicates AS duplicate_rows FROM n
+UNION ALL SELECT 'orders', 'v3', 'Schema changed: Orders', 'schema', rows, rows, '', duplicates FROM n""",
+)
 def findings(spark, sf_dir):
     store = Snapshots(spark, scratch(spark))
     before, after = _versions_of_orders(spark, sf_dir)
     store.commit("orders", "Orders", before, "v1")
     store.commit("orders", "Orders", after, "v2")
     store.commit("orders", "Orders", after.withColumnRenamed("o_custkey", "buyer"), "v3")
-    return store.findings().drop("created_at")
+    shown = ["dataset_id", "version", "title", "kind", "rows_before", "rows_after"]
+    issues = F.array_join(F.sort_array("issues", asc=False), ", ").alias("issues")
+    return store.findings().select(*shown, issues, "duplicate_rows")
 
 
 @register(
