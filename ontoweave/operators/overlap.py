@@ -43,7 +43,7 @@ def value_index(tables: Mapping[str, DataFrame], columns: Sequence[Row]) -> Data
     # Numbers are counted as numbers; only distinct ones are printed.
     text = F.coalesce("text", F.col("number").cast("string"))
     index = counted(reduce(DataFrame.unionByName, parts))
-    return index.select(F.col("position").cast("int").alias("c"), text.alias("v"), "n").where(F.trim("v") != "")
+    return index.select(F.col("position").alias("c"), text.alias("v"), "n").where(F.trim("v") != "")
 
 
 def _comparable(columns: Sequence[Row], declared: set[tuple[int, int]]) -> list[tuple[int, int, bool]]:

@@ -23,18 +23,19 @@ from ..functions.text import canonical, field, is_sensitive, plain, unless_blank
 from ..plans.cells import cells, counted, is_null, typed
 
 ROW = -1
-FACTS = "position string, name string, type string, sensitive boolean"
+FACTS = "position int, name string, type string, sensitive boolean"
 
 
 def _measures(counts: DataFrame) -> DataFrame:
     """One row per column (and one for whole rows) from counted cells."""
-    is_row = F.col("position") == str(ROW)
+    is_row = F.col("position") == ROW
     times = F.col("number").cast("decimal(38,0)") * F.col("n").cast("decimal(19,0)")
     return counts.groupBy("position").agg(
         F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(is_null(), F.col("n"))), F.lit(0)).alias("nulls"),
         F.count(F.when(~is_null(), 1)).alias("distinct"),
-        F.bit_xor(F.when(is_row & (F.col("n") % 2 == 1), F.col("number"))).alias("xor_hash"),
+        # Equal rows cancel in pairs, as they do one by one.
+        F.bit_xor(F.when(is_row, F.when(F.col("n") % 2 == 1, F.col("number")).otherwise(0))).alias("xor_hash"),
         F.sum(F.when(is_row, times)).alias("sum_hash"),
     )
 
@@ -63,7 +64,7 @@ def key_counts(tables: Mapping[str, tuple[DataFrame, list[str]]]) -> dict[tuple[
     measured = _measures(counted(reduce(DataFrame.unionByName, parts)))
     flag = key_flag(F.col("rows"), F.col("nulls"), F.col("distinct"))
     found = {
-        names[int(r["position"])]: r.asDict()
+        names[r["position"]]: r.asDict()
         for r in measured.select("position", "rows", "nulls", "distinct", flag.alias("primary_key")).collect()
     }
     empty = {"rows": 0, "nulls": 0, "distinct": 0, "primary_key": False}
@@ -71,9 +72,9 @@ def key_counts(tables: Mapping[str, tuple[DataFrame, list[str]]]) -> dict[tuple[
 
 
 def _facts(df: DataFrame) -> DataFrame:
-    """Schema as a small DataFrame: position (as cells name it), name, type, sensitive."""
+    """Schema as a small DataFrame: position, name, type, sensitive."""
     rows = [
-        (str(i), f.name, kinds.sql_name(f.dataType), is_sensitive(f.name))
+        (i, f.name, kinds.sql_name(f.dataType), is_sensitive(f.name))
         for i, f in enumerate(df.schema.fields)
     ]
     return small(df, rows, FACTS)
@@ -91,7 +92,7 @@ def profile_columns(df: DataFrame, only: list[str] | None = None) -> DataFrame:
     counts = F.broadcast(_measures(_cells(df, False, only)))
     facts = _facts(df) if only is None else _facts(df).where(F.col("name").isin(only))
     return facts.join(counts, "position", "left").select(
-        F.col("position").cast("int").alias("position"),
+        "position",
         "name",
         "type",
         F.coalesce("rows", F.lit(0)).alias("rows"),
@@ -155,7 +156,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame) -> DataFrame:
     """The whole dataset profile in one row: counts, duplicates, fingerprint, columns."""
-    rows = small(df, [(str(ROW), None, None, False)], FACTS)
+    rows = small(df, [(ROW, None, None, False)], FACTS)
     measured = (
         _facts(df)
         .unionByName(rows)
@@ -163,9 +164,9 @@ def profile(df: DataFrame) -> DataFrame:
         .na.fill(0, ["rows", "nulls", "distinct"])
         .withColumn("primary_key", key_flag(F.col("rows"), F.col("nulls"), F.col("distinct")))
     )
-    whole = F.col("position") == str(ROW)
+    whole = F.col("position") == ROW
     column = F.struct(
-        F.col("position").cast("int").alias("position"), "name", "type", "rows", "nulls", "distinct", "sensitive", "primary_key"
+        "position", "name", "type", "rows", "nulls", "distinct", "sensitive", "primary_key"
     )
     # One row per column goes in, so the array is as long as the schema.
     return measured.agg(

@@ -35,31 +35,35 @@ def typed(value: Column, kind: T.DataType, shorten: bool = True) -> tuple[str, C
     return TEXT, compact(text) if shorten and long_texts else text
 
 
+FAMILIES = {LONG: "bigint", "pair": "bigint", DOUBLE: "double", TEXT: "string"}
+
+
 def cells(
     df: DataFrame,
     columns: Mapping[int, tuple[str, Column]],
     pairs: Mapping[int, tuple[Column, Column]] | None = None,
 ) -> DataFrame:
-    """``(position, number, pair, double, text)``: one row per row and column. A position is
-    the column's number as text, which is how UNPIVOT names it.
+    """``(position, number, pair, double, text)``: one row per row and column.
 
     ``columns`` are :func:`typed` values by number; ``pairs`` are two-part numbers, such as
-    a row's two hashes. A null value is a cell with nothing in it.
+    a row's two hashes. A null value is a cell with nothing in it. Families that no column
+    uses are left out of the cells and added back as constants, to keep the cells narrow.
     """
-    prepared, slots = [], []
-    for position, (family, value) in columns.items():
-        name = f"c{position}"
-        prepared.append(value.alias(name))
-        slot = {LONG: "no_number", "pair": "no_number", DOUBLE: "no_double", TEXT: "no_text"} | {family: name}
-        slots.append(f"({', '.join(slot.values())}) AS `{position}`")
-    for position, (a, b) in (pairs or {}).items():
-        prepared += [a.alias("pair_a"), b.alias("pair_b")]
-        slots.append(f"(pair_a, pair_b, no_double, no_text) AS `{position}`")
-    nothing = {"no_number": "bigint", "no_double": "double", "no_text": "string"}
-    wide = df.select(*prepared, *[F.lit(None).cast(kind).alias(name) for name, kind in nothing.items()])
+    values = {position: {family: value} for position, (family, value) in columns.items()}
+    values |= {position: {LONG: a, "pair": b} for position, (a, b) in (pairs or {}).items()}
+    used = [f for f in FAMILIES if any(f in v for v in values.values())]
+    prepared = [F.lit(None).cast(FAMILIES[f]).alias(f"no_{f}") for f in used]
+    slots = []
+    for n, (position, given) in enumerate(values.items()):
+        prepared += [F.lit(position).alias(f"p{n}")]
+        prepared += [value.alias(f"{family}{n}") for family, value in given.items()]
+        names = [f"{f}{n}" if f in given else f"no_{f}" for f in used]
+        slots.append(f"({', '.join([f'p{n}', *names])}) AS `{n}`")
+    wide = df.select(*prepared)
+    shown = [f if f in used else f"CAST(NULL AS {kind}) AS {f}" for f, kind in FAMILIES.items()]
     text = (
-        "SELECT position, number, pair, double, text FROM {wide} "
-        f"UNPIVOT INCLUDE NULLS ((number, pair, double, text) FOR position IN ({', '.join(slots)}))"
+        f"SELECT position, {', '.join(shown)} FROM {{wide}} "
+        f"UNPIVOT INCLUDE NULLS ((position, {', '.join(used)}) FOR slot IN ({', '.join(slots)}))"
     )
     return df.sparkSession.sql(text, wide=wide)
 
