@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import kinds
 from ..functions.local import local_frame
+from ..functions.text import field
 
 # File kinds a folder listing offers for import.
 LISTED = r"(?i)\.(csv|json|jsonl|parquet)$"
@@ -28,34 +29,71 @@ def scan(
     reads CSV and JSON twice. ``multi_line=False`` lets Spark split large CSV files, and is
     right where no quoted value holds a line break."""
     kind = (format or path.rstrip("/").rsplit(".", 1)[-1]).lower()
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema if isinstance(schema, T.StructType) else declared(schema))
+    known = schema if schema is None or isinstance(schema, T.StructType) else declared(schema)
+    reader = spark.read if known is None else spark.read.schema(known)
     if kind == "parquet":
         return reader.parquet(path)
     if kind == "csv":
-        reader = reader.option("header", True).option("escape", '"').option("multiLine", multi_line)
-        if schema is None:
-            reader = reader.option("inferSchema", True).option("inferTimestampNTZType", True)
-            reader = reader.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
-        return _ntz(spark, reader, lambda r: r.csv(path))
-    if kind in ("jsonl", "ndjson"):
-        return reader.json(path)
-    if kind == "json":
-        return reader.option("multiLine", True).json(path)
-    raise ValueError(f"Unknown file kind {kind}")
-
-
-def _ntz(spark: SparkSession, reader, read) -> DataFrame:
-    """Times without a zone stay without one while the schema is inferred."""
+        reader = reader.options(header=True, escape='"', multiLine=multi_line)
+        if known is None:
+            reader = reader.schema(_widened(_inferred_csv(spark, path, multi_line)))
+        return reader.csv(path)
+    if kind not in ("json", "jsonl", "ndjson"):
+        raise ValueError(f"Unknown file kind {kind}")
+    df = reader.option("multiLine", kind == "json").json(path)
+    return df if known is not None else with_times(df)
+
+
+def _inferred_csv(spark: SparkSession, path: str, multi_line: bool) -> T.StructType:
+    """The schema Spark infers; times without a zone stay without one."""
     before = spark.conf.get("spark.sql.timestampType")
     spark.conf.set("spark.sql.timestampType", "TIMESTAMP_NTZ")
     try:
-        return read(reader)
+        reader = spark.read.options(header=True, escape='"', multiLine=multi_line, inferSchema=True)
+        return reader.csv(path).schema
     finally:
         spark.conf.set("spark.sql.timestampType", before)
 
 
+def _widened(schema: T.StructType) -> T.StructType:
+    """Whole numbers are BIGINT, however small those seen were."""
+    wide = lambda kind: T.LongType() if isinstance(kind, T.IntegerType) else kind
+    return T.StructType([T.StructField(f.name, wide(f.dataType)) for f in schema.fields])
+
+
+# How JSON texts write dates and times, and the type each one is read as.
+TIMES = {
+    "date": r"^\d{4}-\d{2}-\d{2}$",
+    "timestamp_ntz": r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?$",
+    "timestamp": r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})$",
+}
+
+
+def with_times(df: DataFrame) -> DataFrame:
+    """Text columns whose every value is a date or time, as one; JSON has no such types.
+
+    All rows decide, in one aggregate over the text columns.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return df
+    tests = [
+        F.bool_and(
+            F.when(field(name).isNotNull(), field(name).rlike(rule) & field(name).try_cast(kind).isNotNull())
+        ).alias(f"{n} {kind}")
+        for n, name in enumerate(texts)
+        for kind, rule in TIMES.items()
+    ]
+    found = df.agg(*tests).first()
+    casts = {
+        name: field(name).cast(kind)
+        for n, name in enumerate(texts)
+        for kind in TIMES
+        if found[f"{n} {kind}"]
+    }
+    return df.withColumns(casts) if casts else df
+
+
 def declared(columns: Sequence[Mapping[str, str]]) -> T.StructType:
     return T.StructType(
         [
@@ -85,7 +123,7 @@ def land_rows(spark: SparkSession, rows: Iterable[Mapping], path: str) -> DataFr
 def land_json(lines: DataFrame, path: str) -> DataFrame:
     """Write JSON text, one object per row, and read it with inference."""
     lines.write.mode("overwrite").text(path)
-    return lines.sparkSession.read.json(path)
+    return scan(lines.sparkSession, path, "jsonl")
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

@@ -138,7 +138,7 @@ def test_files_are_inferred(spark, tmp_path):
     csv = tmp_path / "people.csv"
     csv.write_text('id,joined,note,score\n1,2024-01-02,"two\nlines, ""quoted""",1.5\n2,2024-01-03,,\n')
     df = files.scan(spark, str(csv))
-    assert [f.dataType.simpleString() for f in df.schema.fields] == ["int", "date", "string", "double"]
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["bigint", "date", "string", "double"]
     assert df.first()["note"] == 'two\nlines, "quoted"'
     js = tmp_path / "people.json"
     js.write_text(json.dumps([{"id": 1, "tags": ["a"]}, {"id": 2}], indent=1))
@@ -150,6 +150,26 @@ def test_files_are_inferred(spark, tmp_path):
         files.scan(spark, str(tmp_path / "a.xyz"))
 
 
+def test_json_texts_that_are_all_times(spark, tmp_path):
+    made = [
+        {"d": "2024-01-02", "t": "2024-01-02T03:04:05Z", "u": "2024-01-02 03:04:05.5", "year": "2024", "mixed": "2024-01-02", "none": None},
+        {"d": None, "t": "2024-01-02T03:04:05+02:00", "u": "2024-01-02T00:00:00", "year": "2025", "mixed": "soon", "none": None},
+    ]
+    (tmp_path / "t.jsonl").write_text("\n".join(map(json.dumps, made)))
+    df = files.scan(spark, str(tmp_path / "t.jsonl"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    assert kinds == {"d": "date", "t": "timestamp", "u": "timestamp_ntz", "year": "string", "mixed": "string", "none": "string"}
+    assert df.where("d IS NULL").first()["u"] == dt.datetime(2024, 1, 2)
+    given = files.scan(spark, str(tmp_path / "t.jsonl"), schema=[{"name": "d", "type": "varchar"}])
+    assert [f.dataType.simpleString() for f in given.schema.fields] == ["string"]
+
+
+def test_csv_times(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("t,z,n\n2024-01-02 03:04:05,2024-01-02T03:04:05Z,1\n")
+    df = files.scan(spark, str(tmp_path / "t.csv"))
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["timestamp_ntz", "timestamp", "bigint"]
+
+
 def test_an_empty_import_keeps_its_declared_columns(spark, tmp_path):
     (tmp_path / "empty.jsonl").write_text("")
     columns = [{"name": n, "type": t} for n, t in [("a", "int"), ("b", "bigint"), ("c", "DATE"), ("d", "geometry"), ("e", "tinyint")]]

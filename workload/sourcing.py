@@ -35,11 +35,10 @@ def landed(kind: str, source: str):
     return run
 
 
-QUERIES["scan_csv"] = landed("csv", "customer")
-ORACLES["scan_csv"] = """
-SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"""
-QUERIES["scan_json"] = landed("jsonl", "part")
-ORACLES["scan_json"] = "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part"
+QUERIES["scan_csv"] = landed("csv", "orders")
+ORACLES["scan_csv"] = "SELECT * FROM orders"
+QUERIES["scan_json"] = landed("jsonl", "orders")
+ORACLES["scan_json"] = "SELECT * FROM orders"
 QUERIES["scan_parquet"] = lambda spark, d: files.scan(spark, f"{d}/lineitem.parquet")
 ORACLES["scan_parquet"] = "SELECT * FROM lineitem"
 
