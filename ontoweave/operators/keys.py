@@ -27,6 +27,9 @@ FACTS = (
 )
 
 
+FLAGGED = FACTS + ", own boolean, alt boolean, unique boolean, links boolean"
+
+
 @dataclass(frozen=True)
 class Dataset:
     """A named table of one system. Uploads are systems of their own."""
@@ -226,6 +229,12 @@ def key_columns(facts: DataFrame, declared: DataFrame | None = None) -> DataFram
     return flag_columns(facts, declared).where("links")
 
 
+def settled(columns: DataFrame) -> DataFrame:
+    """Flagged columns read once, as local rows, for rules that use them several times."""
+    names = [part.split()[0] for part in FLAGGED.split(", ")]
+    return local_frame(columns.sparkSession, columns.select(*names).collect(), FLAGGED)
+
+
 def same_stem(a: Column, b: Column) -> Column:
     shortened = (F.least(F.length(a), F.length(b)) >= 3) & (a.startswith(b) | b.startswith(a))
     return (a == b) | shortened
