@@ -8,7 +8,9 @@ Layout under one root folder::
     findings/  lineage/           appended facts
 
 All metadata tables are append-only; the state of a dataset is its registry row with the
-highest ``seq``. One writer per dataset is assumed, as one refresh job owns a source.
+highest ``seq``, which a commit writes last. A commit that died before it runs again and
+may repeat its version and finding, which therefore count once. One writer per dataset is
+assumed, as one refresh job owns a source.
 """
 
 from __future__ import annotations
@@ -108,10 +110,10 @@ class Snapshots:
             return local_frame(self.spark, [], schema)
 
     def versions(self) -> DataFrame:
-        return self._table("versions", VERSIONS)
+        return self._table("versions", VERSIONS).dropDuplicates(["dataset_id", "version"])
 
     def findings(self) -> DataFrame:
-        return self._table("findings", FINDINGS)
+        return self._table("findings", FINDINGS).dropDuplicates(["dataset_id", "version"])
 
     def lineage(self) -> DataFrame:
         return self._table("lineage", LINEAGE)

@@ -137,12 +137,11 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def export(df: DataFrame, path: str, format: str = "parquet") -> None:
-    """Write the rows to a target outside the snapshot folder."""
+def export(df: DataFrame, path: str, format: str = "parquet", records_per_file: int = 0) -> None:
+    """Write the rows to a target outside the snapshot folder; 0 sets no limit to a file."""
     writer = df.write.mode("errorifexists")
     if format == "parquet":
-        # Files stay small enough to digest one at a time.
-        writer.option("compression", "zstd").option("maxRecordsPerFile", 5_000_000).parquet(path)
+        writer.option("compression", "zstd").option("maxRecordsPerFile", records_per_file).parquet(path)
     elif format == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     elif format in ("json", "jsonl"):
@@ -155,6 +154,15 @@ class ExportFailed(RuntimeError):
     pass
 
 
+DIGESTED_BYTES = 256 << 20
+
+
+def _records_to_digest(df: DataFrame, rows: int) -> int:
+    """Rows per file, so that a file is small enough for one task to digest whole."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1000, min(5_000_000, DIGESTED_BYTES * rows // max(size, 1)))
+
+
 def verified_export(tables: Mapping[str, DataFrame], expected: Mapping[str, int], path: str) -> DataFrame:
     """Export tables as ZSTD Parquet and prove each copy: counts before and after, and the
     digest and size of every file, computed on executors."""
@@ -167,7 +175,7 @@ def verified_export(tables: Mapping[str, DataFrame], expected: Mapping[str, int]
         rows = df.count()
         if rows != expected[name]:
             raise ExportFailed(f"Source count differs for {name}")
-        export(df, target)
+        export(df, target, records_per_file=_records_to_digest(df, rows))
         spark = df.sparkSession
         if spark.read.parquet(target).count() != rows:
             raise ExportFailed(f"Export count differs for {name}")

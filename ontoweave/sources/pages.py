@@ -57,11 +57,10 @@ def last_days(df: DataFrame, time: str, days: int = 30, today: dt.date | None =
 
 
 def write_by_day(df: DataFrame, time: str, path: str) -> None:
-    """Lay events out by UTC day. Rows spread by day and a hash of the row's time, so a day
-    that holds a third of all events is still written by several tasks."""
-    spread = F.pmod(F.xxhash64(field(time)), F.lit(16))
-    dated = df.withColumn("day", F.to_date(field(time)))
-    dated.repartition("day", spread).write.mode("overwrite").partitionBy("day").parquet(path)
+    """Lay events out by UTC day. Rebalancing gathers small days into one file each and
+    splits a day that holds a third of all events over as many tasks as its size asks for."""
+    dated = df.withColumn("day", F.to_date(field(time))).hint("rebalance", "day")
+    dated.write.mode("overwrite").partitionBy("day").parquet(path)
 
 
 def after(keys: Sequence[str], last: Sequence) -> Column:

@@ -271,7 +271,7 @@ SQL = {
         ["orders"],
     ),
     "sql_window_frame": (
-        "SELECT o_custkey, o_orderkey, row_number() OVER w AS place, lag(o_totalprice) OVER w AS before, "
+        "SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS BIGINT) AS place, lag(o_totalprice) OVER w AS before, "
         "max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey "
         "ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent FROM orders "
         "WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",

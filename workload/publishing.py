@@ -303,7 +303,7 @@ def overlays_of(spark, sf_dir) -> DataFrame:
     "effective_records",
     f"""
 SELECT {oid("Customer", "c_custkey")} AS id, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS balance,
-  CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment, c_name AS name, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS revision FROM customer""",
+  CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment, c_name AS name, CAST(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS BIGINT) AS revision FROM customer""",
 )
 def effective_records(spark, sf_dir):
     made, _ = world(spark, sf_dir)
@@ -390,8 +390,8 @@ def audit_log(spark, sf_dir):
 @register(
     "edit_preview",
     f"""
-SELECT {oid("Customer", "c_custkey", "")} AS logical_id, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS before, 9.5 AS after,
-  CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS revision FROM customer WHERE c_mktsegment = 'BUILDING'""",
+SELECT {oid("Customer", "c_custkey", "")} AS logical_id, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS before, CAST(9.5 AS DOUBLE) AS after,
+  CAST(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS BIGINT) AS revision FROM customer WHERE c_mktsegment = 'BUILDING'""",
 )
 def edit_preview(spark, sf_dir):
     made, _ = world(spark, sf_dir)
