@@ -161,8 +161,12 @@ class Snapshots:
         generation: str | None = None,
     ) -> Row:
         """Write one complete snapshot. A changed schema waits as pending; otherwise the
-        new version is served at once. Committing a version again changes nothing."""
+        new version is served at once. Committing a version again changes nothing.
+
+        A derived dataset has one version per ``generation``, named for it; definitions
+        decide its schema, so no schema waits."""
         old = self.state(dataset_id)
+        version = generation or version
         if version and old and version in old["versions"]:
             return old
         version = version or str(uuid.uuid4())
@@ -177,7 +181,7 @@ class Snapshots:
             [(dataset_id, version, fresh["rows"], fresh["duplicate_rows"], fresh["fingerprint"], fresh["columns"], now)],
             VERSIONS,
         )
-        drift = before is not None and drifted(before["columns"], fresh["columns"])
+        drift = not generation and before is not None and drifted(before["columns"], fresh["columns"])
         if before is not None and before["fingerprint"] != fresh["fingerprint"]:
             found = quality_diff(self._columns(before), self._columns(fresh)).collect()
             self._append(
@@ -222,13 +226,17 @@ class Snapshots:
         return self._point(old, active_version=old["pending_version"], pending_version=None)
 
     def active(self, dataset_id: str, generation: str | None = None) -> DataFrame:
-        """The served rows; a derived dataset is visible only in its own generation."""
+        """The served rows. A derived dataset is read as its generation left it, so a new
+        generation is not seen before readers move to it."""
         state = self.state(dataset_id)
         if state is None or not state["active_version"]:
             raise ValueError("Dataset is unavailable")
-        if state["generation"] and state["generation"] != generation:
-            raise ValueError("Dataset is unavailable")
-        return self.spark.read.parquet(self.path(dataset_id, state["active_version"]))
+        version = state["active_version"]
+        if state["generation"]:
+            if generation not in state["versions"]:
+                raise ValueError("Dataset is unavailable")
+            version = generation
+        return self.spark.read.parquet(self.path(dataset_id, version))
 
     def columns(self, dataset_id: str) -> DataFrame:
         """The column profile of the active version."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions.local import local_frame
 from ..functions.text import field
 from . import entities as E
 from .entities import Bundle, RelationshipDef, TypeDef
-from .profile import facts_by_name, key_flag, profile_columns
+from .profile import facts_by_name, key_counts, key_flag, profile_columns
 
 REPORT = "kind string, name string, passed boolean, detail string"
 
@@ -117,52 +118,88 @@ def _named_once(bundle: Bundle) -> CheckResult:
 
 
 def validate_bundle(tables: Mapping[str, DataFrame], columns: E.Columns, bundle: Bundle) -> list[CheckResult]:
-    """Every definition checked on the data. Each check brings one row to the driver."""
-    results = [_named_once(bundle)]
-
-    def check(kind: str, name: str, run) -> None:
-        try:
-            passed, detail = run()
-        except (ValueError, KeyError) as e:
-            passed, detail = False, str(e)
-        results.append(CheckResult(kind, name, passed, detail))
+    """Every definition checked on the data, in two jobs: one counts all keys and join
+    columns, the other all relationships. A row per column and per relationship comes back.
+    """
+    built = E.build_tables(bundle, tables, columns)
+    types = {t.name: t for t in bundle.types}
+    flaws = {("type", t.name): _type_flaw(t, built) for t in bundle.types}
+    flaws |= {("relationship", r.name): _relationship_flaw(r, types, built) for r in bundle.relationships}
+    sound_types = [t for t in bundle.types if not flaws["type", t.name]]
+    sound_links = [r for r in bundle.relationships if not flaws["relationship", r.name]]
+
+    wanted: dict[str, dict[str, None]] = {}
+    for t in [*bundle.tables, *sound_types]:
+        wanted.setdefault(t.id if isinstance(t, E.TableDef) else t.dataset, {})[t.key] = None
+    for r in sound_links:
+        wanted.setdefault(types[r.from_type].dataset, {})[r.from_column] = None
+        wanted.setdefault(types[r.to_type].dataset, {})[r.to_column] = None
+    counts = key_counts({i: (built[i], list(names)) for i, names in wanted.items()}) if wanted else {}
+    covered = _coverages(sound_links, types, built)
 
+    results = [_named_once(bundle)]
     for dataset, _, _ in bundle.catalog:
         known = dataset in tables
         results.append(CheckResult("catalog", dataset, known, "Described" if known else "Unknown dataset"))
-    built = dict(tables)
     for t in bundle.tables:
+        key, name = counts[t.id, t.key], E.checks(bundle)[t.id]
+        ok = key["nulls"] == 0 and key["distinct"] == key["rows"]
+        results.append(CheckResult("table", t.name, ok, name if ok else f"Quality check failed: {name}"))
+    for t in bundle.types:
+        flaw = flaws["type", t.name]
+        if not flaw and not counts[t.dataset, t.key]["primary_key"]:
+            flaw = "Primary key must be unique and non-null"
+        detail = flaw or f"{counts[t.dataset, t.key]['rows']} objects; unique non-null key"
+        results.append(CheckResult("type", t.name, not flaw, detail))
+    for r in bundle.relationships:
+        detail = flaws["relationship", r.name]
+        if detail is None:
+            shape = "-to-".join(
+                "one" if counts[types[name].dataset, c]["primary_key"] else "many"
+                for name, c in ((r.from_type, r.from_column), (r.to_type, r.to_column))
+            )
+            found = covered[r.name]
+            detail = (
+                f"{found['matched']}/{found['total']} source objects matched; {shape}; {found['pairs']} relationship pairs"
+            )
+        results.append(CheckResult("relationship", r.name, flaws["relationship", r.name] is None, detail))
+    for a in bundle.actions:
+        t = types.get(a.type)
+        ok = t is not None and editable(t, a.fields)
+        unfit = "Action fields must exist and cannot change identity" if t else "Unknown action type"
+        results.append(CheckResult("action", a.name, ok, "Editable fields verified" if ok else unfit))
+    return results
 
-        def derived(t=t):
-            built[t.id] = E.entity_table(tables, t.entity, columns, t.normalized)[0]
-            ok = E.one_row_per_entity(built[t.id], t.key).first()["ok"]
-            name = E.checks(bundle)[t.id]
-            return ok, f"{name}" if ok else f"Quality check failed: {name}"
 
-        check("table", t.name, derived)
-    by_name = {t.name: t for t in bundle.types}
-    for t in bundle.types:
+def _type_flaw(t: TypeDef, tables: Mapping[str, DataFrame]) -> str | None:
+    if t.dataset not in tables:
+        return "Unknown dataset"
+    unknown = [c for c in (t.key, *t.properties) if c not in tables[t.dataset].columns]
+    return f"Unknown property {unknown[0]}" if unknown else None
 
-        def typed(t=t):
-            if t.dataset not in built:
-                raise ValueError("Unknown dataset")
-            row = type_key_check(built[t.dataset], t).first()
-            return row["passed"], row["detail"]
 
-        check("type", t.name, typed)
-    for r in bundle.relationships:
-        check("relationship", r.name, lambda r=r: _relationship(built, by_name, r))
-    for a in bundle.actions:
+def _relationship_flaw(
+    r: RelationshipDef, types: Mapping[str, TypeDef], tables: Mapping[str, DataFrame]
+) -> str | None:
+    source, target = types.get(r.from_type), types.get(r.to_type)
+    if source is None or target is None:
+        return f"Unknown object type in {r.from_type} → {r.to_type}"
+    for t, column in ((source, r.from_column), (target, r.to_column)):
+        if t.dataset not in tables or not {column, t.key} <= set(tables[t.dataset].columns):
+            return "Unknown relationship column"
+    return None
 
-        def action(a=a):
-            t = by_name.get(a.type)
-            if t is None:
-                raise ValueError("Unknown action type")
-            ok = editable(t, a.fields)
-            return ok, "Editable fields verified" if ok else "Action fields must exist and cannot change identity"
 
-        check("action", a.name, action)
-    return results
+def _coverages(
+    links: Sequence[RelationshipDef], types: Mapping[str, TypeDef], tables: Mapping[str, DataFrame]
+) -> dict[str, dict]:
+    """Coverage of every relationship, by name, from one job."""
+    parts = []
+    for r in links:
+        a, b = types[r.from_type], types[r.to_type]
+        one = relationship_coverage(tables[a.dataset], tables[b.dataset], a.key, b.key, r.from_column, r.to_column)
+        parts.append(one.withColumn("name", F.lit(r.name)))
+    return {row["name"]: row.asDict() for row in reduce(DataFrame.unionByName, parts).collect()} if parts else {}
 
 
 def editable(t: TypeDef, fields: Sequence[str]) -> bool:
@@ -170,21 +207,6 @@ def editable(t: TypeDef, fields: Sequence[str]) -> bool:
     return all(f in t.properties and f != t.key for f in fields)
 
 
-def _relationship(tables: Mapping[str, DataFrame], types: Mapping[str, TypeDef], r: RelationshipDef) -> tuple[bool, str]:
-    source, target = types.get(r.from_type), types.get(r.to_type)
-    if source is None or target is None:
-        raise ValueError(f"Unknown object type in {r.from_type} → {r.to_type}")
-    a, b = tables[source.dataset], tables[target.dataset]
-    if r.from_column not in a.columns or r.to_column not in b.columns:
-        raise ValueError("Unknown relationship column")
-    covered = relationship_coverage(a, b, source.key, target.key, r.from_column, r.to_column).first()
-    shape = relationship_cardinality(a, b, r.from_column, r.to_column).first()["cardinality"]
-    return True, (
-        f"{covered['matched']}/{covered['total']} source objects matched; {shape}; "
-        f"{covered['pairs']} relationship pairs"
-    )
-
-
 def drop_failing(bundle: Bundle, report: Sequence[CheckResult]) -> Bundle:
     """The bundle without what failed, and without what depends on a failed type."""
     failed = {(c.kind, c.name) for c in report if not c.passed}

@@ -46,13 +46,10 @@ def scan(
 
 def _inferred_csv(spark: SparkSession, path: str, multi_line: bool) -> T.StructType:
     """The schema Spark infers; times without a zone stay without one."""
-    before = spark.conf.get("spark.sql.timestampType")
-    spark.conf.set("spark.sql.timestampType", "TIMESTAMP_NTZ")
-    try:
-        reader = spark.read.options(header=True, escape='"', multiLine=multi_line, inferSchema=True)
-        return reader.csv(path).schema
-    finally:
-        spark.conf.set("spark.sql.timestampType", before)
+    session = spark.newSession()
+    session.conf.set("spark.sql.timestampType", "TIMESTAMP_NTZ")
+    reader = session.read.options(header=True, escape='"', multiLine=multi_line, inferSchema=True)
+    return reader.csv(path).schema
 
 
 def _widened(schema: T.StructType) -> T.StructType:

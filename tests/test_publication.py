@@ -319,3 +319,41 @@ def test_progress(frame):
     relations = frame([("g1", "x", "a", "b")], O.RELATION)
     got = O.publication_counts(objects, relations, BUNDLE, {"orders": 30, "customers": 2}, "g1").first()
     assert got.asDict() == {"records": 2, "relations": 1, "total_records": 32, "estimated_relations": 30}
+
+
+def test_from_snapshots_to_a_generation(spark, store, tables, tmp_path):
+    from ontoweave.operators import publish as W
+    from ontoweave.operators.snapshots import Snapshots
+    from ontoweave.operators.suggest import Entity, Member, Via
+    from ontoweave.operators.entities import TableDef, derived_id
+
+    snapshots = Snapshots(spark, str(tmp_path / "snapshots"))
+    crm = tables["customers"].select("id", F.upper("region").alias("area"))
+    for name, df in {**tables, "crm": crm}.items():
+        snapshots.commit(name, name, df, "v1")
+    person = Entity(
+        "customer", "Customer", "", "record", "customers", "id", 2,
+        (Member("customers", "customers", "postgres", "id", 2, 2),
+         Member("crm", "crm", "stripe", "id", 2, 2, Via("id", "customers", "id"))),
+    )
+    merged = TableDef(derived_id("Customers"), "Customers", person, ("email",), ("customers", "crm"), "id")
+    kinds = (TypeDef("Customer", merged.id, "id", ("id", "stripe_area", "email_key")), ORDER, TypeDef("Bad", "orders", "nope", ()))
+    proposal = W.propose(snapshots, store, Bundle("", tables=(merged,), types=kinds, relationships=(PLACED,)))
+    assert proposal.valid and [t.name for t in proposal.bundle.types] == ["Customer", "Order"]
+    first = W.publish(snapshots, store, proposal, actor="ada")
+    assert store.active() == first and (store.objects().count(), store.relations().count()) == (5, 3)
+    base = store.objects().where("key = 'A'").first()["base"]
+    assert (base["stripe_area"], base["email_key"]) == ("EU", "a@example.com")
+    assert rows(snapshots.lineage(), "from_id", "to_id", "input_version") == [
+        ("crm", merged.id, "v1"), ("customers", merged.id, "v1"),
+    ]
+    assert snapshots.active(merged.id, first).count() == 2
+    with pytest.raises(O.PublicationRefused, match="Published definitions changed"):
+        W.publish(snapshots, store, proposal)
+    proposal = W.propose(snapshots, store, proposal.bundle)
+    snapshots.commit("orders", "orders", tables["orders"].where("id < 3"), "v2")
+    with pytest.raises(O.PublicationRefused, match="Input data changed"):
+        W.publish(snapshots, store, proposal)
+    second = W.publish(snapshots, store, W.propose(snapshots, store, proposal.bundle))
+    assert (store.objects().count(), store.relations().count()) == (4, 2)
+    assert snapshots.active(merged.id, first).count() == snapshots.active(merged.id, second).count() == 2

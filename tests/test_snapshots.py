@@ -69,9 +69,11 @@ def test_query_filters_citations_and_persisting(store, orders):
 
 
 def test_derived_datasets_belong_to_their_generation(store, orders):
-    store.commit("d", "Derived", orders, "v1", generation="g1")
-    assert store.active("d", "g1").count() == 3
-    for generation in (None, "g2"):
+    store.commit("d", "Derived", orders, generation="g1")
+    store.commit("d", "Derived", orders.select("id").where("id = 1"), generation="g2")
+    assert store.active("d", "g1").count() == 3, "an earlier generation still reads its own rows"
+    assert store.active("d", "g2").columns == ["id"] and store.state("d")["pending_version"] is None
+    for generation in (None, "g3"):
         with pytest.raises(ValueError, match="unavailable"):
             store.active("d", generation)
     with pytest.raises(ValueError, match="unavailable"):

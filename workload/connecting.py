@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ontoweave.functions.local import local_frame
-from ontoweave.operators import entities, keys, overlap, suggest, validate
+from ontoweave.operators import entities, keys, overlap, publish, suggest, validate
 from ontoweave.operators.entities import RelationshipDef, TypeDef
 from ontoweave.operators.keys import Dataset
+from ontoweave.operators.objects import Graph
+from ontoweave.operators.snapshots import Snapshots
 
-from .data import BUSINESS, business, table, with_business
+from .data import BUSINESS, business, scratch, table, with_business
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -425,3 +427,30 @@ def validate_bundle(spark, sf_dir):
     again = validate.validate_bundle(tables, columns, kept)
     assert all(c.passed for c in again)
     return validate.report_frame(spark, report)
+
+
+@register(
+    "publish_ontology",
+    with_business(
+        """SELECT 'object' AS kind, 'Customer' AS name, count(*) AS n FROM b_customers UNION ALL SELECT 'object', 'Order', count(*) FROM b_orders
+UNION ALL SELECT 'object', 'Country', count(*) FROM b_countries
+UNION ALL SELECT 'relation', 'billed to', count(*) FROM b_orders JOIN b_customers USING (customer_id)
+UNION ALL SELECT 'relation', 'references', count(*) FROM b_customers JOIN b_countries USING (country_id)
+UNION ALL SELECT 'lineage', d, count(*) FROM (VALUES ('customers'), ('contacts')) v(d) WHERE (SELECT count(*) FROM b_contacts) > 0 GROUP BY d""",
+        ["customers", "contacts", "orders", "countries"],
+    ),
+)
+def publish_ontology(spark, sf_dir):
+    """From datasets to records: snapshots, suggestion, checks, merged table, publication."""
+    found = datasets(spark, sf_dir, ["customers", "contacts", "orders", "countries"])
+    store, graph = Snapshots(spark, scratch(spark)), Graph(spark, scratch(spark))
+    publish.store_all(store, found)
+    bundle = entities.ontology_bundle(suggest.suggest_ontology(found), _columns({d.id: d.df for d in found}))
+    publish.publish(store, graph, publish.propose(store, graph, bundle))
+    count = F.count(F.lit(1)).alias("n")
+    parts = [
+        graph.objects().groupBy(F.lit("object").alias("kind"), F.col("type").alias("name")).agg(count),
+        graph.relations().groupBy(F.lit("relation").alias("kind"), "name").agg(count),
+        store.lineage().groupBy(F.lit("lineage").alias("kind"), F.col("from_id").alias("name")).agg(count),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
