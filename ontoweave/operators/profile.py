@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kinds
-from ..functions.hashing import row_hash
+from ..functions.hashing import digest, row_hash
 from ..functions.local import local_frame
 from ..functions.text import canonical, field, is_sensitive, plain, unless_blank
 from ..plans.cells import cells, counted, is_null, typed
@@ -134,12 +134,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def _fingerprint(schema: T.StructType, rows: Column, xor: Column, total: Column) -> Column:
-    described = json.dumps([[f.name, kinds.sql_name(f.dataType)] for f in schema.fields])
-    parts = [F.lit(described)] + [
-        F.coalesce(c.cast("string"), F.lit("-")) for c in (rows, xor, total)
-    ]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+def _described(schema: T.StructType) -> str:
+    return json.dumps([[f.name, kinds.sql_name(f.dataType)] for f in schema.fields])
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -149,38 +145,45 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """
     a, _ = row_hash(df)
     wide = a.cast("decimal(38,0)")
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.bit_xor(a).alias("x"), F.sum(wide).alias("s")
-    ).select("rows", _fingerprint(df.schema, F.col("rows"), F.col("x"), F.col("s")).alias("fingerprint"))
-
-
-def profile(df: DataFrame) -> DataFrame:
-    """The whole dataset profile in one row: counts, duplicates, fingerprint, columns."""
-    rows = small(df, [(ROW, None, None, False)], FACTS)
-    measured = (
-        _facts(df)
-        .unionByName(rows)
-        .join(F.broadcast(_measures(_cells(df, True))), "position", "left")
-        .na.fill(0, ["rows", "nulls", "distinct"])
-        .withColumn("primary_key", key_flag(F.col("rows"), F.col("nulls"), F.col("distinct")))
-    )
-    whole = F.col("position") == ROW
-    column = F.struct(
-        "position", "name", "type", "rows", "nulls", "distinct", "sensitive", "primary_key"
-    )
-    # One row per column goes in, so the array is as long as the schema.
-    return measured.agg(
-        F.max(F.when(whole, F.col("rows"))).alias("rows"),
-        F.max(F.when(whole, F.col("rows") - F.col("distinct"))).alias("duplicate_rows"),
-        F.max("xor_hash").alias("x"),
-        F.max("sum_hash").alias("s"),
-        F.array_sort(F.collect_list(F.when(~whole, column))).alias("columns"),
-    ).select(
-        "rows",
-        "duplicate_rows",
-        _fingerprint(df.schema, F.col("rows"), F.col("x"), F.col("s")).alias("fingerprint"),
-        "columns",
-    )
+    counted = df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(a).alias("x"), F.sum(wide).alias("s"))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("rows", "x", "s")]
+    mark = F.sha2(F.concat_ws("|", F.lit(_described(df.schema)), *parts), 256)
+    return counted.select("rows", mark.alias("fingerprint"))
+
+
+def profile_cells(df: DataFrame) -> DataFrame:
+    """What a whole profile is made of: one row of counts per column and one for the rows."""
+    return _measures(_cells(df, True))
+
+
+def profile(df: DataFrame) -> dict:
+    """The whole dataset profile: counts, duplicates, fingerprint, columns. One job, from
+    which one row per column comes back."""
+    found = {r["position"]: r for r in profile_cells(df).collect()}
+    whole = found.get(ROW)
+    rows = whole["rows"] if whole else 0
+    columns = []
+    for position, f in enumerate(df.schema.fields):
+        nulls, distinct = (found[position]["nulls"], found[position]["distinct"]) if whole else (0, 0)
+        columns.append(
+            {
+                "position": position,
+                "name": f.name,
+                "type": kinds.sql_name(f.dataType),
+                "rows": rows,
+                "nulls": nulls,
+                "distinct": distinct,
+                "sensitive": is_sensitive(f.name),
+                "primary_key": rows > 0 and nulls == 0 and distinct == rows,
+            }
+        )
+    marks = [str(whole[c]) if whole and whole[c] is not None else "-" for c in ("xor_hash", "sum_hash")]
+    return {
+        "rows": rows,
+        "duplicate_rows": rows - whole["distinct"] if whole else 0,
+        "fingerprint": digest("|".join([_described(df.schema), str(rows), *marks])),
+        "columns": columns,
+    }
 
 
 def _orderable(df: DataFrame) -> list[Column]:

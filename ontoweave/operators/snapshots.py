@@ -173,7 +173,7 @@ class Snapshots:
         # A failed attempt may have left files that no registry row names.
         df.write.mode("overwrite").parquet(self.path(dataset_id, version))
         written = self.spark.read.schema(df.schema).parquet(self.path(dataset_id, version))
-        fresh = P.profile(written).first()
+        fresh = P.profile(written)
         before = self.version_profile(dataset_id, old["active_version"]) if old else None
         now = dt.datetime.now(dt.timezone.utc)
         self._append(
@@ -215,8 +215,9 @@ class Snapshots:
             generation=generation or (old["generation"] if old else None),
         )
 
-    def _columns(self, profile: Row) -> DataFrame:
-        return local_frame(self.spark, profile["columns"], COLUMN[len("struct<") : -1])
+    def _columns(self, profile: Row | dict) -> DataFrame:
+        columns = [tuple(c.values() if isinstance(c, dict) else c) for c in profile["columns"]]
+        return local_frame(self.spark, columns, COLUMN[len("struct<") : -1])
 
     def accept(self, dataset_id: str) -> Row:
         """Serve the version that waits because of its schema."""

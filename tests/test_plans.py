@@ -91,7 +91,7 @@ def test_recent_metrics_prune_by_time(spark):
 
 
 def test_profiling_is_one_scan_and_one_shuffle_of_cells(spark):
-    text = plan(P.profile(table(spark, SF_DIR, "lineitem")))
+    text = plan(P.profile_cells(table(spark, SF_DIR, "lineitem")))
     assert text.count("FileScan") == 1 and text.count("Expand") == 1
     assert text.count("Exchange hashpartitioning") == 2, "cells, then a few rows per column"
 

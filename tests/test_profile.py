@@ -24,7 +24,7 @@ def test_counts_keys_and_sensitivity(people):
 
 def test_empty_table_has_a_profile_and_no_key(people):
     empty = people.where("false")
-    whole = P.profile(empty).first()
+    whole = P.profile(empty)
     assert (whole["rows"], whole["duplicate_rows"]) == (0, 0)
     assert [c["name"] for c in whole["columns"]] == people.columns
     assert not any(c["primary_key"] for c in whole["columns"])
@@ -49,14 +49,14 @@ def test_long_texts_count_exactly(spark):
 def test_duplicates_treat_nulls_as_equal_and_tell_columns_apart(spark):
     df = spark.sql("SELECT * FROM VALUES (null, 'a'), (null, 'a'), ('a', null), ('b', 'c') AS t(x, y)")
     assert P.duplicate_rows(df).first().asDict() == {"rows": 4, "duplicate_rows": 1}
-    assert P.profile(df).first()["duplicate_rows"] == 1
+    assert P.profile(df)["duplicate_rows"] == 1
 
 
 def test_fingerprint_ignores_order_and_sees_content(spark):
     df = spark.range(100).select("id", (F.col("id") % 7).alias("m"))
     same = df.orderBy(F.rand()).repartition(5)
     mark = lambda d: P.fingerprint(d).first()["fingerprint"]
-    assert mark(df) == mark(same) == P.profile(df).first()["fingerprint"]
+    assert mark(df) == mark(same) == P.profile(df)["fingerprint"]
     assert mark(df) != mark(df.where("id <> 3"))
     # A pair of equal rows cancels under XOR alone.
     assert mark(df) != mark(df.unionByName(df.limit(1)).unionByName(df.limit(1)))

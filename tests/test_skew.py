@@ -156,6 +156,6 @@ def test_any_small_table_profiles_as_sets_say(spark, made):
     texts = [s for _, s in made]
     assert (got["s"]["nulls"], got["s"]["distinct"]) == (texts.count(None), len(set(texts) - {None}))
     assert got["n"]["primary_key"] == (len({n for n, _ in made}) == len(made))
-    whole = P.profile(df).first()
+    whole = P.profile(df)
     assert whole["duplicate_rows"] == len(made) - len(set(made))
     assert whole["fingerprint"] == P.fingerprint(local_frame(spark, made[::-1], "n int, s string")).first()["fingerprint"]

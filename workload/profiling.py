@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ontoweave.functions.text import SENSITIVE, redact
 from ontoweave.operators import profile
+from ontoweave.operators.snapshots import COLUMN
 
 from .data import table
 
@@ -130,8 +131,10 @@ CUSTOMER = [
 
 def dataset_profile(spark, sf_dir):
     """The stored profile of one dataset, flattened to a row per column."""
-    whole = profile.profile(table(spark, sf_dir, "customer"))
-    return whole.select(F.inline("columns"), "duplicate_rows")
+    customers = table(spark, sf_dir, "customer")
+    whole = profile.profile(customers)
+    columns = [(*c.values(), whole["duplicate_rows"]) for c in whole["columns"]]
+    return profile.small(customers, columns, f"{COLUMN[len('struct<'):-1]}, duplicate_rows bigint")
 
 
 QUERIES["dataset_profile"] = dataset_profile
