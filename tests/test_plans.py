@@ -13,7 +13,7 @@ from ontoweave.operators import profile as P
 from ontoweave.operators import query as Q
 from ontoweave.plans import nodes
 from workload import preparing, publishing
-from workload.data import table
+from workload.data import scratch, table
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the given tables are not here")
@@ -85,9 +85,14 @@ def test_a_graph_reads_only_what_it_uses(spark):
 
 def test_recent_metrics_prune_by_time(spark):
     orders = table(spark, SF_DIR, "orders")
-    for kind in ("kpi", "trend"):
-        out = M.metric(orders, {}, M.MetricSpec(kind, "orders", time_column="o_orderdate"))
-        assert "GreaterThan" in formatted(out).split("PushedFilters", 1)[1]
+    path = scratch(spark)
+    for time in ("timestamp_ntz", "timestamp", "date"):
+        stored = orders.withColumn("o_orderdate", orders["o_orderdate"].cast(time))
+        stored.write.parquet(f"{path}/{time}")
+        for kind in ("kpi", "trend"):
+            spec = M.MetricSpec(kind, "orders", time_column="o_orderdate")
+            out = M.metric(spark.read.parquet(f"{path}/{time}"), {}, spec)
+            assert "GreaterThan" in formatted(out).split("PushedFilters", 1)[1]
 
 
 def test_profiling_is_one_scan_and_one_shuffle_of_cells(spark):
