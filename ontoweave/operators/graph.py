@@ -35,9 +35,14 @@ def _edges_between(relations: DataFrame, kept: DataFrame) -> DataFrame:
     ).select("from_id", "to_id", "name")
 
 
-def top_graph(objects: DataFrame, relations: DataFrame, limit: int = 1500) -> tuple[DataFrame, DataFrame]:
-    """The best-connected records and the relations among them."""
-    degree = link_counts(existing(relations, objects))
+def top_graph(
+    objects: DataFrame, relations: DataFrame, limit: int = 1500, published: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The best-connected records and the relations among them.
+
+    Relations of a ``published`` generation have both their records, so they need no check.
+    """
+    degree = link_counts(relations if published else existing(relations, objects))
     # Only ids are ranked; the records themselves join the few that are kept. The nodes and
     # both ends of the edges read the ranking, so it is settled once.
     top = cut(
@@ -78,9 +83,11 @@ def k_hop(relations: DataFrame, focus: str, depth: int = 1, limit: int = 1500) -
     return seen
 
 
-def neighborhood(objects: DataFrame, relations: DataFrame, focus: str, depth: int = 1, limit: int = 1500):
+def neighborhood(
+    objects: DataFrame, relations: DataFrame, focus: str, depth: int = 1, limit: int = 1500, published: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """The records around one, and the relations among them."""
-    real = existing(relations, objects)
+    real = relations if published else existing(relations, objects)
     reached = k_hop(real, focus, depth, limit)
     nodes = objects.join(F.broadcast(reached), "id")
     return nodes, _edges_between(relations, reached)

@@ -130,6 +130,11 @@ def test_no_key_no_entity(suggest):
     assert S.confirm_ontology(s).entities == ()
 
 
+def test_nothing_connected():
+    s = S.suggest_ontology([])
+    assert s.entities == () and s.summary == "0 entities from 0 datasets across 0 sources."
+
+
 def test_uploads_link_and_do_not_merge(suggest):
     s, links = suggest(
         ("customers", table(40, customer_id=lambda i: f"cus_{i}", name=lambda i: f"C{i}")),

@@ -253,6 +253,8 @@ def test_best_connected(star):
     nodes, edges = G.top_graph(*star, limit=3)
     assert [(r["id"], r["degree"]) for r in nodes.collect()] == [("h", 5), ("s0", 2), ("t0", 2)]
     assert rows(edges, "from_id", "to_id") == [("h", "s0"), ("s0", "t0")]
+    linked = star[1].where("to_id <> 'gone'")
+    assert rows(G.top_graph(star[0], linked, 3, published=True)[0], "id", "degree") == rows(nodes, "id", "degree")
     every, _ = G.top_graph(*star, limit=100)
     assert every.count() == 11
 

@@ -97,7 +97,7 @@ TOP = "top AS (SELECT o.id, coalesce(links, 0) AS degree FROM o LEFT JOIN deg US
 
 @register("top_degree_graph", WORLD + f", {TOP} SELECT id, degree FROM top")
 def top_degree_graph(spark, sf_dir):
-    return graph.top_graph(*world(spark, sf_dir))[0].select("id", "degree")
+    return graph.top_graph(*world(spark, sf_dir), published=True)[0].select("id", "degree")
 
 
 @register(
@@ -105,7 +105,7 @@ def top_degree_graph(spark, sf_dir):
     WORLD + f", {TOP} SELECT name, from_id, to_id FROM r WHERE from_id IN (SELECT id FROM top) AND to_id IN (SELECT id FROM top)",
 )
 def top_degree_edges(spark, sf_dir):
-    return graph.top_graph(*world(spark, sf_dir))[1]
+    return graph.top_graph(*world(spark, sf_dir), published=True)[1]
 
 
 FOCUS = "g1_" + digest(type_id("Customer") + ":0")[:32]
