@@ -51,12 +51,15 @@ def preview_edits(objects: DataFrame, overlays: DataFrame, edits: DataFrame) ->
     )
 
 
-def request_hash(edit: Sequence[str] = ("logical_id", "values", "revision", "revert")) -> Column:
-    parts = [
-        F.to_json(F.array_sort(F.map_entries("values"))) if c == "values" else F.col(c).cast("string")
-        for c in edit
+def request_hash() -> Column:
+    """What an edit asks for, whoever sends it and under whichever key."""
+    asked = [
+        F.col("logical_id"),
+        F.to_json(F.array_sort(F.map_entries("values"))),
+        F.col("revision").cast("string"),
+        F.col("revert").cast("string"),
     ]
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p, F.lit("-")) for p in parts]), 256)
+    return F.sha2(F.concat_ws("|", *[F.coalesce(a, F.lit("-")) for a in asked]), 256)
 
 
 def value_kinds(df: DataFrame) -> dict[str, str]:
