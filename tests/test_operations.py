@@ -3,6 +3,8 @@ import random
 
 import pytest
 from conftest import rows
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ontoweave.operators import feeds as D
@@ -271,3 +273,28 @@ def test_schedules(frame):
         "id string, mode string, schedule string, next_run timestamp_ntz",
     )
     assert rows(C.refresh_due(planned, at(1)), "id") == [("legacy",), ("snap",)]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.data())
+def test_counters_do_not_depend_on_batches(spark, data):
+    """Any cut of a change stream into micro-batches counts what one batch counts."""
+    from ontoweave.functions.local import local_frame
+
+    txs = data.draw(st.lists(st.tuples(st.sampled_from("ab"), st.lists(st.sampled_from(["insert", "relation"]), max_size=3)), min_size=1, max_size=5))
+    made = []
+    for n, (source, tags) in enumerate(txs):
+        made += [(source, f"t{n}", tag) for tag in [*tags, "commit"]]
+    made = [(source, tx, i, tag) for i, (source, tx, tag) in enumerate(made)]
+    cuts = sorted(data.draw(st.sets(st.integers(1, len(made)), max_size=2)) | {0, len(made)})
+    counters = local_frame(spark, [], "source string, changes bigint, cursor bigint")
+    still = local_frame(spark, [], "source string, tx string, changed boolean, lsn bigint")
+    for lo, hi in zip(cuts, cuts[1:]):
+        counters, still = C.advance(counters, still, local_frame(spark, made[lo:hi], C.EVENT))
+    wanted = {}
+    for n, (source, tags) in enumerate(txs):
+        last = max(lsn for s, tx, lsn, _ in made if tx == f"t{n}")
+        changes, cursor = wanted.get(source, (0, -1))
+        wanted[source] = (changes + ("insert" in tags), max(cursor, last))
+    assert rows(counters, "source", "changes", "cursor") == sorted((s, *w) for s, w in wanted.items())
+    assert still.isEmpty()
