@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANKS
+from ..plans.ordered import page_of
 from ..session import cut
 from .objects import link_counts
 
@@ -173,7 +174,7 @@ def list_records(
     by_label = sort in (None, "", "record")
     key = F.col("links").cast("string") if sort == "links" else F.try_element_at(F.col(values), F.lit(sort or ""))
     order = sort_keys(key, F.col("label"), descending and sort is not None, by_label)
-    page = found.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, 500)))
+    page = page_of(found, order, max(0, offset), max(1, min(limit, 500)))
     return page, total
 
 

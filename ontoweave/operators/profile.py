@@ -21,6 +21,7 @@ from ..functions.hashing import digest, row_hash
 from ..functions.local import local_frame
 from ..functions.text import canonical, field, is_sensitive, plain, unless_blank
 from ..plans.cells import cells, counted, is_null, typed
+from ..plans.ordered import page_of
 
 ROW = -1
 FACTS = "position int, name string, type string, sensitive boolean"
@@ -204,7 +205,7 @@ def sample_rows(df: DataFrame, n: int = 50) -> DataFrame:
 def page(df: DataFrame, order_by: list[str], offset: int = 0, limit: int = 100) -> DataFrame:
     """One page under a total order: the named columns, ties broken by the others."""
     ranked = [field(c) for c in order_by] + _orderable(df)
-    return df.orderBy(*ranked).offset(max(0, offset)).limit(max(0, min(limit, 1000)))
+    return page_of(df, ranked, max(0, offset), max(0, min(limit, 1000)))
 
 
 def counted_page(df: DataFrame, order_by: list[str], offset: int = 0, limit: int = 100) -> tuple[DataFrame, int]:

@@ -1,4 +1,4 @@
-"""Runs of equal neighbours in a total order, without one task seeing the whole order.
+"""Pages and runs of equal neighbours in a total order, without one task seeing it whole.
 
 Rows are range-partitioned by the full order, so a group that holds a third of all rows
 still spreads evenly. Each block is read on its own; what a block needs to know of the one
@@ -9,14 +9,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.local import local_frame
 from ..session import cut
 
 
-def in_blocks(df: DataFrame, order: Sequence[str], blocks: int | None = None) -> DataFrame:
+# Up to here a page is a top-k, which one task merges.
+SHALLOW = 100_000
+
+
+def page_of(df: DataFrame, order: Sequence[Column | str], offset: int, limit: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of a total order.
+
+    A deep page counts the rows of range blocks and numbers only those of the blocks it
+    touches, instead of gathering everything before it.
+    """
+    if offset + limit <= SHALLOW:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    placed = in_blocks(df, order)
+    before, wanted = 0, []
+    for row in placed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).orderBy("block").collect():
+        if before < offset + limit and before + row["n"] > offset:
+            wanted.append((row["block"], before))
+        before += row["n"]
+    starts = local_frame(df.sparkSession, wanted, "block int, __before bigint")
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("block").orderBy(*order))
+    return (
+        placed.join(F.broadcast(starts), "block")
+        .withColumn("__place", place)
+        .where((F.col("__place") > offset) & (F.col("__place") <= offset + limit))
+        .orderBy("__place")
+        .drop("block", "__before", "__place")
+    )
+
+
+def in_blocks(df: DataFrame, order: Sequence[Column | str], blocks: int | None = None) -> DataFrame:
     """The rows with a ``block`` number that grows with the order.
 
     Written to the shared folder once: range boundaries are sampled, and a rerun must not

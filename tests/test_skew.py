@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ontoweave.operators import entities as E
 from ontoweave.operators import feeds as D
@@ -143,6 +144,19 @@ def test_latest_of_a_hot_key(frame, skewed):
     assert got == {k: i for k, (_, i) in newest.items()}
 
 
+@pytest.mark.parametrize("offset, limit", [(0, 5), (37, 11), (299, 7), (590, 50), (700, 5)])
+def test_deep_pages(frame, skewed, monkeypatch, offset, limit):
+    from ontoweave.plans import ordered
+
+    df = frame(skewed, SCHEMA).repartition(5)
+    shallow = [tuple(r) for r in P.page(df, ["key", "n"], offset, limit).collect()]
+    monkeypatch.setattr(ordered, "SHALLOW", -1)
+    assert [tuple(r) for r in P.page(df, ["key", "n"], offset, limit).collect()] == shallow
+    newest = [F.col("n").desc(), F.col("id").desc()]
+    deep = [r["id"] for r in ordered.page_of(df, newest, offset, limit).collect()]
+    assert deep == [r[0] for r in sorted(skewed, key=lambda r: (-r[2], -r[0]))][offset : offset + limit]
+
+
 values = st.one_of(st.none(), st.sampled_from(["a", "A", " a", "", "b"]))
 
 
