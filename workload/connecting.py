@@ -297,7 +297,49 @@ def through_anchor(spark, sf_dir):
     return overlap.through_anchor(tables, [link])
 
 
-@register("suggest_ontology")
+def suggestion_sql() -> str:
+    """What the suggestion says, from plain counts."""
+    records = [
+        ("country", "countries", "countries from PostgreSQL."),
+        ("customer", "customers", "customers from PostgreSQL, joined with S3 contacts."),
+        ("order", "orders", "orders from PostgreSQL."),
+        ("supplier", "suppliers", "suppliers from PostgreSQL."),
+        ("region", "regions", "regions from PostgreSQL."),
+        ("part", "parts", "parts from PostgreSQL."),
+    ]
+    links = [
+        ("country", "countries", "region_id", "references", "region", "regions"),
+        ("customer", "customers", "country_id", "references", "country", "countries"),
+        ("order", "orders", "customer_id", "billed to", "customer", "customers"),
+        ("supplier", "suppliers", "country_id", "references", "country", "countries"),
+    ]
+    parts = [
+        "SELECT 'summary' AS section, '' AS id, '6 entities from 8 datasets across 2 sources. Customers combine PostgreSQL and S3.' AS text, "
+        "CAST(NULL AS BIGINT) AS total, CAST(NULL AS BIGINT) AS matched"
+    ]
+    for entity, dataset, text in records:
+        n = f"(SELECT count(*) FROM b_{dataset})"
+        parts.append(f"SELECT 'record', '{entity}', format('{{:,}}', {n}) || ' {text}', {n}, {n}")
+        parts.append(f"SELECT 'member', '{entity}', '{dataset}', {n}, {n}")
+    contacts = "(SELECT count(*) FROM b_contacts)"
+    same = "(SELECT count(*) FROM b_contacts WHERE account_code IN (SELECT account_code FROM b_customers))"
+    parts.append(f"SELECT 'member', 'customer', 'contacts', {contacts}, {same}")
+    for entity, dataset, column, verb, target, table_name in links:
+        parts.append(
+            f"SELECT 'link', '{entity}-{column}-{target}', '{entity} {verb} {target} by name', count({column}), "
+            f"count(*) FILTER (WHERE {column} IN (SELECT {column} FROM b_{table_name})) FROM b_{dataset}"
+        )
+    parts += [
+        f"SELECT 'note:merged', 'customer', 'Customer combines PostgreSQL customers with S3 contacts (' || format('{{:,}}', {same}) || ' of ' || "
+        f"format('{{:,}}', {contacts}) || ' match).', NULL, NULL",
+        f"SELECT 'note:unmatched', 'customer', format('{{:,}}', {contacts} - {same}) || ' S3 contacts don''t match any customer.', NULL, NULL",
+        "SELECT 'note:unlinked', 'part', 'Part isn''t linked to the other data.', NULL, NULL",
+        "SELECT 'note:unlinked', '', 'order_lines has no unique column to identify its rows, so it isn''t shown as an entity.', NULL, NULL",
+    ]
+    return with_business(" UNION ALL ".join(parts))
+
+
+@register("suggest_ontology", suggestion_sql())
 def suggest_ontology(spark, sf_dir):
     return suggest.as_rows(spark, suggest.suggest_ontology(datasets(spark, sf_dir)))
 
@@ -408,7 +450,35 @@ def cardinality(spark, sf_dir):
     )
 
 
-@register("validate_bundle")
+def report_sql() -> str:
+    def keyed(name: str, dataset: str) -> str:
+        return (
+            f"SELECT 'type' AS kind, '{name}' AS name, true AS passed, CAST(count(*) AS VARCHAR) || ' objects; unique non-null key' AS detail FROM b_{dataset}"
+        )
+
+    def related(name: str, dataset: str, key: str, column: str, target: str) -> str:
+        hit = f"count(*) FILTER (WHERE {column} IN (SELECT {column} FROM b_{target}))"
+        return (
+            f"SELECT 'relationship', '{name}', true, {hit} || '/' || count(DISTINCT {key}) || ' source objects matched; many-to-one; ' || "
+            f"{hit} || ' relationship pairs' FROM b_{dataset}"
+        )
+
+    parts = [
+        keyed("Customer", "customers"),
+        keyed("Order", "orders"),
+        keyed("Country", "countries"),
+        "SELECT 'type', 'Broken', false, 'Primary key must be unique and non-null'",
+        related("billed to", "orders", "order_id", "customer_id", "customers"),
+        related("references", "customers", "customer_id", "country_id", "countries"),
+        "SELECT 'relationship', 'bad', false, 'Unknown relationship column'",
+        "SELECT 'names', 'Definition identities', true, 'Names must be unique within each asset type'",
+        "SELECT 'table', 'Customers (PostgreSQL + S3)', true, 'One row per customer'",
+        *[f"SELECT 'catalog', '{d}', true, 'Described'" for d in ("customers", "contacts", "orders", "countries")],
+    ]
+    return with_business(" UNION ALL ".join(parts), ["customers", "contacts", "orders", "countries"])
+
+
+@register("validate_bundle", report_sql())
 def validate_bundle(spark, sf_dir):
     """The bundle of the suggested ontology, with a type and a relationship that fail."""
     found = datasets(spark, sf_dir, ["customers", "contacts", "orders", "countries"])

@@ -111,14 +111,22 @@ def metric_grain_avg(spark, sf_dir):
     return metrics.grain_points(table(spark, sf_dir, "orders"), spec)
 
 
-@register("metric_picks")
+@register(
+    "metric_picks",
+    f"""SELECT 'New orders' AS title, 'kpi' AS kind, CAST(NULL AS VARCHAR) AS grain, CAST(NULL AS VARCHAR) AS label,
+  CAST(count(*) FILTER (WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY) AS DOUBLE) AS value FROM orders
+UNION ALL SELECT 'Revenue', 'kpi', NULL, NULL, round(sum(o_totalprice) FILTER (WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY), 2) FROM orders
+UNION ALL SELECT 'New orders over time', 'trend', 'month', label, value FROM ({trend_sql("month", "%Y-%m", "count(*)", "orders", "o_orderdate")})
+UNION ALL SELECT 'Orders by status', 'breakdown', NULL, o_orderstatus, CAST(count(*) AS DOUBLE) FROM orders GROUP BY o_orderstatus
+UNION ALL SELECT 'Orders by priority', 'breakdown', NULL, o_orderpriority, CAST(count(*) AS DOUBLE) FROM orders GROUP BY o_orderpriority""",
+)
 def metric_picks(spark, sf_dir):
     """Metrics picked from the schema of the business datasets, run and kept if usable."""
     tables = business(spark, sf_dir, ["orders", "customers", "parts"])
     facts = {i: profile.facts_by_name(profile.profile_columns(df)) for i, df in tables.items()}
     kept, dropped = metrics.run_specs(tables, facts, metrics.computed_specs(tables, facts))
     rows = [
-        (r.spec.title, r.spec.kind, r.spec.grain, row.asDict().get("label"), row["value"])
+        (r.spec.title, r.spec.kind, r.spec.grain, row.asDict().get("label"), round(row["value"], 2))
         for r in metrics.merge_picks([], kept)
         for row in r.rows
     ]
