@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kinds, names
@@ -187,6 +187,23 @@ def declared_keys(datasets: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+EDGES = "system string, table_name string, column_name string, referenced_table string, referenced_column string"
+
+
+def edges_of(spark: SparkSession, links: Mapping[str, Sequence[tuple[str, str, str, str]]]) -> DataFrame:
+    """Links that sources state (``billing.relationships()`` and the like), by system."""
+    return local_frame(spark, [(system, *link) for system, some in links.items() for link in some], EDGES)
+
+
+def declared_for(datasets: Sequence[Dataset], edges: DataFrame) -> DataFrame:
+    """Declared keys among datasets, for :func:`suggest.suggest_ontology`. A dataset is
+    known by its source's name for it, else by its table name."""
+    known = [(d.id, n, d.home, d.source_name or d.table) for n, d in enumerate(ordered(datasets))]
+    return declared_keys(
+        local_frame(edges.sparkSession, known, "dataset string, d int, system string, source_name string"), edges
+    )
+
+
 def flag_columns(facts: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """Column facts with what each column is: the own key, an alternate key, unique, and
     ``links``: whether its values may link datasets.

@@ -11,7 +11,6 @@ from dataclasses import dataclass, field as default
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Column types read as text so that no digit or zone is lost.
 AS_TEXT = {
@@ -113,13 +112,7 @@ def discover(spark: SparkSession, connection: Connection) -> dict[str, DataFrame
     }
 
 
-def declared_edges(foreign_keys: DataFrame) -> DataFrame:
-    """Foreign keys in the shape key discovery reads."""
-    return foreign_keys.select(
-        F.col("table_name"), F.col("column_name"), F.col("referenced_table"), F.col("referenced_column")
-    ).distinct()
-
-
-EDGE = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("table_name", "column_name", "referenced_table", "referenced_column")]
-)
+def declared_edges(foreign_keys: DataFrame, system: str) -> DataFrame:
+    """Foreign keys of one system in the shape :func:`keys.declared_keys` reads."""
+    columns = ["table_name", "column_name", "referenced_table", "referenced_column"]
+    return foreign_keys.select(F.lit(system).alias("system"), *columns).distinct()

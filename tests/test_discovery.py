@@ -65,6 +65,21 @@ def test_declared_edges_match_tables_ignoring_case_and_schema(frame):
     assert rows(K.declared_keys(known, edges)) == [("o", "buyer", "c", "id")]
 
 
+def test_sources_state_their_links(spark, from_dicts):
+    from ontoweave.sources import billing
+
+    made = {
+        "customers": table(4, customer_id=lambda i: f"cus_{i}"),
+        "invoices": table(8, invoice_id=lambda i: f"in_{i}", customer_id=lambda i: f"cus_{i % 2}" if i < 2 else f"x{i}"),
+    }
+    found = [Dataset(n, f"Stripe · {n}", from_dicts(r), "stripe", "stripe") for n, r in made.items()]
+    assert S.suggest_ontology(found).links == (), "too few values agree to believe it unasked"
+    declared = K.declared_for(found, K.edges_of(spark, {"stripe": billing.relationships()}))
+    assert rows(declared) == [("invoices", "customer_id", "customers", "customer_id")]
+    (link,) = S.suggest_ontology(found, declared).links
+    assert (link.evidence, link.matched, link.total) == ("declared", 2, 8)
+
+
 def test_a_column_named_for_another_table(suggest):
     s, links = suggest(
         ("Customers", [{"id": "A", "name": "Acme"}, {"id": "B", "name": "Beta"}]),

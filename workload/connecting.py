@@ -235,14 +235,9 @@ def declared_keys(spark, sf_dir):
             ("app", "customers", "country_id", "COUNTRIES", "country_id"),
             ("app", "missing", "id", "orders", "order_id"),
         ],
-        "system string, table_name string, column_name string, referenced_table string, referenced_column string",
+        keys.EDGES,
     )
-    known = local_frame(
-        spark,
-        [(d.id, i, d.home, d.source_name) for i, d in enumerate(keys.ordered(found))],
-        "dataset string, d int, system string, source_name string",
-    )
-    declared = keys.declared_keys(known, edges)
+    declared = keys.declared_for(found, edges)
     columns = keys.key_columns(keys.column_facts(found), declared)
     rows = columns.orderBy("i").collect()
     number = {(r["dataset"], r["name"]): r["i"] for r in rows}
