@@ -5,8 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
-from .common import table
+from . import mixing, sharding, warc
+from .common import fresh_folder, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = fresh_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), archives)
+    return warc.resolve(warc.assemble(spark, archives)).select(
+        "page_id",
+        "payload_bytes",
+        F.col("payload_sha256").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        "refers_to",
+    )
+
+
+OP1_SQL = """
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+marked AS (
+  SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest,
+    min(page_id) OVER (PARTITION BY body) AS first_id FROM bodies
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM marked
+"""
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +77,9 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_sharding": op3_sharding}
-ORACLES = {"op2_mixing": OP2_SQL}
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_mixing": op2_mixing,
+    "op3_sharding": op3_sharding,
+}
+ORACLES = {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL}
