@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, warc
+from . import mixing, neardup_text, sharding, warc
 from .common import fresh_folder, table
 
 
@@ -77,9 +77,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup_text.link_documents(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
+    "op7_minhash_neardup": op7_minhash_neardup,
 }
 ORACLES = {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL}
