@@ -82,10 +82,32 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_text.link_documents(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+OP7_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+shingled AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 3, 2)), lambda i: array_to_string(words[i:i + 4], ' '))) AS shingle
+  FROM split WHERE len(words) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+  FROM shingled a JOIN shingled b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)
+),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+SELECT documents.doc_id AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(y) AS component_id, documents.doc_id = min(y) AS kept
+FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.x JOIN documents ON documents.doc_id = reach.x GROUP BY documents.doc_id
+"""
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op7_minhash_neardup": op7_minhash_neardup,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL, "op7_minhash_neardup": OP7_SQL}
