@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup_text, sharding, warc
+from . import mixing, neardup_text, sharding, toxicity, warc
 from .common import fresh_folder, table
 
 
@@ -104,10 +104,16 @@ SELECT documents.doc_id AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingl
 FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.x JOIN documents ON documents.doc_id = reach.x GROUP BY documents.doc_id
 """
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op7_minhash_neardup": op7_minhash_neardup,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES = {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL, "op7_minhash_neardup": OP7_SQL}
