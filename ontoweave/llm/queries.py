@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup_text, sharding, toxicity, warc
+from . import mixing, neardup_text, secrets, sharding, toxicity, warc
 from .common import fresh_folder, table
 
 
@@ -77,6 +77,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup_text.link_documents(docs).select("doc_id", "n_shingles", "component_id", "kept")
@@ -113,6 +117,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
+    "op6_secrets": op6_secrets,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op9_toxicity": op9_toxicity,
 }
