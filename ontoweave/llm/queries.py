@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup_text, secrets, sharding, toxicity, warc
+from . import bpe, mixing, neardup_text, secrets, sharding, token_counts, toxicity, warc
 from .common import fresh_folder, table
 
 
@@ -77,6 +78,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -113,12 +119,25 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.decode(bpe.encode(docs, path), path).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
+    "op4_token_counts": op4_token_counts,
     "op6_secrets": op6_secrets,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op9_toxicity": op9_toxicity,
+    "op10_bpe": op10_bpe,
 }
 ORACLES = {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL, "op7_minhash_neardup": OP7_SQL}
