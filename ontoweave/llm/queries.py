@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup_text, secrets, sharding, token_counts, toxicity, warc
+from . import bpe, mixing, neardup_text, neardup_vectors, nearest, secrets, sharding, token_counts, toxicity, warc
 from .common import fresh_folder, table
 
 
@@ -83,6 +83,21 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.search(vectors, F.col("vec_id") % 20 == 0)
+
+
+OP5_SQL = """
+WITH scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, list_inner_product(q.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS score
+  FROM embeddings q JOIN embeddings x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id
+)
+SELECT query_id, (row_number() OVER best)::INTEGER AS rank, vec_id, score FROM scored
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 20
+"""
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -114,6 +129,21 @@ SELECT documents.doc_id AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingl
 FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.x JOIN documents ON documents.doc_id = reach.x GROUP BY documents.doc_id
 """
 
+def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.link_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP8_SQL = """
+WITH RECURSIVE links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b
+  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95
+),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+SELECT x AS vec_id, (SELECT count(*) FROM links WHERE links.x = reach.x) AS n_links, min(y) AS component_id, x = min(y) AS kept
+FROM reach GROUP BY x
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -135,9 +165,17 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op4_token_counts": op4_token_counts,
+    "op5_nearest": op5_nearest,
     "op6_secrets": op6_secrets,
     "op7_minhash_neardup": op7_minhash_neardup,
+    "op8_embedding_neardup": op8_embedding_neardup,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL, "op7_minhash_neardup": OP7_SQL}
+ORACLES = {
+    "op1_warc": OP1_SQL,
+    "op2_mixing": OP2_SQL,
+    "op5_nearest": OP5_SQL,
+    "op7_minhash_neardup": OP7_SQL,
+    "op8_embedding_neardup": OP8_SQL,
+}
