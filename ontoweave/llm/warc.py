@@ -43,7 +43,7 @@ def mark_revisits(captures: DataFrame, payload: str = "payload", least: int = LE
     """
     marked = captures.withColumns({"__digest": F.sha2(payload, 256), "__bytes": F.octet_length(payload).cast("bigint")})
     keepers = (
-        marked.where(F.col("__bytes") >= least)
+        marked.where((F.col("__bytes") >= least) & F.col("page_id").isNotNull())
         .groupBy(F.col("__digest").alias("__of"))
         .agg(F.min(F.struct("page_id", "url")).alias("__keeper"), F.count(F.lit(1)).alias("__n"))
         .where("__n > 1")
