@@ -38,3 +38,25 @@ def fixed_rows(column: pa.ChunkedArray | pa.Array, dtype, width: int) -> np.ndar
     if not len(column):
         return np.empty((0, width), dtype)
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), width)
+
+
+class Forest:
+    """Joins places and keeps the links that joined something new."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, xs: np.ndarray, ys: np.ndarray) -> None:
+        differ = self.parent[xs] != self.parent[ys]
+        for x, y in zip(xs[differ].tolist(), ys[differ].tolist(), strict=True):
+            a, b = self.root(x), self.root(y)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                self.edges.append((x, y))

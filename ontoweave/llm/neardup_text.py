@@ -7,9 +7,11 @@
    The joint likelihood of two sketches drops pairs that cannot reach the threshold; the
    rest is confirmed on full sets, and confirmed links make first components.
 3. Within a bucket only classes of different components are left to compare. They meet in
-   tiles of bounded size, all of them, and pass the same likelihood and the same
-   confirmation. So no link between two components is lost to the shortcut, while a large
-   group of near copies, which step 2 has joined, costs nothing more.
+   tiles of bounded size, all of them, and pass the same likelihood; the full sets of those
+   that have a likely partner meet in the same tile, where all intersections are counted at
+   once. What leaves a tile is a spanning forest of confirmed links. So no link between two
+   components is lost to the shortcut, a large group of near copies, which step 2 has
+   joined, costs nothing more, and no pair leaves its task.
 
 Results: ``n_shingles`` is the size of the set, ``component_id`` the smallest doc_id
 reachable by confirmed links, ``kept`` whether that is the row's own. A null or blank text
@@ -28,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setsketch
-from .arrow import fixed_rows, sorted_groups
+from .arrow import Forest, fixed_rows, sorted_groups
 from .common import components, written
 from .shingles import WordHashes, shingles
 
 LEAST = 75  # per cent
-TILE = 1024
+TILE = 512
 
 
 def _fingerprint(found: np.ndarray) -> bytes:
@@ -72,18 +74,18 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """``key``, ``class``, ``leader`` and ``n`` for every bucket of at least two classes.
+    """``key``, ``band``, ``class``, ``leader`` and ``n`` for every bucket of at least two classes.
 
     The leader is the class whose number, crossed with the bucket's key, is smallest: another
     class in each bucket, found by a minimum that combines before the shuffle.
     """
     width = 2 * setsketch.ROWS
     bands = [F.xxhash64(F.lit(i), F.substring("registers", i * width + 1, width)) for i in range(setsketch.BANDS)]
-    banded = classes.select("class", F.explode(F.array(*bands)).alias("key"))
+    banded = classes.select("class", F.posexplode(F.array(*bands)).alias("band", "key"))
     crossed = F.col("class").bitwiseXOR(F.col("key"))
     found = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(crossed).alias("__least")).where("n > 1")
     leader = F.col("__least").bitwiseXOR(F.col("key"))
-    return banded.join(found, "key").select("key", "class", leader.alias("leader"), "n")
+    return banded.join(found, "key").select("key", "band", "class", leader.alias("leader"), "n")
 
 
 def _likely(pairs: DataFrame, facts: DataFrame, least: float) -> DataFrame:
@@ -104,10 +106,12 @@ def _likely(pairs: DataFrame, facts: DataFrame, least: float) -> DataFrame:
 
 
 def _across(members: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of one bucket that lie in different components.
+    """``key``, ``i``, ``j`` and ``class`` for the classes that have a likely partner of another
+    component in that tile.
 
-    ``members``: key, n, class, label, n_shingles, registers. A bucket is dealt out in blocks of
-    at most about ``TILE`` classes, and every two blocks meet in a tile of their own.
+    ``members``: key, band, n, class, label, n_shingles, registers. A bucket is dealt out in
+    blocks of about ``TILE`` classes at most, and every two blocks meet in a tile of their
+    own. Two classes are compared in the first band they share only.
     """
     blocks = F.ceil(F.col("n") / TILE).cast("int")
     block = F.pmod(F.xxhash64("class"), blocks).cast("int")
@@ -115,18 +119,18 @@ def _across(members: DataFrame, least: float) -> DataFrame:
     dealt = members.withColumns({"__blocks": blocks, "block": block}).withColumn("__other", other)
     tiles = dealt.select(
         "key", F.least("block", "__other").alias("i"), F.greatest("block", "__other").alias("j"),
-        "block", "class", "label", "n_shingles", "registers",
+        "block", "band", "class", "label", "n_shingles", "registers",
     ).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    none = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["x", "y"])
 
     def run(batches):
         for group in sorted_groups(batches, ["key", "i", "j"]):
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            i, j, band = (group.column(c)[0].as_py() for c in ("i", "j", "band"))
             block, label, number, size = (group.column(c).to_numpy() for c in ("block", "label", "class", "n_shingles"))
             if (label == label[0]).all():
                 continue
             matrix = fixed_rows(group.column("registers"), np.uint16, setsketch.REGISTERS)
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            marked = np.zeros(len(number), bool)
             step = max(1, 40_000 // max(1, len(right)))
             for at in range(0, len(left), step):
                 part = left[at : at + step]
@@ -134,25 +138,24 @@ def _across(members: DataFrame, least: float) -> DataFrame:
                 if i == j:
                     meet &= number[part][:, None] < number[right][None, :]
                 a, b = np.nonzero(meet)
-                if not len(a):
-                    continue
                 a, b = part[a], right[b]
+                if band and len(a):
+                    same = matrix[a, : band * setsketch.ROWS] == matrix[b, : band * setsketch.ROWS]
+                    first = ~same.reshape(len(a), band, setsketch.ROWS).all(2).any(1)
+                    a, b = a[first], b[first]
                 keep = setsketch.likely(matrix[a], matrix[b], size[a], size[b], least)
-                if keep.any():
-                    x, y = number[a[keep]], number[b[keep]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
-        yield none
-
-    return tiles.mapInArrow(run, "x bigint, y bigint")
+                marked[a[keep]] = marked[b[keep]] = True
+            if marked.any():
+                columns = [group.column(c).filter(pa.array(marked)).combine_chunks() for c in ("key", "i", "j", "class", "block")]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "i", "j", "class", "block"])
 
+    return tiles.mapInArrow(run, "key bigint, i int, j int, class bigint, block int")
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs of classes whose full sets are similar enough, as ``u`` and ``v``.
 
-    One text per class is read again: the one whose doc_id the class bears.
-    """
-    ends = pairs.select(F.col("x").alias("class")).union(pairs.select(F.col("y").alias("class"))).distinct()
-    wanted = classes.join(ends, "class").select("class", "fingerprint", F.col("doc_id").alias("__id"))
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``class`` and ``shingles`` of the classes in ``wanted``, whose text is read again: one text
+    per class, that with the doc_id the class bears."""
+    wanted = classes.join(wanted.distinct(), "class").select("class", "fingerprint", F.col("doc_id").alias("__id"))
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     schema = pa.schema([("fingerprint", pa.binary()), ("shingles", pa.list_(pa.int64()))])
@@ -175,7 +178,13 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, per_cent:
 
     built = texts.select("text").mapInArrow(run, "fingerprint binary, shingles array<bigint>")
     built = built.groupBy("fingerprint").agg(F.first("shingles").alias("shingles"))
-    sets = written(built.join(wanted, "fingerprint").select("class", "shingles"), "sets")
+    return built.join(wanted, "fingerprint").select("class", "shingles")
+
+
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs of classes whose full sets are similar enough, as ``u`` and ``v``."""
+    ends = pairs.select(F.col("x").alias("class")).union(pairs.select(F.col("y").alias("class")))
+    sets = written(_sets(docs, classes, ends), "sets")
     both = pairs.join(sets.select(F.col("class").alias("x"), F.col("shingles").alias("s_x")), "x")
     both = both.join(sets.select(F.col("class").alias("y"), F.col("shingles").alias("s_y")), "y")
     shared = F.size(F.array_intersect("s_x", "s_y")).cast("bigint")
@@ -184,6 +193,49 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, per_cent:
     return enough.select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all ``left`` with all ``right`` sets, by matrix products over
+    the elements that more than one set holds."""
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count[element] > 1
+    rows, element = rows[often], (np.cumsum(count > 1) - 1)[element[often]]
+    order = np.argsort(element, kind="stable")
+    rows, element = rows[order], element[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(element[-1]) + 1 if len(element) else 0, step):
+        low, high = np.searchsorted(element, [at, at + step])
+        held = np.zeros((len(sets), step), np.float32)
+        held[rows[low:high], element[low:high] - at] = 1
+        out += held[left] @ held[right].T
+    return out.astype(np.int64)
+
+
+def _linked(marks: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """A spanning forest, as ``u`` and ``v``, of the confirmed links in each tile."""
+    tiles = marks.join(sets, "class").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        for group in sorted_groups(batches, ["key", "i", "j"]):
+            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            block, number = group.column("block").to_numpy(), group.column("class").to_numpy()
+            found = [np.asarray(v.values) for v in group.column("shingles")]
+            size = np.array([len(s) for s in found])
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            if not len(left) or not len(right):
+                continue
+            shared = intersections(found, left, right)
+            enough = shared * 100 >= (size[left][:, None] + size[right][None, :] - shared) * per_cent
+            a, b = np.nonzero(enough & (number[left][:, None] != number[right][None, :]))
+            forest = Forest(len(number))
+            forest.join(left[a], right[b])
+            if forest.edges:
+                u, v = np.array(forest.edges, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(number[u]), pa.array(number[v])], names=["u", "v"])
+
+    return tiles.select("key", "i", "j", "block", "class", "shingles").mapInArrow(run, "u bigint, v bigint")
+
+
 def link_documents(docs: DataFrame, per_cent: int = LEAST) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``fingerprint`` per document."""
     least = per_cent / 100
@@ -201,8 +253,8 @@ def link_documents(docs: DataFrame, per_cent: int = LEAST) -> DataFrame:
     rest = rest.withColumn("label", F.coalesce("label", "class"))
     mixed = rest.groupBy("key").agg(F.min("label").alias("__low"), F.max("label").alias("__high")).where("__low < __high")
     rest = rest.join(mixed.select("key"), "key").join(classes.select("class", "n_shingles", "registers"), "class")
-    across = written(_across(rest, least).distinct(), "across")
-    more = written(_confirmed(docs, classes, across, per_cent), "links")
+    marks_across = written(_across(rest, least), "across")
+    more = written(_linked(marks_across, _sets(docs, classes, marks_across.select("class")), per_cent), "links")
     if not more.isEmpty():
         labels = components(links.union(more)).select(F.col("node").alias("class"), F.col("root").alias("label"))
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import sorted_groups
+from .arrow import Forest, sorted_groups
 from .common import components, written
 from .vectors import matrix, usable
 
@@ -142,28 +142,6 @@ def links(vectors: np.ndarray, number: np.ndarray, left: np.ndarray, right: np.n
                 yield x, y
 
 
-class Forest:
-    """Joins places and keeps the links that joined something new."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-        self.edges: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def join(self, xs: np.ndarray, ys: np.ndarray) -> None:
-        differ = self.parent[xs] != self.parent[ys]
-        for x, y in zip(xs[differ].tolist(), ys[differ].tolist(), strict=True):
-            a, b = self.root(x), self.root(y)
-            if a != b:
-                self.parent[max(a, b)] = min(a, b)
-                self.edges.append((x, y))
-
-
 def link_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` per vector."""
     plain = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
