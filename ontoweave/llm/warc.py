@@ -202,7 +202,12 @@ def assemble(spark: SparkSession, path: str) -> DataFrame:
     inside = lambda *c: F.struct(*c)
     response = read_records(spark, path, ("response", "revisit")).select(
         F.col("record_id").alias("capture_id"),
-        inside("type", "target_uri", "date", "payload_digest", "http_head", "payload").alias("response"),
+        inside(
+            "type", "target_uri", "date", "payload_digest", "http_head", "payload",
+            # Taken here, so that a caller who needs no payload does not shuffle it.
+            F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+            F.sha2("payload", 256).alias("payload_sha256"),
+        ).alias("response"),
     )
     request = read_records(spark, path, ("request",)).select(
         F.col("concurrent_to").alias("capture_id"), inside("record_id", "target_uri", "http_head").alias("request")
@@ -229,8 +234,8 @@ def resolve(captures: DataFrame) -> DataFrame:
         F.when(page != "", page).cast("bigint").alias("page_id"),
         F.col("response.type").alias("__type"),
         F.col("response.payload_digest").alias("__digest"),
-        F.octet_length("response.payload").cast("bigint").alias("__bytes"),
-        F.sha2("response.payload", 256).alias("__sha256"),
+        F.col("response.payload_bytes").alias("__bytes"),
+        F.col("response.payload_sha256").alias("__sha256"),
     )
     index = (
         known.where("__type = 'response'")
