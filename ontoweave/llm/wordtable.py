@@ -7,14 +7,16 @@
    once. The answer goes back to its blocks by number.
 3. A block's documents meet its answers and take them by position.
 
-Only distinct words of blocks and numbers of words move, packed; the texts never do. A word
-that stands in every text is one entry per block. A block is bounded by its bytes of text
-(one text may be longer: a document is the unit), a bucket by the number of buckets, which
-grows with the bytes of all texts.
+Only distinct words of blocks move, packed; neither the texts nor the numbers of their words
+do: those are written bucketed by block, so that meeting the answers shuffles the answers
+alone. A word that stands in every text is one entry per block. A block is bounded by its
+bytes of text (one text may be longer: a document is the unit), a bucket by the number of
+buckets, which grows with the bytes of all texts.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,17 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh_folder
 from .pretokens import splitter
 
 BLOCK_BYTES = 16 << 20
 BUCKET_BYTES = 16 << 20
-MEMO = 1_000_000
 
-SPLIT = "block bigint, bucket int, words array<string>, numbers binary, doc_id bigint, n_bytes bigint, items binary"
+SPLIT = "block bigint, bucket int, words binary, lengths binary, numbers binary, doc_id bigint, n_bytes bigint, items binary"
 SPLIT_ARROW = pa.schema(
     [
-        ("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("numbers", pa.binary()),
+        ("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary()), ("numbers", pa.binary()),
         ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("items", pa.binary()),
     ]
 )
@@ -54,6 +55,16 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
+def pack_words(words: list[str]) -> tuple[bytes, bytes]:
+    lengths = np.fromiter(map(len, words), np.uint32, len(words))
+    return _packer.compress("".join(words).encode()), pack(lengths)
+
+
+def unpack_words(data: bytes, lengths: bytes) -> list[str]:
+    text, ends = _unpacker.decompress(data).decode(), np.cumsum(unpack(lengths), dtype=np.int64).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """``values[start : start + length]`` of every entry, one after the other."""
     ends = np.cumsum(lengths)
@@ -71,12 +82,13 @@ class Numbers(dict):
 
 def split(docs: DataFrame, path: str, buckets: int, items: Callable[[np.ndarray], bytes]) -> DataFrame:
     """Rows of documents (``doc_id``, ``n_bytes``, ``items``: what ``items`` keeps of the numbers
-    of the words) and rows of words (``bucket``, ``words``, their ``numbers``), by block."""
+    of the words) and rows of words (``bucket``, ``words``, their ``lengths`` and the steps from
+    one of their ``numbers`` to the next), by block."""
 
     def of_documents(block: int, rows: list) -> pa.RecordBatch:
         n = len(rows)
         ids, sizes, kept = zip(*rows, strict=True)
-        columns = [[block] * n, [None] * n, [None] * n, [None] * n, ids, sizes, kept]
+        columns = [[block] * n, *[[None] * n] * 4, ids, sizes, kept]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SPLIT_ARROW)], schema=SPLIT_ARROW)
 
     def of_words(block: int, known: Numbers) -> Iterator[pa.RecordBatch]:
@@ -85,7 +97,9 @@ def split(docs: DataFrame, path: str, buckets: int, items: Callable[[np.ndarray]
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         for numbers in np.split(order, cuts) if len(order) else []:
-            columns = [[block], [int(bucket[numbers[0]])], [words[numbers].tolist()], [pack(numbers)], [None], [None], [None]]
+            steps = pack(np.diff(numbers, prepend=0))
+            packed, lengths = pack_words(words[numbers].tolist())
+            columns = [[block], [int(bucket[numbers[0]])], [packed], [lengths], [steps], [None], [None], [None]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SPLIT_ARROW)], schema=SPLIT_ARROW)
 
     def run(batches):
@@ -116,24 +130,23 @@ def split(docs: DataFrame, path: str, buckets: int, items: Callable[[np.ndarray]
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """``block``, ``numbers``, ``lengths`` and ``ids`` from rows of words: every distinct word of
-    a bucket is encoded once (again only after a million others of the same task)."""
+    """``block``, ``numbers``, ``lengths`` and ``ids`` from rows of words that are sorted by bucket:
+    every distinct word of a bucket is encoded once."""
     schema = pa.schema([("block", pa.int64()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
 
     def run(batches):
-        cut, memo = splitter(path), {}
+        cut, memo, last = splitter(path), {}, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.column("words")[i].as_py()
-                new = [w for w in row if w not in memo]
-                if len(memo) + len(new) > MEMO:
-                    memo.clear()
-                    new = row
+            for row in batch.to_pylist():
+                if row["bucket"] != last:
+                    memo, last = {}, row["bucket"]
+                words = unpack_words(row["words"], row["lengths"])
+                new = [w for w in words if w not in memo]
                 memo.update(zip(new, cut.ids(new), strict=True))
-                found = [memo[w] for w in row]
+                found = [memo[w] for w in words]
                 lengths = np.fromiter(map(len, found), np.uint32, len(found))
                 flat = np.fromiter((n for ids in found for n in ids), np.uint32, int(lengths.sum()))
-                columns = [[batch.column("block")[i].as_py()], [batch.column("numbers")[i].as_py()], [pack(lengths)], [pack(flat)]]
+                columns = [[row["block"]], [row["numbers"]], [pack(lengths)], [pack(flat)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return words.mapInArrow(run, "block bigint, numbers binary, lengths binary, ids binary")
@@ -143,8 +156,10 @@ class BlockTable:
     """The ids of a block's words by their number."""
 
     def __init__(self, answers: pa.Table):
-        parts = [[unpack(v) for v in answers.column(c).to_pylist()] for c in ("numbers", "lengths", "ids")]
-        numbers, lengths, ids = ([*p, np.empty(0, np.uint32)] for p in parts)
+        numbers, lengths, ids = (
+            [*map(unpack, answers.column(c).to_pylist()), np.empty(0, np.uint32)] for c in ("numbers", "lengths", "ids")
+        )
+        numbers = [np.cumsum(steps, dtype=np.int64) for steps in numbers]
         numbers, lengths, self.ids = np.concatenate(numbers), np.concatenate(lengths), np.concatenate(ids)
         self.lengths = np.zeros(len(numbers), np.int64)
         self.starts = np.zeros(len(numbers), np.int64)
@@ -160,11 +175,16 @@ def by_blocks(
     schema: str,
 ) -> DataFrame:
     """What ``finish`` makes of each block's documents and the ids of its words."""
+    spark = docs.sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint"))).first()[0] or 0
-    buckets = max(1, -(-n_bytes // BUCKET_BYTES))
-    rows = written(split(docs, path, buckets, items), "words")
-    words = rows.where("bucket IS NOT NULL").select("block", "bucket", "words", "numbers")
-    answers = encoded_words(words.repartition("bucket"), path)
+    buckets, blocks = (max(1, -(-n_bytes // size)) for size in (BUCKET_BYTES, BLOCK_BYTES))
+    # A table, as only a table remembers its buckets; its files lie in the shared folder.
+    name = f"words_{uuid.uuid4().hex}"
+    writer = split(docs, path, buckets, items).write.bucketBy(max(8, blocks), "block").option("compression", "zstd")
+    writer.option("path", fresh_folder(spark, "words")).saveAsTable(name)
+    rows = spark.table(name)
+    words = rows.where("bucket IS NOT NULL").select("block", "bucket", "words", "lengths", "numbers")
+    answers = encoded_words(words.repartition("bucket").sortWithinPartitions("bucket"), path)
     documents = rows.where("bucket IS NULL").select("block", "doc_id", "n_bytes", "items")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
