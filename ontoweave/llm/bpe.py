@@ -26,13 +26,19 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers) per document,
     for the tokenizer file at ``path`` without added special tokens, truncation or padding."""
 
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+
     def finish(table: BlockTable, documents: pa.Table) -> pa.Table:
-        values = []
-        for item in documents.column("items"):
-            numbers = unpack(item.as_py())
-            values.append(ragged(table.ids, table.starts[numbers], table.lengths[numbers]).astype("<u4").tobytes())
-        counts = pa.array([len(v) // 4 for v in values], pa.int64())
-        return pa.table({"doc_id": documents.column("doc_id"), "n_tokens": counts, "ids": pa.array(values, pa.binary())})
+        made = []
+        # Small batches, as each passes to Spark as a whole.
+        for batch in documents.select(["doc_id", "items"]).to_batches(max_chunksize=64):
+            values = []
+            for item in batch.column("items"):
+                numbers = unpack(item.as_py())
+                values.append(ragged(table.ids, table.starts[numbers], table.lengths[numbers]).astype("<u4").tobytes())
+            columns = [batch.column("doc_id"), pa.array([len(v) // 4 for v in values], pa.int64()), pa.array(values, pa.binary())]
+            made.append(pa.RecordBatch.from_arrays(columns, schema=schema))
+        return pa.Table.from_batches(made, schema)
 
     return by_blocks(docs, path, pack, finish, "doc_id bigint, n_tokens bigint, ids binary")
 

@@ -1,7 +1,7 @@
 """A table of distinct words between texts and what a tokenizer makes of their words.
 
 1. Tasks split whole texts into pre-tokens and number the distinct ones of a block (about
-   16 MB of text). A document becomes the list of its words' numbers; the block's distinct
+   8 MB of text). A document becomes the list of its words' numbers; the block's distinct
    words are dealt into buckets by their hash. Both are written once to the shared folder.
 2. Buckets bring equal words of all blocks together, where each distinct word is encoded
    once. The answer goes back to its blocks by number.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import fresh_folder
 from .pretokens import splitter
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 
 SPLIT = "block bigint, bucket int, words binary, lengths binary, numbers binary, doc_id bigint, n_bytes bigint, items binary"
