@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import kinds
 from ..functions.names import plural
 from ..functions.text import field
-from .entities import MOST_TYPES
 from .query import query_frames
 from .suggest import Suggestion
 
@@ -118,7 +117,7 @@ def overview_tables(s: Suggestion, tables: Mapping[str, DataFrame]) -> dict[str,
     """The record types of an ontology by their plural, the best linked first."""
     links = lambda e: sum(e.id in (x.source, x.target) for x in s.links)
     records = [e for e in s.entities if e.kind == "record" and e.anchor in tables]
-    return {plural(e.name): tables[e.anchor] for e in sorted(records, key=links, reverse=True)[:MOST_TYPES]}
+    return {plural(e.name): tables[e.anchor] for e in sorted(records, key=links, reverse=True)}
 
 
 def save_analysis(dashboards: Sequence[Dashboard], name: str, title: str, sql: str, inputs: Sequence[str]) -> list[Dashboard]:

@@ -145,6 +145,14 @@ def test_no_key_no_entity(suggest):
     assert S.confirm_ontology(s).entities == ()
 
 
+def test_size_never_makes_activity(suggest):
+    dated = lambda n: table(n, order_id=lambda i: f"o{i}", customer_id=lambda i: f"c{i % 20}", placed=lambda i: f"2024-01-{i % 27 + 1:02}T00:00:00Z")
+    customers = ("customers", table(20, customer_id=lambda i: f"c{i}"), "postgres", "shop")
+    for n in (30, 3000):
+        s, _ = suggest(customers, ("orders", dated(n), "postgres", "shop"))
+        assert {e.name: e.kind for e in s.entities} == {"Customer": "record", "Order": "record"}
+
+
 def test_nothing_connected():
     s = S.suggest_ontology([])
     assert s.entities == () and s.summary == "0 entities from 0 datasets across 0 sources."
