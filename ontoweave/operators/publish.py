@@ -31,9 +31,11 @@ class Proposal:
 
 
 def input_ids(bundle: Bundle) -> list[str]:
-    """Stored datasets a bundle reads, directly or through its derived tables."""
+    """Stored datasets a bundle reads or describes: those of its derived tables, of its types
+    and of its catalog."""
     derived = {t.id for t in bundle.tables}
     read = [i for t in bundle.tables for i in t.inputs] + [t.dataset for t in bundle.types]
+    read += [dataset for dataset, _, _ in bundle.catalog]
     return [i for i in dict.fromkeys(read) if i not in derived]
 
 
@@ -41,15 +43,22 @@ def _columns(tables: dict[str, DataFrame]) -> dict[str, list[tuple[str, str]]]:
     return {i: [(f.name, sql_name(f.dataType)) for f in df.schema.fields] for i, df in tables.items()}
 
 
+def _served(store: Snapshots) -> dict[str, str]:
+    """The active version of every dataset that serves one, derived tables aside."""
+    served = store.registry().where("active_version IS NOT NULL AND generation IS NULL")
+    return {r["dataset_id"]: r["active_version"] for r in served.select("dataset_id", "active_version").collect()}
+
+
 def propose(store: Snapshots, graph: Graph, bundle: Bundle) -> Proposal:
-    """Check a bundle on the active versions; failing definitions are left out and the rest
-    is checked again."""
-    ids = input_ids(bundle)
-    tables = {i: store.active(i) for i in ids}
-    versions = {i: store.state(i)["active_version"] for i in ids}
+    """Check a bundle on the active versions; failing definitions, such as those about a
+    dataset the store does not serve, are left out and the rest is checked again."""
+    served = _served(store)
+    versions = {i: served[i] for i in input_ids(bundle) if i in served}
+    tables = {i: store.active(i) for i in versions}
     report = V.validate_bundle(tables, _columns(tables), bundle)
     if not all(c.passed for c in report):
         bundle = V.drop_failing(bundle, report)
+        versions = {i: versions[i] for i in input_ids(bundle)}
         report = V.validate_bundle(tables, _columns(tables), bundle)
     return Proposal(bundle, tuple(report), versions, graph.active())
 
@@ -69,11 +78,11 @@ def publish(
         raise PublicationRefused("Definitions must pass validation")
     bundle = proposal.bundle
     generation = generation or str(uuid.uuid4())
-    ids = input_ids(bundle)
-    versions = {i: store.state(i)["active_version"] for i in ids}
-    if versions != {i: proposal.versions[i] for i in ids}:
+    served = _served(store)
+    versions = {i: served.get(i) for i in input_ids(bundle)}
+    if versions != proposal.versions:
         raise PublicationRefused("Input data changed. Revalidate these definitions.")
-    tables = {i: store.active(i) for i in ids}
+    tables = {i: store.active(i) for i in versions}
     columns = _columns(tables)
     for t in bundle.tables:
         merged, _ = E.entity_table(tables, t.entity, columns, t.normalized)

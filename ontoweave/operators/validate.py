@@ -219,7 +219,8 @@ def drop_failing(bundle: Bundle, report: Sequence[CheckResult]) -> Bundle:
             r for r in bundle.relationships
             if ("relationship", r.name) not in failed and {r.from_type, r.to_type} <= types
         ),
-        actions=tuple(a for a in bundle.actions if a.type in types),
+        actions=tuple(a for a in bundle.actions if a.type in types and ("action", a.name) not in failed),
+        catalog=tuple(entry for entry in bundle.catalog if ("catalog", entry[0]) not in failed),
     )
 
 

@@ -498,16 +498,19 @@ def validate_bundle(spark, sf_dir):
     "publish_ontology",
     with_business(
         """SELECT 'object' AS kind, 'Customer' AS name, count(*) AS n FROM b_customers UNION ALL SELECT 'object', 'Order', count(*) FROM b_orders
-UNION ALL SELECT 'object', 'Country', count(*) FROM b_countries
+UNION ALL SELECT 'object', 'Country', count(*) FROM b_countries UNION ALL SELECT 'object', 'Region', count(*) FROM b_regions
+UNION ALL SELECT 'object', 'Supplier', count(*) FROM b_suppliers UNION ALL SELECT 'object', 'Part', count(*) FROM b_parts
 UNION ALL SELECT 'relation', 'billed to', count(*) FROM b_orders JOIN b_customers USING (customer_id)
-UNION ALL SELECT 'relation', 'references', count(*) FROM b_customers JOIN b_countries USING (country_id)
+UNION ALL SELECT 'relation', 'Customer references', count(*) FROM b_customers JOIN b_countries USING (country_id)
+UNION ALL SELECT 'relation', 'Supplier references', count(*) FROM b_suppliers JOIN b_countries USING (country_id)
+UNION ALL SELECT 'relation', 'Country references', count(*) FROM b_countries JOIN b_regions USING (region_id)
 UNION ALL SELECT 'lineage', d, count(*) FROM (VALUES ('customers'), ('contacts')) v(d) WHERE (SELECT count(*) FROM b_contacts) > 0 GROUP BY d""",
-        ["customers", "contacts", "orders", "countries"],
     ),
 )
 def publish_ontology(spark, sf_dir):
-    """From datasets to records: snapshots, suggestion, checks, merged table, publication."""
-    found = datasets(spark, sf_dir, ["customers", "contacts", "orders", "countries"])
+    """From all datasets to records: snapshots, suggestion, checks, merged table, publication.
+    One dataset has no key: it is described in the catalog and makes no records."""
+    found = datasets(spark, sf_dir)
     store, graph = Snapshots(spark, scratch(spark)), Graph(spark, scratch(spark))
     publish.store_all(store, found)
     bundle = entities.ontology_bundle(suggest.suggest_ontology(found), _columns({d.id: d.df for d in found}))
