@@ -198,9 +198,9 @@ def test_verified_export(spark, tmp_path, orders):
     manifest = files.verified_export({"orders": orders}, {"orders": 3}, str(tmp_path / "out"))
     row = manifest.first()
     assert row["rows"] == 3 and row["bytes"] > 0 and len(row["sha256"]) == 64
-    with pytest.raises(files.ExportFailed, match="Source count differs"):
+    with pytest.raises(files.ExportFailed, match="Rows of the source differ for"):
         files.verified_export({"orders": orders}, {"orders": 4}, str(tmp_path / "out2"))
-    with pytest.raises(files.ExportFailed, match="identifier"):
+    with pytest.raises(files.ExportFailed, match="Not a table name"):
         files.verified_export({"../x": orders}, {"../x": 3}, str(tmp_path / "out3"))
 
 
