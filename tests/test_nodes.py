@@ -140,6 +140,8 @@ def test_rerun_reads_the_active_versions(spark, sources, tmp_path):
         "SELECT id FROM orders WHERE id IN (SELECT id FROM secret)",
         "WITH x AS (SELECT * FROM secret) SELECT * FROM x",
         "SELECT (SELECT max(id) FROM secret) AS m FROM orders",
+        "SELECT x.*, s.hidden FROM (WITH secret AS (SELECT 1 AS one) SELECT * FROM secret) x CROSS JOIN secret s",
+        "WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS id) SELECT * FROM a",
         "SELECT TRANSFORM (id) USING 'cat' AS (x) FROM orders",
         "SELECT * FROM orders WHERE EXISTS (SELECT TRANSFORM (id) USING 'cat' AS (x) FROM orders)",
     ],
@@ -164,6 +166,19 @@ def test_ctes_and_quoted_names(sources):
     assert rows(out) == [(1,)]
 
 
+def test_a_with_clause_is_seen_in_its_scope_only(spark, sources):
+    spark.createDataFrame([(7,)], "hidden int").write.mode("overwrite").saveAsTable("secret")
+    try:
+        inner = "(WITH secret AS (SELECT 1 AS one) SELECT * FROM secret) x"
+        with pytest.raises(Q.QueryRefused, match="secret"):
+            Q.sql_over({"orders": sources["orders"]}, f"SELECT x.*, s.hidden FROM {inner} CROSS JOIN secret s")
+        assert rows(Q.sql_over({"orders": sources["orders"]}, f"SELECT * FROM {inner}")) == [(1,)]
+        nested = "WITH a AS (SELECT id FROM orders), b AS (SELECT id FROM a) SELECT (SELECT count(*) FROM b) AS n"
+        assert Q.sql_over({"orders": sources["orders"]}, nested).first()["n"] == sources["orders"].count()
+    finally:
+        spark.sql("DROP TABLE secret")
+
+
 def test_views_do_not_leak_between_sessions(spark, sources):
     Q.sql_over({"orders": sources["orders"]}, "SELECT * FROM orders").count()
     assert not spark.catalog.tableExists("orders")
