@@ -10,6 +10,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+def at_least(name: str, value: int, least: int) -> int:
+    """A caller's number as it is, or an error where it makes no sense."""
+    if value < least:
+        raise ValueError(f"{name} must be at least {least}")
+    return value
+
+
 def _plain(value):
     if isinstance(value, Row):
         return value.asDict(recursive=True)

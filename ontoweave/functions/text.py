@@ -37,14 +37,20 @@ def is_sensitive(name: str) -> bool:
     return re.search(SENSITIVE, name, re.I) is not None
 
 
+def shorten(text: Column, longest: int | None) -> Column:
+    """The first ``longest`` characters, with a mark where some are left out; all by default."""
+    if longest is None:
+        return text
+    return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit("…"))).otherwise(text)
+
+
 def redact(text: Column) -> Column:
-    """Drop credentials from a message and keep its first 1000 characters."""
+    """The whole text with credentials dropped; see :func:`shorten` for messages."""
     # What counts as a credential.
     urls = r"(?i)\b(postgres(?:ql)?|mysql)://[^\s]+"
     pairs = r"(?i)(password|api[_-]?key|authorization|token)\s*[:=]\s*[^\s,;]+"
     cleaned = F.regexp_replace(text, urls, "$1://[redacted]")
-    cleaned = F.regexp_replace(cleaned, pairs, "$1=[redacted]")
-    return F.substring(cleaned, 1, 1000)
+    return F.regexp_replace(cleaned, pairs, "$1=[redacted]")
 
 
 def plain(value: Column, kind: T.DataType) -> Column:

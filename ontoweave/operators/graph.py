@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.local import at_least
 from ..functions.text import BLANKS
 from ..plans.ordered import page_of
 from ..session import cut
 from .objects import link_counts
 
-MOST_NODES = 3000
-HISTORY = 30
+# A set of records that a caller limits to this many may be broadcast; others are left to
+# size-based planning.
+BROADCAST_RECORDS = 10_000
+
 
+def _few(kept: DataFrame, limit: int | None) -> DataFrame:
+    return F.broadcast(kept) if limit is not None and limit <= BROADCAST_RECORDS else kept
 
-def _bounded(limit: int) -> int:
-    return max(1, min(limit, MOST_NODES))
+
+def _limited(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(at_least("limit", limit, 1))
 
 
 def existing(relations: DataFrame, objects: DataFrame) -> DataFrame:
@@ -28,70 +32,71 @@ def existing(relations: DataFrame, objects: DataFrame) -> DataFrame:
     )
 
 
-def _edges_between(relations: DataFrame, kept: DataFrame) -> DataFrame:
-    """Relations inside a set of at most 3000 records, which is why it may be broadcast."""
+def _edges_between(relations: DataFrame, kept: DataFrame, limit: int | None) -> DataFrame:
+    """Relations inside a set of records."""
     ids = kept.select("id")
-    return relations.join(F.broadcast(ids.withColumnRenamed("id", "from_id")), "from_id", "left_semi").join(
-        F.broadcast(ids.withColumnRenamed("id", "to_id")), "to_id", "left_semi"
-    ).select("from_id", "to_id", "name")
+    inside = relations.join(_few(ids.withColumnRenamed("id", "from_id"), limit), "from_id", "left_semi")
+    inside = inside.join(_few(ids.withColumnRenamed("id", "to_id"), limit), "to_id", "left_semi")
+    return inside.select("from_id", "to_id", "name")
 
 
 def top_graph(
-    objects: DataFrame, relations: DataFrame, limit: int = 1500, published: bool = False
+    objects: DataFrame, relations: DataFrame, limit: int | None = None, published: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """The best-connected records and the relations among them.
+    """The ``limit`` best-connected records (all without one) and the relations among them.
 
     Relations of a ``published`` generation have both their records, so they need no check.
     """
     degree = link_counts(relations if published else existing(relations, objects))
     # Only ids are ranked; the records themselves join the few that are kept. The nodes and
     # both ends of the edges read the ranking, so it is settled once.
-    top = cut(
-        objects.select("id")
-        .join(degree, "id", "left")
-        .select("id", F.coalesce("links", F.lit(0)).alias("degree"))
-        .orderBy(F.col("degree").desc(), "id")
-        .limit(_bounded(limit))
-    )
-    return objects.join(F.broadcast(top), "id"), _edges_between(relations, top)
+    top = objects.select("id").join(degree, "id", "left").select("id", F.coalesce("links", F.lit(0)).alias("degree"))
+    if limit is not None:
+        top = _limited(top.orderBy(F.col("degree").desc(), "id"), limit)
+    top = cut(top)
+    return objects.join(_few(top, limit), "id"), _edges_between(relations, top, limit)
 
 
-def _next_to(relations: DataFrame, ids: DataFrame) -> DataFrame:
-    """Records one relation away from a bounded set, whichever way the relation points."""
-    near = F.broadcast(ids.select("id"))
+def _next_to(relations: DataFrame, ids: DataFrame, limit: int | None) -> DataFrame:
+    """Records one relation away from a set, whichever way the relation points."""
+    near = _few(ids.select("id"), limit)
     out = relations.join(near, F.col("from_id") == F.col("id"), "left_semi").select(F.col("to_id").alias("id"))
     into = relations.join(near, F.col("to_id") == F.col("id"), "left_semi").select(F.col("from_id").alias("id"))
     return out.unionByName(into).distinct()
 
 
-def k_hop(relations: DataFrame, focus: str, depth: int = 1, limit: int = 1500) -> DataFrame:
-    """Records within ``depth`` (1 to 3) relations of one, nearest first, at most ``limit``.
+def k_hop(relations: DataFrame, focus: str, depth: int = 1, limit: int | None = None) -> DataFrame:
+    """All records within ``depth`` relations of one; with a ``limit``, the nearest so many.
 
-    The frontier never exceeds the limit, so each step broadcasts it and scans the
-    relations once; steps are cut, so a later one does not repeat an earlier one.
+    Steps are cut, so a later one does not repeat an earlier one, and end where nothing new
+    is reached. A limit is met by whole hops first, then by id within the last one.
     """
-    limit = _bounded(limit)
+    at_least("depth", depth, 1)
     spark = relations.sparkSession
     seen = spark.range(1).select(F.lit(focus).alias("id"), F.lit(0).alias("hops"))
     frontier, found = seen, 1
-    for hop in range(1, max(1, min(depth, 3)) + 1):
-        if found >= limit:
+    for hop in range(1, depth + 1):
+        if limit is not None and found >= at_least("limit", limit, 1):
+            break
+        reached = _next_to(relations, frontier, limit).join(_few(seen, limit), "id", "left_anti")
+        if limit is not None:
+            reached = reached.orderBy("id").limit(limit - found)
+        frontier = cut(reached.withColumn("hops", F.lit(hop)))
+        new = frontier.count()
+        if not new:
             break
-        reached = _next_to(relations, frontier).join(F.broadcast(seen), "id", "left_anti")
-        frontier = cut(reached.orderBy("id").limit(limit - found).withColumn("hops", F.lit(hop)))
-        found += frontier.count()
+        found += new
         seen = seen.unionByName(frontier)
     return seen
 
 
 def neighborhood(
-    objects: DataFrame, relations: DataFrame, focus: str, depth: int = 1, limit: int = 1500, published: bool = False
+    objects: DataFrame, relations: DataFrame, focus: str, depth: int = 1, limit: int | None = None, published: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """The records around one, and the relations among them."""
     real = relations if published else existing(relations, objects)
     reached = k_hop(real, focus, depth, limit)
-    nodes = objects.join(F.broadcast(reached), "id")
-    return nodes, _edges_between(relations, reached)
+    return objects.join(_few(reached, limit), "id"), _edges_between(relations, reached, limit)
 
 
 def neighbors(relations: DataFrame, ids: DataFrame) -> DataFrame:
@@ -174,12 +179,15 @@ def list_records(
     by_label = sort in (None, "", "record")
     key = F.col("links").cast("string") if sort == "links" else F.try_element_at(F.col(values), F.lit(sort or ""))
     order = sort_keys(key, F.col("label"), descending and sort is not None, by_label)
-    page = page_of(found, order, max(0, offset), max(1, min(limit, 500)))
+    page = page_of(found, order, at_least("offset", offset, 0), at_least("limit", limit, 1))
     return page, total
 
 
-def record_detail(records: DataFrame, relations: DataFrame, audit: DataFrame, object_id: str) -> dict[str, DataFrame]:
-    """One record, the records related to it, and the last audit entries that name it.
+def record_detail(
+    records: DataFrame, relations: DataFrame, audit: DataFrame, object_id: str, history_limit: int | None = None
+) -> dict[str, DataFrame]:
+    """One record, the records related to it, and the audit entries that name it, newest
+    first: all, or the last ``history_limit``.
 
     ``audit(id, name, object_id, logical_id, from_logical_id, to_logical_id, created_at)``.
     """
@@ -192,7 +200,7 @@ def record_detail(records: DataFrame, relations: DataFrame, audit: DataFrame, ob
     for column in ("logical_id", "from_logical_id", "to_logical_id"):
         if column in audit.columns:
             named = named | F.coalesce(F.col(column) == logical, F.lit(False))
-    history = audit.where(named).orderBy(F.col("created_at").desc(), "id").limit(HISTORY)
+    history = _limited(audit.where(named).orderBy(F.col("created_at").desc(), "id"), history_limit)
     return {"record": record, "related": related, "history": history}
 
 

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from ..functions import kinds
 from ..functions.hashing import digest, row_hash
-from ..functions.local import local_frame
-from ..functions.text import canonical, field, is_sensitive, plain, unless_blank
+from ..functions.local import at_least, local_frame
+from ..functions.text import canonical, field, is_sensitive, plain, shorten, unless_blank
 from ..plans.cells import cells, counted, is_null, typed
 from ..plans.ordered import page_of
 
@@ -199,13 +199,13 @@ def _orderable(df: DataFrame) -> list[Column]:
 
 def sample_rows(df: DataFrame, n: int = 50) -> DataFrame:
     """The first rows in the order of all columns, so a rerun shows the same rows."""
-    return df.orderBy(*_orderable(df)).limit(max(0, min(n, 1000)))
+    return df.orderBy(*_orderable(df)).limit(at_least("n", n, 0))
 
 
 def page(df: DataFrame, order_by: list[str], offset: int = 0, limit: int = 100) -> DataFrame:
     """One page under a total order: the named columns, ties broken by the others."""
     ranked = [field(c) for c in order_by] + _orderable(df)
-    return page_of(df, ranked, max(0, offset), max(0, min(limit, 1000)))
+    return page_of(df, ranked, at_least("offset", offset, 0), at_least("limit", limit, 0))
 
 
 def counted_page(df: DataFrame, order_by: list[str], offset: int = 0, limit: int = 100) -> tuple[DataFrame, int]:
@@ -313,28 +313,29 @@ def schema_card(df: DataFrame, profile_df: DataFrame) -> DataFrame:
     )
 
 
-def _shortened(value: Column, kind: T.DataType) -> Column:
+def _shortened(value: Column, kind: T.DataType, longest: int | None) -> Column:
+    if longest is None:
+        return value
     if isinstance(kind, T.StringType):
-        return F.when(
-            F.length(value) > 40, F.concat(F.substring(value, 1, 40), F.lit("…"))
-        ).otherwise(value)
+        return shorten(value, longest)
     if isinstance(kind, T.ArrayType):
-        return F.transform(value, lambda x: _shortened(x, kind.elementType))
+        return F.transform(value, lambda x: _shortened(x, kind.elementType, longest))
     if isinstance(kind, T.StructType):
-        inner = [_shortened(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        inner = [_shortened(value[f.name], f.dataType, longest).alias(f.name) for f in kind.fields]
         return F.when(value.isNotNull(), F.struct(*inner))
     if isinstance(kind, T.MapType):
-        return F.transform_values(value, lambda _, v: _shortened(v, kind.valueType))
+        return F.transform_values(value, lambda _, v: _shortened(v, kind.valueType, longest))
     return value
 
 
-def mask_sample(df: DataFrame, hide: bool = True) -> DataFrame:
-    """Sensitive columns read ``[masked]``; long texts keep 40 characters."""
+def mask_sample(df: DataFrame, hide: bool = True, longest: int | None = None) -> DataFrame:
+    """Sensitive columns read ``[masked]``; texts, nested ones too, keep ``longest`` characters
+    if one is given."""
     return df.select(
         *[
             F.lit("[masked]").alias(f.name)
             if hide and is_sensitive(f.name)
-            else _shortened(field(f.name), f.dataType).alias(f.name)
+            else _shortened(field(f.name), f.dataType, longest).alias(f.name)
             for f in df.schema.fields
         ]
     )

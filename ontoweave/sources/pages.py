@@ -43,7 +43,8 @@ def explode_json_items(pages: DataFrame, column: str, items_path: str, item: str
 def last_days(df: DataFrame, time: str, days: int = 30, today: dt.date | None = None) -> DataFrame:
     """The last ``days`` whole UTC days ending today, as a half-open range on the time
     column itself, so that it reaches the scan; a ``day`` partition prunes folders too."""
-    days = min(max(days, 1), 365)
+    if days < 1:
+        raise ValueError("days must be at least 1")
     today = today or dt.datetime.now(dt.timezone.utc).date()
     start, end = today - dt.timedelta(days=days - 1), today + dt.timedelta(days=1)
     kind = df.schema[time].dataType

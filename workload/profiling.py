@@ -175,13 +175,12 @@ def mask_sample(spark, sf_dir):
 
 QUERIES["mask_sample"] = mask_sample
 ORACLES["mask_sample"] = """
-SELECT doc_id, CASE WHEN length(text) > 40 THEN substring(text, 1, 40) || '…' ELSE text END AS text,
-  lang, '[masked]' AS source_token, n_chars FROM documents"""
+SELECT doc_id, text, lang, '[masked]' AS source_token, n_chars FROM documents"""
 
 QUERIES["redact_text"] = lambda spark, d: table(spark, d, "documents").select(
     "doc_id", redact(F.col("text")).alias("text")
 )
 ORACLES["redact_text"] = r"""
-SELECT doc_id, substring(regexp_replace(regexp_replace(text, '\b(postgres(?:ql)?|mysql)://[^\s]+', '\1://[redacted]', 'gi'),
-  '(password|api[_-]?key|authorization|token)\s*[:=]\s*[^\s,;]+', '\1=[redacted]', 'gi'), 1, 1000) AS text
+SELECT doc_id, regexp_replace(regexp_replace(text, '\b(postgres(?:ql)?|mysql)://[^\s]+', '\1://[redacted]', 'gi'),
+  '(password|api[_-]?key|authorization|token)\s*[:=]\s*[^\s,;]+', '\1=[redacted]', 'gi') AS text
 FROM documents"""

@@ -97,7 +97,7 @@ TOP = "top AS (SELECT o.id, coalesce(links, 0) AS degree FROM o LEFT JOIN deg US
 
 @register("top_degree_graph", WORLD + f", {TOP} SELECT id, degree FROM top")
 def top_degree_graph(spark, sf_dir):
-    return graph.top_graph(*world(spark, sf_dir), published=True)[0].select("id", "degree")
+    return graph.top_graph(*world(spark, sf_dir), limit=1500, published=True)[0].select("id", "degree")
 
 
 @register(
@@ -105,7 +105,7 @@ def top_degree_graph(spark, sf_dir):
     WORLD + f", {TOP} SELECT name, from_id, to_id FROM r WHERE from_id IN (SELECT id FROM top) AND to_id IN (SELECT id FROM top)",
 )
 def top_degree_edges(spark, sf_dir):
-    return graph.top_graph(*world(spark, sf_dir), published=True)[1]
+    return graph.top_graph(*world(spark, sf_dir), limit=1500, published=True)[1]
 
 
 FOCUS = "g1_" + digest(type_id("Customer") + ":0")[:32]
@@ -116,10 +116,10 @@ FOCUS = "g1_" + digest(type_id("Customer") + ":0")[:32]
     WORLD
     + f""", h1 AS (SELECT DISTINCT neighbor AS id FROM ends WHERE id = '{FOCUS}'),
 h2 AS (SELECT DISTINCT neighbor AS id FROM ends WHERE id IN (SELECT id FROM h1) AND neighbor <> '{FOCUS}' AND neighbor NOT IN (SELECT id FROM h1))
-SELECT * FROM (SELECT '{FOCUS}' AS id, 0 AS hops UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) ORDER BY hops, id LIMIT 3000""",
+SELECT * FROM (SELECT '{FOCUS}' AS id, 0 AS hops UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2)""",
 )
 def k_hop(spark, sf_dir):
-    return graph.k_hop(world(spark, sf_dir)[1], FOCUS, 2, 3000)
+    return graph.k_hop(world(spark, sf_dir)[1], FOCUS, 2)
 
 
 @register(
@@ -203,8 +203,7 @@ def object_ref(type_name: str, column: str):
 @register(
     "record_detail",
     WORLD
-    + f""", h AS (SELECT 'audit_' || CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_custkey = 0
-  ORDER BY o_orderdate DESC, 'audit_' || CAST(o_orderkey AS VARCHAR) LIMIT 30)
+    + f""", h AS (SELECT 'audit_' || CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_custkey = 0)
 SELECT 'record' AS part, id FROM o WHERE id = '{FOCUS}' UNION ALL SELECT DISTINCT 'related', neighbor FROM ends WHERE id = '{FOCUS}'
 UNION ALL SELECT 'history', id FROM h""",
 )
