@@ -105,33 +105,28 @@ def key_columns(spark, sf_dir):
 
 
 def overlap_sql() -> str:
-    """Value index, self-joined per value: the plain way to count what two columns share."""
-    values, number = [], 0
-    names = []
-    for d, (t, columns) in enumerate(KEY_COLUMNS.items()):
-        for c in columns:
-            stem = c.split("_")[0][:3]
-            integer = 1 if (t, c) in INTEGERS else 0
-            values.append(
-                f"SELECT {number} AS c, {d} AS d, {integer} AS i, '{stem}' AS s, CAST({c} AS VARCHAR) AS v FROM b_{t} WHERE {c} IS NOT NULL"
-            )
-            names.append(f"({number}, '{t}', '{c}', {d}, {integer}, '{c.split('_')[0]}')")
-            number += 1
-    pairs = "a.v = b.v AND a.d <> b.d AND ((a.i = 0 AND b.i = 0) OR (a.s = b.s AND (a.i = 1 OR b.i = 1)))"
+    """The columns that hold each value, as written and folded, and what every two share."""
+    cells, columns = [], []
+    for d, (t, names) in enumerate(KEY_COLUMNS.items()):
+        for name in names:
+            number, integer = len(columns), 1 if (t, name) in INTEGERS else 0
+            cells.append(f"SELECT {number} AS c, CAST({name} AS VARCHAR) AS v FROM b_{t}")
+            columns.append(f"({number}, '{t}', '{name}', {d}, {integer}, '{name.split('_')[0]}')")
     return with_business("").rstrip() + f""",
-names(c, dataset, name, d, i, stem) AS (VALUES {", ".join(names)}),
-vals AS (SELECT * FROM ({" UNION ALL ".join(values)}) WHERE trim(v) <> ''),
-ex AS (SELECT c, d, i, s, v, count(*) AS n FROM vals GROUP BY ALL),
-ci AS (SELECT c, d, i, s, lower(trim(v)) AS v, count(*) AS n FROM vals GROUP BY ALL),
-pe AS (SELECT a.c AS a, b.c AS b, count(*) AS m, sum(a.n) AS r FROM ex a JOIN ex b ON {pairs} GROUP BY 1, 2),
-pc AS (SELECT a.c AS a, b.c AS b, count(*) AS m, sum(a.n) AS r FROM ci a JOIN ci b ON {pairs} GROUP BY 1, 2),
-te AS (SELECT c, count(*) AS dist, sum(n) AS r FROM ex GROUP BY 1),
-tc AS (SELECT c, count(*) AS dist FROM ci GROUP BY 1),
-shared AS (SELECT pc.a, pc.b, na.dataset AS from_dataset, na.name AS from_column, nb.dataset AS to_dataset, nb.name AS to_column,
-  CAST(coalesce(pe.m, 0) AS BIGINT) AS m_exact, CAST(pc.m AS BIGINT) AS m_ci, CAST(coalesce(pe.r, 0) AS BIGINT) AS a_rows_exact,
-  CAST(pc.r AS BIGINT) AS a_rows_ci, CAST(ta.dist AS BIGINT) AS a_distinct, CAST(ca.dist AS BIGINT) AS a_distinct_ci, CAST(ta.r AS BIGINT) AS a_rows
-  FROM pc LEFT JOIN pe USING (a, b) JOIN te ta ON ta.c = pc.a JOIN tc ca ON ca.c = pc.a JOIN tc cb ON cb.c = pc.b
-  JOIN names na ON na.c = pc.a JOIN names nb ON nb.c = pc.b WHERE pc.m >= 0.5 * least(ca.dist, cb.dist) OR pc.m >= 20)"""
+names(c, dataset, name, d, i, stem) AS (VALUES {", ".join(columns)}),
+written AS (SELECT c, v, count(*) AS n FROM ({" UNION ALL ".join(cells)}) WHERE trim(v) <> '' GROUP BY c, v),
+forms AS (SELECT true AS exact, c, v, n FROM written UNION ALL SELECT false, c, lower(trim(v)), sum(n) FROM written GROUP BY c, lower(trim(v))),
+holders AS (SELECT exact, list({{'c': c, 'n': n}}) AS held FROM forms GROUP BY exact, v),
+meetings AS (SELECT exact, x.c AS a, y.c AS b, x.n AS n FROM (SELECT exact, held, unnest(held) AS x FROM holders), unnest(held) AS u(y)),
+counted AS (SELECT a, b, count(*) FILTER (WHERE exact) AS m_exact, count(*) FILTER (WHERE NOT exact) AS m_ci,
+  CAST(coalesce(sum(n) FILTER (WHERE exact), 0) AS BIGINT) AS a_rows_exact, CAST(coalesce(sum(n) FILTER (WHERE NOT exact), 0) AS BIGINT) AS a_rows_ci
+  FROM meetings GROUP BY a, b),
+alone AS (SELECT a AS c, m_exact AS values_exact, m_ci AS values_ci, a_rows_exact AS filled FROM counted WHERE a = b),
+shared AS (SELECT a, b, f.dataset AS from_dataset, f.name AS from_column, t.dataset AS to_dataset, t.name AS to_column, m_exact, m_ci,
+  a_rows_exact, a_rows_ci, here.values_exact AS a_distinct, here.values_ci AS a_distinct_ci, here.filled AS a_rows
+  FROM counted JOIN names f ON f.c = a JOIN names t ON t.c = b JOIN alone here ON here.c = a JOIN alone there ON there.c = b
+  WHERE f.d <> t.d AND m_ci > 0 AND (f.i + t.i = 0 OR substr(f.stem, 1, 3) = substr(t.stem, 1, 3))
+  AND (m_ci >= 20 OR 2 * m_ci >= least(here.values_ci, there.values_ci)))"""
 
 
 OVERLAP = overlap_sql()
@@ -425,8 +420,10 @@ def type_key_check(spark, sf_dir):
 @register(
     "relationship_coverage",
     """
-SELECT count(DISTINCT a.l_orderkey) AS total, count(DISTINCT CASE WHEN b.p_partkey IS NOT NULL THEN a.l_orderkey END) AS matched,
-  count(b.p_partkey) AS pairs FROM lineitem a LEFT JOIN part b ON a.l_quantity = b.p_size""",
+WITH lines AS (SELECT l_quantity AS v, count(*) AS n FROM lineitem GROUP BY v), parts AS (SELECT p_size AS v, count(*) AS n FROM part GROUP BY v)
+SELECT (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS total,
+  (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_quantity IN (SELECT v FROM parts)) AS matched,
+  (SELECT CAST(sum(lines.n * parts.n) AS BIGINT) FROM lines JOIN parts USING (v)) AS pairs""",
 )
 def relationship_coverage(spark, sf_dir):
     lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")

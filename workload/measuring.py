@@ -51,12 +51,15 @@ ORACLES["metric_kpi_distinct"] = "SELECT CAST(count(DISTINCT user_id) AS DOUBLE)
 
 
 def trend_sql(grain: str, label: str, measure: str, source: str, time: str, where: str = "", zero: bool = True) -> str:
-    value = "COALESCE(v, 0)" if zero else "v"
+    """Every period that holds a day between the first and the last row, the newest 24 of
+    them, each measured by a query of its own."""
+    own = f"(SELECT {measure} FROM {source} WHERE date_trunc('{grain}', {time}) = period {where})"
+    value = f"coalesce({own}, 0)" if zero else own
     return f"""
-WITH d AS (SELECT date_trunc('{grain}', {time}) AS b, {measure} AS v FROM {source} WHERE {time} IS NOT NULL {where} GROUP BY 1),
-s AS (SELECT unnest(generate_series((SELECT min(b) FROM d), (SELECT max(b) FROM d), INTERVAL 1 {grain})) AS b)
-SELECT * FROM (SELECT strftime(s.b, '{label}') AS label, round(CAST({value} AS DOUBLE), 2) AS value
-  FROM s LEFT JOIN d ON s.b = d.b ORDER BY 1 DESC LIMIT 24) ORDER BY label"""
+WITH ends AS (SELECT CAST(min({time}) AS DATE) AS low, CAST(max({time}) AS DATE) AS high FROM {source} WHERE {time} IS NOT NULL {where}),
+calendar AS (SELECT DISTINCT date_trunc('{grain}', day) AS period FROM (SELECT unnest(range(low, high + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day FROM ends))
+SELECT strftime(period, '{label}') AS label, round(CAST({value} AS DOUBLE), 2) AS value FROM calendar
+WHERE period > (SELECT max(period) FROM calendar) - 24 * INTERVAL 1 {grain}"""
 
 
 QUERIES["metric_trend_month"] = run(MetricSpec("trend", "orders", "sum", "o_totalprice", "o_orderdate"))
@@ -74,10 +77,10 @@ QUERIES["metric_kpi_30d"] = run(
     MetricSpec("kpi", "orders", "sum", "o_totalprice", "o_orderdate", filter=("o_orderstatus", "O"))
 )
 ORACLES["metric_kpi_30d"] = """
-WITH e AS (SELECT max(o_orderdate) AS fin FROM orders), b AS (SELECT * FROM orders WHERE o_orderstatus = 'O')
-SELECT round(sum(o_totalprice) FILTER (WHERE o_orderdate > fin - INTERVAL 30 DAY), 2) AS value,
-  round(sum(o_totalprice) FILTER (WHERE o_orderdate > fin - INTERVAL 60 DAY AND o_orderdate <= fin - INTERVAL 30 DAY), 2) AS previous,
-  strftime(fin, '%Y-%m-%d') AS as_of FROM e LEFT JOIN b ON true GROUP BY fin"""
+WITH aged AS (SELECT o_totalprice, o_orderstatus = 'O' AS counted, o_orderdate, max(o_orderdate) OVER () AS newest FROM orders)
+SELECT round(sum(CASE WHEN counted AND newest - o_orderdate < INTERVAL 30 DAY THEN o_totalprice END), 2) AS value,
+  round(sum(CASE WHEN counted AND newest - o_orderdate >= INTERVAL 30 DAY AND newest - o_orderdate < INTERVAL 60 DAY THEN o_totalprice END), 2) AS previous,
+  strftime(max(newest), '%Y-%m-%d') AS as_of FROM aged"""
 
 QUERIES["metric_breakdown"] = run(MetricSpec("breakdown", "part", "avg", "p_retailprice", group_by="p_brand"))
 ORACLES["metric_breakdown"] = """
