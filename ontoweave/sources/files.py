@@ -24,17 +24,18 @@ def scan(
     path: str,
     format: str | None = None,
     schema: Sequence[Mapping[str, str]] | T.StructType | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read one dataset by its file kind. Give ``schema`` where it is known: inference
-    reads CSV and JSON twice. ``multi_line=False`` lets Spark split large CSV files, and is
-    right where no quoted value holds a line break."""
+    reads CSV and JSON twice. Spark splits large CSV files unless a quoted value holds a line
+    break, which a pass over the plain lines finds out; ``multi_line`` answers it beforehand."""
     kind = (format or path.rstrip("/").rsplit(".", 1)[-1]).lower()
     known = schema if schema is None or isinstance(schema, T.StructType) else declared(schema)
     reader = spark.read if known is None else spark.read.schema(known)
     if kind == "parquet":
         return reader.parquet(path)
     if kind == "csv":
+        multi_line = _breaks_lines(spark, path) if multi_line is None else multi_line
         reader = reader.options(header=True, escape='"', multiLine=multi_line)
         if known is None:
             reader = reader.schema(_widened(_inferred_csv(spark, path, multi_line)))
@@ -45,6 +46,12 @@ def scan(
     return df if known is not None else with_times(df)
 
 
+def _breaks_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted value holds a line break: then some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def _inferred_csv(spark: SparkSession, path: str, multi_line: bool) -> T.StructType:
     """The schema Spark infers; times without a zone stay without one."""
     session = spark.newSession()
@@ -67,29 +74,31 @@ TIMES = {
 }
 
 
+FIRST_ROWS = 100
+
+
 def with_times(df: DataFrame) -> DataFrame:
     """Text columns whose every value is a date or time, as one; JSON has no such types.
 
-    All rows decide, in one aggregate over the text columns.
+    All rows decide, in one aggregate. What the first rows already rule out is not asked of
+    the others, which leaves the columns that do hold times, each with its own rule.
     """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not texts:
-        return df
-    tests = [
-        F.bool_and(
-            F.when(field(name).isNotNull(), field(name).rlike(rule) & field(name).try_cast(kind).isNotNull())
-        ).alias(f"{n} {kind}")
-        for n, name in enumerate(texts)
-        for kind, rule in TIMES.items()
-    ]
-    found = df.agg(*tests).first()
-    casts = {
-        name: field(name).cast(kind)
-        for n, name in enumerate(texts)
-        for kind in TIMES
-        if found[f"{n} {kind}"]
-    }
-    return df.withColumns(casts) if casts else df
+    open_tests = [(name, kind) for name in texts for kind in TIMES]
+    for rows in (df.limit(FIRST_ROWS), df):
+        if not open_tests:
+            return df
+        holds = [
+            F.bool_and(
+                F.when(field(name).isNotNull(), field(name).rlike(TIMES[kind]) & field(name).try_cast(kind).isNotNull())
+            ).alias(str(n))
+            for n, (name, kind) in enumerate(open_tests)
+        ]
+        found = rows.agg(*holds).first()
+        # A column without values so far is still open.
+        passed = (True,) if rows is df else (True, None)
+        open_tests = [test for n, test in enumerate(open_tests) if found[str(n)] in passed]
+    return df.withColumns({name: field(name).cast(kind) for name, kind in open_tests}) if open_tests else df
 
 
 def declared(columns: Sequence[Mapping[str, str]]) -> T.StructType:
