@@ -49,30 +49,32 @@ def activity_feed(spark, sf_dir):
     )
 
 
-def _job_feed(spark, sf_dir):
+def _feed(spark, sf_dir):
     jobs, runs, audits = operations(spark, sf_dir, "jobs", "runs", "audits")
-    runs = runs.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
-    return feeds.activity_feed(jobs, runs.where("false"), audits.where("false"))
+    runs = runs.withColumn("updated_at", F.timestamp_seconds("updated_at").cast("timestamp_ntz"))
+    return feeds.activity_feed(jobs, runs, audits)
 
 
+FEED = f"""{JOB_FEED} UNION ALL SELECT id, 'run', goal, status, make_timestamp(CAST(updated_at AS BIGINT) * 1000000), NULL, NULL FROM o_runs
+UNION ALL SELECT id, CASE WHEN proposal_id IS NOT NULL AND object_id IS NULL THEN 'publish' ELSE 'edit' END, name, 'succeeded', updated_at, NULL, NULL FROM o_audits"""
 KEYED = f"""k AS (SELECT *, CASE kind WHEN 'pipeline' THEN 'pipeline:' || title WHEN 'sync' THEN 'sync:' || coalesce(source_id, title) END AS key
-  FROM ({JOB_FEED}))"""
+  FROM ({FEED}))"""
 
 
 @register(
     "collapse_all",
-    with_operations("", "jobs").rstrip()
+    with_operations("", "jobs", "runs", "audits").rstrip()
     + f""", {KEYED}, n AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY coalesce(key, '=' || id)) - 1 AS repeats FROM k
   WINDOW w AS (PARTITION BY coalesce(key, '=' || id) ORDER BY "at" DESC, id))
 SELECT id, kind, title, status, "at", repeats FROM n WHERE rn = 1""",
 )
 def collapse_all(spark, sf_dir):
-    return feeds.collapse(_job_feed(spark, sf_dir), "all").select("id", "kind", "title", "status", "at", "repeats")
+    return feeds.collapse(_feed(spark, sf_dir), "all").select("id", "kind", "title", "status", "at", "repeats")
 
 
 @register(
     "collapse_adjacent",
-    with_operations("", "jobs").rstrip()
+    with_operations("", "jobs", "runs", "audits").rstrip()
     + f""", {KEYED.replace("'sync:' || coalesce(source_id, title)", "'sync:' || status")},
 m AS (SELECT *, CASE WHEN key IS NULL OR key IS DISTINCT FROM lag(key) OVER (ORDER BY "at" DESC, id) THEN 1 ELSE 0 END AS starts FROM k),
 r AS (SELECT *, sum(starts) OVER (ORDER BY "at" DESC, id ROWS UNBOUNDED PRECEDING) AS run FROM m),
@@ -81,7 +83,7 @@ SELECT id, kind, title, status, "at", repeats FROM n WHERE rn = 1""",
 )
 def collapse_adjacent(spark, sf_dir):
     # Syncs are told apart by outcome here, so that runs of many lengths occur.
-    feed = _job_feed(spark, sf_dir).withColumn("source_id", F.col("status"))
+    feed = _feed(spark, sf_dir).withColumn("source_id", F.col("status"))
     return feeds.collapse(feed, "adjacent").select("id", "kind", "title", "status", "at", "repeats")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ontoweave.operators import profile, query
 from ontoweave.plans import nodes, runs
 from ontoweave.operators.snapshots import Snapshots
@@ -216,10 +218,19 @@ def rejected_rows(spark, sf_dir):
     return runs.rejected_rows(orders, output, "o_orderkey")
 
 
-@register("node_preview")
+@register(
+    "node_preview",
+    """
+SELECT * FROM (SELECT 'orders' AS dataset, CAST(o_orderkey AS VARCHAR) AS first_value FROM orders ORDER BY o_orderkey LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM customer ORDER BY c_custkey LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'output', c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 0
+  GROUP BY c_mktsegment ORDER BY c_mktsegment LIMIT 5)""",
+)
 def node_preview(spark, sf_dir):
+    """The preview's rows by the value of their first column."""
     sources = {t: table(spark, sf_dir, t) for t in ("orders", "customer")}
-    return runs.preview(sources, nodes.build(GRAPH, sources))
+    shown = runs.preview(sources, nodes.build(GRAPH, sources))
+    return shown.select("dataset", F.regexp_extract("row", r'^\{"[^"]+":"?([^",}]*)', 1).alias("first_value"))
 
 
 @register(

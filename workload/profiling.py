@@ -117,7 +117,24 @@ ORACLES["duplicate_rows"] = f"""
 SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT {", ".join(PAIRS)} FROM lineitem))
   AS duplicate_rows FROM lineitem"""
 
-QUERIES["fingerprint"] = lambda spark, d: profile.fingerprint(table(spark, d, "orders"))
+
+def fingerprint(spark, sf_dir):
+    """Fingerprints of a table as it is, dealt out anew, and with one value changed."""
+    orders = table(spark, sf_dir, "orders")
+    first = orders.agg(F.min("o_orderkey").alias("k")).first()["k"]
+    price = F.when(F.col("o_orderkey") == first, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    made = {"as it is": orders, "dealt anew": orders.repartition(5), "changed": orders.withColumn("o_totalprice", price)}
+    prints = [profile.fingerprint(df).select(F.col("fingerprint").alias("digest")).withColumn("name", F.lit(name)) for name, df in made.items()]
+    return (
+        reduce(DataFrame.unionByName, prints)
+        .groupBy("digest")
+        .agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+        .select("names")
+    )
+
+
+QUERIES["fingerprint"] = fingerprint
+ORACLES["fingerprint"] = "SELECT unnest(['as it is, dealt anew', 'changed']) AS names WHERE (SELECT count(*) > 0 FROM orders)"
 
 
 CUSTOMER = [

@@ -43,7 +43,7 @@ QUERIES["scan_parquet"] = lambda spark, d: files.scan(spark, f"{d}/lineitem.parq
 ORACLES["scan_parquet"] = "SELECT * FROM lineitem"
 
 
-@register("empty_schema")
+@register("empty_schema", "SELECT * FROM orders WHERE o_orderkey IS NULL")
 def empty_schema(spark, sf_dir):
     """The given table's columns, declared, over a landing that holds no rows."""
     path = f"{scratch(spark)}/empty.jsonl"
@@ -76,11 +76,11 @@ ITEM = "struct<id: bigint, amount: double>"
     "SELECT l_partkey AS id, l_extendedprice AS amount FROM lineitem",
 )
 def explode_items(spark, sf_dir):
-    """Pages of lines, one per order and line number, as landed JSON text."""
-    lines = table(spark, sf_dir, "lineitem")
+    """One page per order with all its lines, as landed JSON text."""
     item = F.struct(F.col("l_partkey").alias("id"), F.col("l_extendedprice").alias("amount"))
-    body = F.to_json(F.struct(F.struct(F.array(item).alias("items")).alias("data")))
-    return pages.explode_json_items(lines.select(body.alias("body")), "body", "data.items", ITEM)
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    body = F.to_json(F.struct(F.struct("items").alias("data")))
+    return pages.explode_json_items(orders.select(body.alias("body")), "body", "data.items", ITEM)
 
 
 @register(
@@ -115,11 +115,10 @@ def normalize_billing(spark, sf_dir):
 SELECT concat('in_', CAST(l_orderkey AS VARCHAR)) AS invoice_id, l_linenumber AS line, l_quantity AS quantity FROM lineitem""",
 )
 def explode_children(spark, sf_dir):
-    # Invoices arrive in pages, each with the lines it embeds: here, one line per landed row.
+    # An invoice embeds all its lines.
     line = F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"))
-    parents = table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("in_"), "l_orderkey").alias("id"), F.struct(F.array(line).alias("data")).alias("lines")
-    )
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("data"))
+    parents = orders.select(F.concat(F.lit("in_"), "l_orderkey").alias("id"), F.struct("data").alias("lines"))
     return billing.children(parents, "invoice_line_items")
 
 
@@ -222,11 +221,17 @@ def keyset_page(spark, sf_dir):
     return pages.keyset_page(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], None, 100)
 
 
-@register("verified_export")
+@register(
+    "verified_export",
+    " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows, true AS digested FROM {t}" for t in ("region", "nation", "customer")),
+)
 def verified_export(spark, sf_dir):
+    """The manifest by table: rows proved in the copy, and a digest for every file."""
     tables = {t: table(spark, sf_dir, t) for t in ("region", "nation", "customer")}
     expected = {t: df.count() for t, df in tables.items()}
-    return files.verified_export(tables, expected, scratch(spark))
+    manifest = files.verified_export(tables, expected, scratch(spark))
+    digested = (F.length("sha256") == 64) & (F.col("bytes") > 0)
+    return manifest.groupBy("name").agg(F.max("rows").alias("rows"), F.bool_and(digested).alias("digested"))
 
 
 @register("export_active", "SELECT * FROM supplier")
@@ -400,6 +405,15 @@ def readiness(spark, sf_dir):
     return snapshots.readiness(*_setup(spark, sf_dir))
 
 
-@register("readiness_signature")
+@register("readiness_signature", "SELECT 1 AS repeated, 3 AS changed")
 def readiness_signature(spark, sf_dir):
-    return snapshots.readiness_signature(*_setup(spark, sf_dir))
+    """Signatures of the same state in another order (one), and after a dataset, a source or
+    an import changed (one more for each but the last, which finishes)."""
+    datasets, sources, imports = _setup(spark, sf_dir)
+    signed = lambda *state: snapshots.readiness_signature(*state)
+    same = signed(datasets, sources, imports).union(signed(datasets.repartition(3), sources.repartition(2), imports.repartition(4)))
+    newer = datasets.withColumn("active_version", F.concat("active_version", F.lit("+")))
+    changed = signed(newer, sources, imports).union(signed(datasets, sources.where("id <> 'source_0'"), imports))
+    changed = changed.union(signed(datasets, sources, imports.withColumn("status", F.lit("failed"))))
+    distinct = lambda df, name: df.agg(F.count_distinct(df.columns[0]).cast("int").alias(name))
+    return distinct(same, "repeated").join(distinct(changed.exceptAll(same), "changed"), F.lit(True))
