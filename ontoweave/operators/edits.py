@@ -41,11 +41,17 @@ def effective_records(objects: DataFrame, overlays: DataFrame) -> DataFrame:
     )
 
 
+def _named_in(df: DataFrame, few: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows of a large table that a small one names. A semi join may broadcast the small
+    side, so that the large one is read and never shuffled; joins that keep unmatched rows of
+    the small side come after it."""
+    return df.join(few.select(*on).distinct(), list(on), "left_semi")
+
+
 def preview_edits(objects: DataFrame, overlays: DataFrame, edits: DataFrame) -> DataFrame:
     """What each edit would change: the record before and after."""
-    current = effective_records(objects, overlays).select(
-        "logical_id", F.col("effective").alias("before"), "revision"
-    )
+    named = (_named_in(df, edits, ["logical_id"]) for df in (objects, overlays))
+    current = effective_records(*named).select("logical_id", F.col("effective").alias("before"), "revision")
     return edits.select("logical_id", "values").join(current, "logical_id").select(
         "logical_id", "before", overlaid(F.col("before"), F.col("values")).alias("after"), "revision"
     )
@@ -116,8 +122,8 @@ def apply_edits(
         F.min_by(F.struct("edit_id", "request_hash"), order).alias("first")
     )
     seen = done.select("idempotency_key", F.col("request_hash").alias("done_hash"))
-    known = objects.select("logical_id", "id", "type", "name", "base")
-    current = overlays.select(
+    known = _named_in(objects.select("logical_id", "id", "type", "name", "base"), edits, ["logical_id"])
+    current = _named_in(overlays, edits, ["logical_id"]).select(
         "logical_id", F.col("values").alias("old_values"), F.col("revision").alias("old_revision")
     )
     placed = (
@@ -194,7 +200,7 @@ def manual_from(df: DataFrame, t: TypeDef) -> DataFrame:
 
 def with_manual_objects(objects: DataFrame, manual: DataFrame, types: Sequence[str], generation: str) -> DataFrame:
     """Published objects and the created ones whose key no source row has."""
-    published = objects.select("type", "key")
+    published = _named_in(objects.select("type", "key"), manual, ["type", "key"])
     kept = manual.where(F.col("type").isin(list(types))).join(published, ["type", "key"], "left_anti")
     return objects.unionByName(_as_objects(kept, types, generation))
 
@@ -230,7 +236,8 @@ def with_relation_edits(relations: DataFrame, edits: DataFrame, objects: DataFra
         "enabled",
     )
     untouched = relations.join(placed, ["name", "from_id", "to_id"], "left_anti")
-    ids = objects.select("id")
+    ends = placed.select(F.explode(F.array("from_id", "to_id")).alias("id"))
+    ids = _named_in(objects.select("id"), ends, ["id"])
     forced = (
         placed.where("enabled")
         .drop("enabled")
