@@ -16,7 +16,7 @@ import xxhash
 WIDTH = 5
 #: Fixed odd multipliers of the mixing steps.
 FOLD, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-MEMO = 400_000
+MEMO = 150_000
 
 
 class WordHashes(dict):

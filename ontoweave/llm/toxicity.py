@@ -34,7 +34,10 @@ from .common import written
 FOLDS = 5
 SPACE = 1 << 22
 EDGES = b".,;:!?*&%#@()[]{}\"'`|<>-_=+~^/\\"
-MEMO = 300_000
+# Words remembered by a task: with all their features while training, with those that weigh while scoring.
+FEW, MANY = 30_000, 150_000
+# Texts handled at a time.
+SLICE = 64
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -55,12 +58,12 @@ def word_features(word: bytes) -> list[int]:
 class Known(dict):
     """What a function gives for a word, computed once; forgotten when too many are known."""
 
-    def __init__(self, function):
+    def __init__(self, function, most: int):
         super().__init__()
-        self.function = function
+        self.function, self.most = function, most
 
     def __missing__(self, word: bytes):
-        if len(self) >= MEMO:
+        if len(self) >= self.most:
             self.clear()
         value = self[word] = self.function(word)
         return value
@@ -127,10 +130,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     schema = pa.schema([("positive", pa.bool_()), ("unlabelled", pa.bool_()), ("bag", pa.int32()), ("features", pa.list_(pa.int32()))])
 
     def featurise(batches):
-        memo = Known(word_features)
+        memo = Known(word_features, FEW)
         for batch in batches:
-            found = [list({f for w in distinct_words(t.as_py()) for f in memo[w]}) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, schema.field(3).type)], schema=schema)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = [
+                    np.fromiter({f for w in distinct_words(t.as_py()) for f in memo[w]}, np.int32) for t in part.column("text")
+                ]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, schema.field(3).type)], schema=schema)
 
     spec = "positive boolean, unlabelled boolean, bag int, features array<int>"
     rows = written(sample.repartition(F.xxhash64("text")).mapInArrow(featurise, spec), "toxicity")
@@ -177,20 +184,20 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     weights, bias = model.weights, model.bias
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         weight = shared.value
-        memo = Known(lambda word: [f for f in word_features(word) if f in weight] or None)
+        memo = Known(lambda word: [f for f in word_features(word) if f in weight] or None, MANY)
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
             found: set[int] = set()
-            for word in distinct_words(text):
+            for word in distinct_words(text.as_py()):
                 hit = memo[word]
                 if hit:
                     found.update(hit)
             total = bias + sum(weight[f] for f in sorted(found))
             out[i] = 0.0 if total == -math.inf else 1 / (1 + math.exp(-max(-700.0, min(700.0, total))))
-        return pd.Series(out)
+        return pa.array(out)
 
     return docs.withColumn(name, scored(F.col("text").cast("string")))
 
