@@ -81,27 +81,38 @@ class Model:
     bias: float = -math.inf
 
 
+class Sparse:
+    """Rows that hold a 1 at their places and at a last one, the bias, for two products."""
+
+    def __init__(self, rows: list[np.ndarray], width: int):
+        self.rows, self.width = len(rows), width + 1
+        sizes = np.array([len(r) + 1 for r in rows], np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        self.owner = np.repeat(np.arange(len(rows)), sizes)
+        self.places = np.concatenate([np.append(r, width) for r in rows]).astype(np.int64) if rows else np.empty(0, np.int64)
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weights[self.places], self.starts) if self.rows else np.empty(0)
+
+    def mean(self, factors: np.ndarray) -> np.ndarray:
+        """The rows' mean, each times its factor."""
+        return np.bincount(self.places, factors[self.owner], self.width) / max(1, self.rows)
+
+
 def train_bag(rows: list[tuple[bool, np.ndarray]], width: int, prior: float, steps: int = 300) -> np.ndarray:
     """Weights and bias (last) of one bag by the non-negative risk, full batches and Adam."""
-    matrix = np.zeros((len(rows), width + 1), np.float32)
-    for i, (_, found) in enumerate(rows):
-        matrix[i, found] = 1.0
-    matrix[:, width] = 1.0
-    positive = np.array([p for p, _ in rows], bool)
-    plus, rest = matrix[positive], matrix[~positive]
+    plus, rest = (Sparse([found for p, found in rows if p is side], width) for side in (True, False))
     weights = np.zeros(width + 1, np.float64)
     weights[width] = math.log(prior / (1 - prior))
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     decay = np.full(width + 1, 1e-4)
     decay[width] = 0.0
     for step in range(1, steps + 1):
-        at_plus = 1 / (1 + np.exp(-np.clip(plus @ weights, -30, 30)))
-        at_rest = 1 / (1 + np.exp(-np.clip(rest @ weights, -30, 30)))
+        at_plus, at_rest = (1 / (1 + np.exp(-np.clip(side.times(weights), -30, 30))) for side in (plus, rest))
         # Logistic loss: its slope is s - 1 as a positive and s as a negative.
-        hidden = prior * (at_plus @ plus) / max(1, len(plus))
-        slope_minus = (at_rest @ rest) / max(1, len(rest)) - hidden
+        slope_minus = rest.mean(at_rest) - prior * plus.mean(at_plus)
         risk_minus = -np.log1p(-at_rest + 1e-12).mean() + prior * np.log1p(-at_plus + 1e-12).mean()
-        slope_plus = prior * ((at_plus - 1) @ plus) / max(1, len(plus))
+        slope_plus = prior * plus.mean(at_plus - 1)
         slope = -slope_minus if risk_minus < 0 else slope_plus + slope_minus
         slope = slope + decay * weights
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope * slope
@@ -157,20 +168,26 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     if not chosen:
         return Model({}, math.log(prior / (1 - prior)))
     places = {f: i for i, f in enumerate(chosen)}
+
+    def narrow(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                kept = [[places[f] for f in found if f in places] for found in part.column("features").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(kept, schema.field(3).type)], schema=schema)
+
+    few = rows.select("positive", "unlabelled", "bag", "features").mapInArrow(narrow, spec)
     bag_of = F.explode(F.when(F.col("positive"), F.sequence(F.lit(0), F.lit(bags - 1))).otherwise(F.array("bag")))
     # A confirmed example that was also drawn as unlabelled counts as both, in its own bag.
-    dealt = rows.select("positive", "features", bag_of.alias("bag")).unionByName(
-        rows.where("positive AND unlabelled").select(F.lit(False).alias("positive"), "features", "bag")
+    dealt = few.select("positive", "features", bag_of.alias("bag")).unionByName(
+        few.where("positive AND unlabelled").select(F.lit(False).alias("positive"), "features", "bag")
     )
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        held = [
-            (bool(p), np.array([places[f] for f in found if f in places], np.int64))
-            for p, found in zip(group["positive"], group["features"], strict=True)
-        ]
+        held = [(bool(p), np.asarray(found, np.int64)) for p, found in zip(group["positive"], group["features"], strict=True)]
         if all(p for p, _ in held):
             return pd.DataFrame({"weights": []})
-        return pd.DataFrame({"weights": [train_bag(held, len(places), prior).tolist()]})
+        return pd.DataFrame({"weights": [train_bag(held, len(chosen), prior).tolist()]})
 
     fitted = dealt.groupBy("bag").applyInPandas(fit, "weights array<double>").collect()
     if not fitted:
