@@ -54,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, and the text they decode to."""
     path = public_tokenizers.path(TOKENIZER)
-    return bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path).select(
+    return bpe.encode(docs.select("doc_id", "text"), path, decoded=True).select(
         "doc_id",
         "n_tokens",
         "ids",

@@ -22,25 +22,33 @@ from .pretokens import pieces
 from .wordtable import BlockTable, by_blocks, pack, ragged, unpack
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """``doc_id``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers) per document,
-    for the tokenizer file at ``path`` without added special tokens, truncation or padding."""
+    for the tokenizer file at ``path`` without added special tokens, truncation or padding.
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    ``decoded`` adds what :func:`decode` makes of the ids, while they are at hand.
+    """
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]
+    schema = pa.schema([*fields, ("decoded", pa.string())] if decoded else fields)
 
     def finish(table: BlockTable, documents: pa.Table) -> pa.Table:
         made = []
         # Small batches, as each passes to Spark as a whole.
         for batch in documents.select(["doc_id", "items"]).to_batches(max_chunksize=64):
-            values = []
+            values, texts = [], []
             for item in batch.column("items"):
                 numbers = unpack(item.as_py())
-                values.append(ragged(table.ids, table.starts[numbers], table.lengths[numbers]).astype("<u4").tobytes())
+                ids = ragged(table.ids, table.starts[numbers], table.lengths[numbers]).astype("<u4")
+                values.append(ids.tobytes())
+                if decoded:
+                    texts.append(text_of(ids, path))
             columns = [batch.column("doc_id"), pa.array([len(v) // 4 for v in values], pa.int64()), pa.array(values, pa.binary())]
+            columns += [pa.array(texts, pa.string())] if decoded else []
             made.append(pa.RecordBatch.from_arrays(columns, schema=schema))
         return pa.Table.from_batches(made, schema)
 
-    return by_blocks(docs, path, pack, finish, "doc_id bigint, n_tokens bigint, ids binary")
+    spec = "doc_id bigint, n_tokens bigint, ids binary" + (", decoded string" if decoded else "")
+    return by_blocks(docs, path, pack, finish, spec)
 
 
 @cache
@@ -51,19 +59,21 @@ def piece_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(found), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
+def text_of(ids: np.ndarray, path: str) -> str:
+    """The pieces of the ids, joined; bytes that are no UTF-8 become U+FFFD."""
+    flat, starts, lengths = piece_table(path)
+    return ragged(flat, starts[ids], lengths[ids]).tobytes().decode("utf-8", "replace")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` and the ``decoded`` text, special tokens included; bytes
     that are no UTF-8 become U+FFFD."""
 
     def run(batches):
-        flat, starts, lengths = piece_table(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                texts = []
-                for value in part.column("ids"):
-                    ids = np.frombuffer(value.as_py() or b"", "<u4")
-                    texts.append(ragged(flat, starts[ids], lengths[ids]).tobytes().decode("utf-8", "replace"))
+                texts = [text_of(np.frombuffer(value.as_py() or b"", "<u4"), path) for value in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     kept = encoded.select("doc_id", "n_tokens", "ids")

@@ -77,6 +77,8 @@ def test_counts(docs):
 def test_round_trip(docs):
     made = library(BYTE)
     got = bpe.decode(bpe.encode(docs, BYTE), BYTE).collect()
+    at_once = bpe.encode(docs, BYTE, decoded=True).collect()
+    assert sorted(map(repr, at_once)) == sorted(map(repr, got))
     wanted = []
     for r in docs.collect():
         ids = made.encode(r["text"] or "", add_special_tokens=False).ids
