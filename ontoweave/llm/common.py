@@ -30,6 +30,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 256
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session hands at most ``BATCH_ROWS`` rows at once to Python.
+
+    Spark's own bound counts rows only (10,000), which for long texts is tens of megabytes in
+    the JVM and again in each worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(df.sparkSession.conf.get(name, "0"))
+    if not 0 < held <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """The rows with their position, from 0, in a total order.
 

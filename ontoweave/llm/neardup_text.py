@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import setsketch
 from .arrow import Forest, fixed_rows, sorted_groups
-from .common import components, written
+from .common import components, small_batches, written
 from .shingles import WordHashes, shingles
 
 LEAST = 75  # per cent
@@ -239,6 +239,7 @@ def _linked(marks: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 def link_documents(docs: DataFrame, per_cent: int = LEAST) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``fingerprint`` per document."""
     least = per_cent / 100
+    small_batches(docs)
     marks = written(sketched(docs), "sketches")
     facts = [F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")]
     classes = marks.where("n_shingles > 0").groupBy("fingerprint").agg(*facts)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # The patterns of the strong parts, and the length from which a match counts.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -102,7 +104,7 @@ def find(docs: DataFrame, reach: int = REACH, name: str = "spans") -> DataFrame:
         rows = (linked_parts(t.as_py(), reach) for t in texts)
         return pa.array([[dict(zip(("kind", "start", "end", "anchor"), p)) for p in row] for row in rows], pa.list_(struct))
 
-    return docs.withColumn(name, found(F.col("text").cast("string")))
+    return small_batches(docs).withColumn(name, found(F.col("text").cast("string")))
 
 
 def redacted(text: str, spans: str) -> Column:

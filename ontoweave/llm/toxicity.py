@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 FOLDS = 5
 SPACE = 1 << 22
@@ -122,6 +122,7 @@ def train_bag(rows: list[tuple[bool, np.ndarray]], width: int, prior: float, ste
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, features: int = 2048, bags: int = 4) -> Model:
     """A model from the labelled rows outside the held-out fold and unlabelled text there."""
+    small_batches(docs)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold() != 0)
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
     n_known, n_toxic = known.agg(F.count(F.lit(1)), F.sum("__toxic")).first()
@@ -199,6 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """The documents with a score from 0 to 1 by their whole text alone."""
     weights, bias = model.weights, model.bias
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.arrow_udf("double")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_folder
+from .common import fresh_folder, small_batches
 from .pretokens import splitter
 
 BLOCK_BYTES = 8 << 20
@@ -175,7 +175,7 @@ def by_blocks(
     schema: str,
 ) -> DataFrame:
     """What ``finish`` makes of each block's documents and the ids of its words."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint"))).first()[0] or 0
     buckets, blocks = (max(1, -(-n_bytes // size)) for size in (BUCKET_BYTES, BLOCK_BYTES))
     # A table, as only a table remembers its buckets; its files lie in the shared folder.
