@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,8 +31,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KEYWORDS = ("passw", "secret", "token", "api")
-# The weak parts.
-KEY = re.compile(r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
+# The weak parts. A key may follow an assignment sign; "=" after 40 characters pads a longer value.
+KEY = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
 ENDPOINT = re.compile(r"https?://[^\s\"'<>()]+|(?<![\w.-])(?:[a-z0-9-]+\.)+amazonaws\.com")
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -76,6 +77,7 @@ def linked_parts(text: str | None, reach: int = REACH) -> list[tuple[str, int, i
     by_kind = {k: sorted((s, e) for kind, s, e in strong if kind == k) for k in BASE}
     rules = [("key", KEY, by_kind["access"]), ("endpoint", ENDPOINT, sorted(by_kind["access"] + by_kind["assign"]))]
     taken = sorted((s, e) for _, s, e in strong)
+    ends = list(accumulate((e for _, e in taken), max))
     bounds = None
     for kind, pattern, others in rules:
         if not others:
@@ -86,8 +88,8 @@ def linked_parts(text: str | None, reach: int = REACH) -> list[tuple[str, int, i
             start, end = match.span()
             place = bisect_right(bounds, start)
             low, high = bounds[place - 1], bounds[place] if place < len(bounds) else len(text) + 1
-            inside = bisect_right(taken, (start, end))
-            if kind == "key" and any(s <= start and end <= e for s, e in taken[max(0, inside - 1) : inside + 1]):
+            before = bisect_right(taken, (start, len(text)))
+            if kind == "key" and before and end <= ends[before - 1]:
                 continue  # already part of a strong one
             anchor = nearest(others, start, end, low, high, reach)
             if anchor is not None:

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ontoweave.llm import secrets
 
 ACCESS, KEY = "AKIA" + "Q7" * 8, "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12"
@@ -49,6 +50,29 @@ def test_weak_parts_need_a_complement_in_scope():
     assert key == ("key", 21, 61, 0)
 
 
+@pytest.mark.parametrize("name", ["aws_secret_access_key", "AWS_SECRET_ACCESS_KEY", "secret_key", "SecretAccessKey"])
+@pytest.mark.parametrize(
+    "form", ["{n}={k}", "{n} = {k}", "{n}: {k}", "{n}:{k}", '{n}="{k}"', "export {n}='{k}'", '{{"{n}":"{k}"}}', "https://s3.example/x?a=1&{n}={k}&b=2"]
+)
+def test_a_key_after_any_assignment_sign(name, form):
+    for text in (f"id={ACCESS}\n{form.format(n=name, k=KEY)}", f"{form.format(n=name, k=KEY)}\nid={ACCESS}"):
+        at = text.index(KEY)
+        assert [p[1:] for p in secrets.linked_parts(text) if p[0] == "key"] == [(at, at + 40, text.index(ACCESS))], text
+
+
+def test_what_is_no_key_after_an_assignment_sign():
+    kinds = lambda text: [p[0] for p in secrets.linked_parts(text)]
+    assert kinds(f"{ACCESS} secret_key={KEY}a") == kinds(f"{ACCESS} secret_key={KEY}=") == ["access"], "a longer value"
+    assert kinds(f"secret_key={KEY}") == [], "no complement"
+    assert kinds(f"secret={ACCESS}={KEY}") == ["assign", "access"], "inside an assigned secret, behind another part"
+
+
+def test_assigned_keys_leave_the_text(spark):
+    docs = spark.createDataFrame([(1, f"AWS_ACCESS_KEY_ID={ACCESS}\nAWS_SECRET_ACCESS_KEY={KEY}\n", None)], "doc_id bigint, text string, n_chars int")
+    (row,) = corpus_pipeline.hide_secrets(spark, docs, "").collect()
+    assert row["text"] == "AWS_ACCESS_KEY_ID=[secret]\nAWS_SECRET_ACCESS_KEY=[secret]\n" and row["n_chars"] == len(row["text"])
+
+
 def test_many_parts_in_one_text():
     text = "\n".join(f"{ACCESS} {KEY} token=abcdef{i}" for i in range(20_000))
     parts = secrets.linked_parts(text)
