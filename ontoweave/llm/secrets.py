@@ -4,9 +4,11 @@ Strong parts are reported wherever they stand: assignments of a secret, access i
 and long hex runs. Weak parts (a bare 40-character key, an endpoint) say nothing alone; an
 interval join inside each document reports them only where a complementary part lies in the
 same scope: a key beside an access identifier, an endpoint beside an access identifier or
-an assigned secret. A scope is a paragraph (text between blank lines); parts of one scope
-are joined if at most ``reach`` code points lie between them. The join sweeps the parts in
-order of their starts, so it costs no more than sorting them, however many a text holds.
+an assigned secret. A scope is a paragraph (text between blank lines), however long it is;
+a ``reach`` joins only parts with at most that many code points between them. ``find`` has
+none unless the caller gives one; ``linked_parts`` alone takes ``REACH``. The join sweeps the
+parts in order of their starts, so it costs no more than sorting them, however many a text
+holds.
 
 Nothing crosses a document, so there is no shuffle. Positions are code points, ends are
 exclusive. A null or empty text has no parts; repeated rows are answered one by one; other
@@ -56,18 +58,30 @@ def strong_parts(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def nearest(parts: list[tuple[int, int]], start: int, end: int, low: int, high: int, reach: int) -> int | None:
-    """The start of the closest of ``parts`` (sorted) inside ``low`` to ``high`` and within reach."""
+def furthest(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """For each of ``parts`` (sorted) the one with the largest end up to there."""
+    return list(accumulate(parts, lambda held, p: p if p[1] > held[1] else held))
+
+
+def nearest(
+    parts: list[tuple[int, int]], ends: list[tuple[int, int]], start: int, end: int, low: int, high: int, reach: int | None
+) -> int | None:
+    """The start of the closest of ``parts`` (sorted) inside ``low`` to ``high`` and within
+    reach; ``ends`` are their ``furthest``.
+
+    Of all parts before, the one with the largest end is closest. No strong part holds a line
+    break, so one inside the scope ends behind all those of earlier scopes.
+    """
     at = bisect_left(parts, (start, end))
     best = None
-    for other in parts[max(0, at - 1) : at + 1]:
+    for other in [*parts[max(0, at - 1) : at + 1], *ends[max(0, at - 1) : at]]:
         gap = max(other[0] - end, start - other[1], 0)
-        if low <= other[0] < high and gap <= reach and (best is None or gap < best[0]):
+        if low <= other[0] < high and (reach is None or gap <= reach) and (best is None or gap < best[0]):
             best = (gap, other[0])
     return best[1] if best else None
 
 
-def linked_parts(text: str | None, reach: int = REACH) -> list[tuple[str, int, int, int | None]]:
+def linked_parts(text: str | None, reach: int | None = REACH) -> list[tuple[str, int, int, int | None]]:
     """All reported parts of one text by start, then kind: kind, start, end, and the start of
     the complementary part that a weak one was joined to."""
     strong = strong_parts(text) if text else []
@@ -77,11 +91,12 @@ def linked_parts(text: str | None, reach: int = REACH) -> list[tuple[str, int, i
     by_kind = {k: sorted((s, e) for kind, s, e in strong if kind == k) for k in BASE}
     rules = [("key", KEY, by_kind["access"]), ("endpoint", ENDPOINT, sorted(by_kind["access"] + by_kind["assign"]))]
     taken = sorted((s, e) for _, s, e in strong)
-    ends = list(accumulate((e for _, e in taken), max))
+    ends = furthest(taken)
     bounds = None
     for kind, pattern, others in rules:
         if not others:
             continue
+        others_ends = furthest(others)
         if bounds is None:
             bounds = [0, *(m.end() for m in BLANK.finditer(text))]
         for match in pattern.finditer(text):
@@ -89,15 +104,15 @@ def linked_parts(text: str | None, reach: int = REACH) -> list[tuple[str, int, i
             place = bisect_right(bounds, start)
             low, high = bounds[place - 1], bounds[place] if place < len(bounds) else len(text) + 1
             before = bisect_right(taken, (start, len(text)))
-            if kind == "key" and before and end <= ends[before - 1]:
+            if kind == "key" and before and end <= ends[before - 1][1]:
                 continue  # already part of a strong one
-            anchor = nearest(others, start, end, low, high, reach)
+            anchor = nearest(others, others_ends, start, end, low, high, reach)
             if anchor is not None:
                 spans.append((kind, start, end, anchor))
     return sorted(spans, key=lambda p: (p[1], KINDS.index(p[0]), p[2]))
 
 
-def find(docs: DataFrame, reach: int = REACH, name: str = "spans") -> DataFrame:
+def find(docs: DataFrame, reach: int | None = None, name: str = "spans") -> DataFrame:
     """Adds the reported parts of each text, sorted by start, then kind as listed."""
     struct = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("anchor", pa.int32())])
 

@@ -73,6 +73,48 @@ def test_assigned_keys_leave_the_text(spark):
     assert row["text"] == "AWS_ACCESS_KEY_ID=[secret]\nAWS_SECRET_ACCESS_KEY=[secret]\n" and row["n_chars"] == len(row["text"])
 
 
+def test_a_long_paragraph_is_one_scope(spark):
+    filler = "x " * 5000
+    texts = [f"{ACCESS} {filler}{KEY}", f"{KEY} {filler}{ACCESS}", f"password=hunter22 {filler}https://db.example", f"{ACCESS}\n\n{filler}{KEY}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for reach, wanted in ((None, [["access", "key"], ["key", "access"], ["assign", "endpoint"], ["access"]]), (400, [["access"], ["access"], ["assign"], ["access"]])):
+        found = secrets.find(docs, reach).orderBy("doc_id").collect()
+        assert [[p["kind"] for p in r["spans"]] for r in found] == wanted
+    assert [p["kind"] for p in secrets.find(docs).orderBy("doc_id").first()["spans"]] == ["access", "key"]
+    hidden = corpus_pipeline.hide_secrets(spark, docs, "").collect()
+    assert KEY not in "".join(r["text"] for r in hidden if r["doc_id"] < 2)
+
+
+def test_a_long_part_before_is_measured_by_its_end():
+    # The assigned value holds an access identifier whose own end is out of reach.
+    text = f"token={ACCESS}.{'x' * 500} https://db.example"
+    assert [p for p in secrets.linked_parts(text) if p[0] == "endpoint"] == [("endpoint", text.index("https"), len(text), 0)]
+
+
+def test_closest_parts_by_brute_force():
+    draw = random.Random(7)
+    words = [ACCESS, KEY, f"token={ACCESS}.{'x' * 60}", "secret=abcdefgh", "https://s3.example/x", "\n\n", "\n", " ", "y" * 30, "="]
+    for _ in range(1500):
+        text = "".join(draw.choice(words) + draw.choice([" ", ", ", ""]) for _ in range(draw.randrange(14)))
+        strong = secrets.strong_parts(text)
+        bounds = [0, *(m.end() for m in secrets.BLANK.finditer(text)), len(text) + 1]
+        for reach in (None, 40, 400):
+            wanted = {}
+            for kind, pattern, others in (("key", secrets.KEY, ("access",)), ("endpoint", secrets.ENDPOINT, ("access", "assign"))):
+                for m in pattern.finditer(text):
+                    start, end = m.span()
+                    low, high = next(p for p in zip(bounds, bounds[1:]) if p[0] <= start < p[1])
+                    gaps = [max(s - end, start - e, 0) for k, s, e in strong if k in others and low <= s < high]
+                    within = kind == "key" and any(s <= start and end <= e for _, s, e in strong)
+                    if gaps and not within and (reach is None or min(gaps) <= reach):
+                        wanted[kind, start, end] = min(gaps)
+            got = {}
+            for kind, start, end, anchor in secrets.linked_parts(text, reach):
+                if anchor is not None:
+                    got[kind, start, end] = min(max(s - end, start - e, 0) for k, s, e in strong if s == anchor and k in ("access", "assign")[: 1 + (kind == "endpoint")])
+            assert got == wanted, text
+
+
 def test_many_parts_in_one_text():
     text = "\n".join(f"{ACCESS} {KEY} token=abcdef{i}" for i in range(20_000))
     parts = secrets.linked_parts(text)
