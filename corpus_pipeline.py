@@ -25,16 +25,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one with the smallest doc_id.
+    """Keeps one row of each group of near copies, the one with the smallest doc_id.
 
-    Rows that repeat both doc_id and text stay once.
+    Rows are linked under keys of their own, so null and repeated doc_ids decide nothing: a null
+    doc_id is larger than any other, and of rows that repeat the smallest doc_id any one stays.
+    Rows without text are linked with nothing and all stay.
     """
-    links = neardup_text.link_documents(docs.select("doc_id", "text")).select("doc_id", "kept")
-    by_id = links.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    by_id = written(by_id, "kept")
-    dropped = by_id.where("NOT kept").select(F.col("doc_id").alias("__dropped"))
-    rest = docs.join(dropped, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__dropped")), "left_anti")
-    return rest if by_id.where("n > 1").isEmpty() else rest.dropDuplicates(["doc_id", "text"])
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    links = neardup_text.link_documents(rows.select(F.col("__row").alias("doc_id"), "text"))
+    links = links.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    doc_id = F.col("doc_id").cast("bigint")
+    named = written(rows.select("__row", F.struct(doc_id.isNull(), doc_id, "__row").alias("__order")).join(links, "__row"), "named")
+    first = named.groupBy("__group").agg(F.min("__order").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    dropped = named.join(first, "__group").where("__order.__row <> __first.__row").select("__row")
+    return rows.join(dropped, "__row", "left_anti").drop("__row")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ontoweave.llm import neardup_text, setsketch
 from ontoweave.llm.shingles import WordHashes, shingles
 
@@ -141,3 +142,23 @@ def test_one_crowd_of_equal_texts_is_one_class(spark, text):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
     got = neardup_text.link_documents(docs).agg(F.min("component_id"), F.max("component_id"), F.count_if("kept")).first()
     assert tuple(got) == (0, 0, 1)
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = lambda name, last="end": " ".join([f"{name}{i}" for i in range(60)] + [last])
+    rows = [(None, text("a")), (None, text("a", "other")), (None, text("a"))]  # a group without any id
+    rows += [(5, text("b")), (5, text("c")), (3, text("c", "other")), (None, text("c"))]  # an id with two texts
+    rows += [(8, text("d")), (8, text("d", "other")), (8, text("d"))]  # near copies under one id
+    rows += [(None, ""), (None, ""), (9, None), (9, None)]  # linked with nothing
+    for made in (rows, planted(3) + rows):
+        docs = spark.createDataFrame(made, DOCS).withColumn("n_chars", F.lit(1)).repartition(3)
+        out = corpus_pipeline.drop_near_copies(spark, docs, "")
+        assert out.columns == docs.columns
+        groups = {}
+        for n, _, group, _ in brute([(n, t) for n, (_, t) in enumerate(made)]):
+            groups.setdefault(group, []).append((made[n][0] is None, made[n][0] or 0, n))
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert set(got) <= set(made)
+        assert sorted(repr(i) for i, _ in got) == sorted(repr(made[min(g)[2]][0]) for g in groups.values())
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sum((r["text"] or "").startswith("a0 ") for r in got) == 1 and (3, text("c", "other")) in [tuple(r) for r in got]
