@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup_text, neardup_vectors, nearest, secrets, sharding, token_counts, toxicity, warc
+from . import bpe, hardneg, mixing, neardup_text, neardup_vectors, nearest, quality, secrets, sharding, spelling, token_counts, toxicity, warc
 from .common import fresh_folder, table
 
 
@@ -160,6 +160,172 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.col("label").cast("bigint")
+    turned = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hardneg.mine(vectors, turned, F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id AS anchor_id, positive_id, (row_number() OVER best)::INTEGER AS rank, s.vec_id AS negative_id,
+  positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER best <= 3
+"""
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP12_SQL = r"""
+WITH split AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents
+),
+windows AS (
+  SELECT doc_id, unnest(list_transform(range(1, greatest(len(words) - 1, 1)), lambda i: struct_pack(pos := i, w := array_to_string(words[i:i + 2], ' ')))) AS s
+  FROM split
+),
+again AS (SELECT doc_id, s.pos AS pos FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s.w) > 1),
+covered AS (SELECT doc_id, count(DISTINCT pos + d) AS n FROM again, (SELECT unnest([0, 1, 2]) AS d) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM split),
+dup_lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+),
+base AS (
+  SELECT split.doc_id AS doc_id, lang, text, low, len(words) AS n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(dup_lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM split LEFT JOIN covered USING (doc_id) LEFT JOIN dup_lines USING (doc_id)
+),
+chars AS (
+  SELECT doc_id, lang, unnest(range(9)) AS bin, unnest([
+    length(regexp_replace(text, '[^a-z]', '', 'g')), length(regexp_replace(text, '[^A-Z]', '', 'g')),
+    length(regexp_replace(text, '[^0-9]', '', 'g')), length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')),
+    length(regexp_replace(text, '[^.,;:!?]', '', 'g')), length(regexp_replace(text, '[^''"()-]', '', 'g')),
+    length(regexp_replace(text, '[^\x{80}-\x{27F}]', '', 'g')), length(regexp_replace(text, '[\x{0}-\x{27F}]', '', 'g')),
+    length(regexp_replace(text, '[a-zA-Z0-9\x20\x09-\x0D.,;:!?''"()-]|[^\x00-\x7F]', '', 'g'))]) AS n
+  FROM split
+),
+words AS (SELECT doc_id, lang, unnest(regexp_extract_all(low, '[^\x20\x09-\x0D]+')) AS word FROM split),
+sizes AS (SELECT lang FROM words WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= 10000 ORDER BY count(*) DESC, lang LIMIT 256),
+places AS (SELECT doc_id, sizes.lang AS ref FROM base LEFT JOIN sizes USING (lang)),
+word_counts AS (
+  SELECT lang AS ref, word, count(*) AS n FROM words JOIN sizes USING (lang) GROUP BY ALL
+  UNION ALL SELECT NULL, word, count(*) FROM words GROUP BY word
+),
+common AS (
+  SELECT ref, word, n, sum(n) OVER (PARTITION BY ref) AS total FROM word_counts
+  QUALIFY row_number() OVER (PARTITION BY ref ORDER BY strlen(word) > 64, n DESC, encode(word)) <= 200
+),
+char_counts AS (
+  SELECT lang AS ref, bin, sum(n) AS n FROM chars JOIN sizes USING (lang) GROUP BY ALL
+  UNION ALL SELECT NULL, bin, sum(n) FROM chars GROUP BY bin
+),
+totals AS (SELECT ref, sum(n) AS total FROM word_counts GROUP BY ref),
+word_shares AS (
+  SELECT common.ref AS ref, word, n / totals.total AS p FROM common JOIN totals ON totals.ref IS NOT DISTINCT FROM common.ref
+),
+rests AS (SELECT ref, '' AS word, 1 - sum(p) AS p FROM word_shares GROUP BY ref),
+word_bins AS (SELECT ref, word, p FROM word_shares UNION ALL SELECT ref, word, p FROM rests),
+char_bins AS (SELECT ref, bin, n / sum(n) OVER (PARTITION BY ref) AS p FROM char_counts),
+held AS (
+  SELECT w.doc_id, coalesce(b.word, '') AS word, count(*) AS n FROM words w JOIN places USING (doc_id)
+  LEFT JOIN word_bins b ON b.ref IS NOT DISTINCT FROM places.ref AND b.word = w.word GROUP BY ALL
+),
+word_meets AS (
+  SELECT base.doc_id AS doc_id, base.n_words AS size, b.p AS p, coalesce(held.n, 0) / base.n_words AS q
+  FROM base JOIN places USING (doc_id) JOIN word_bins b ON b.ref IS NOT DISTINCT FROM places.ref
+  LEFT JOIN held ON held.doc_id = base.doc_id AND held.word = b.word WHERE base.n_words >= 50
+),
+char_meets AS (
+  SELECT chars.doc_id AS doc_id, b.p AS p, chars.n / sum(chars.n) OVER (PARTITION BY chars.doc_id) AS q, sum(chars.n) OVER (PARTITION BY chars.doc_id) AS size
+  FROM (SELECT * FROM chars WHERE doc_id IN (SELECT doc_id FROM base WHERE length(text) >= 200)) chars JOIN places USING (doc_id)
+  JOIN char_bins b ON b.ref IS NOT DISTINCT FROM places.ref AND b.bin = chars.bin
+),
+by_words AS (
+  SELECT doc_id, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2
+    > 0.09 + sum(least(p / 2, 1 / (8 * size * ln(2)))) + sqrt(2 * count(*)) / (8 * any_value(size) * ln(2)) AS strays
+  FROM word_meets GROUP BY doc_id
+),
+by_chars AS (
+  SELECT doc_id, sqrt(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2) > 0.3 AS strays
+  FROM char_meets GROUP BY doc_id
+)
+SELECT base.doc_id AS doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR coalesce(by_words.strays, false) OR coalesce(by_chars.strays, false)) AS kept
+FROM base LEFT JOIN by_words USING (doc_id) LEFT JOIN by_chars USING (doc_id)
+"""
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), every=199)
+
+
+# crc32 from its polynomial, byte by byte over the runs of each document.
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT n, list_reduce([n::BIGINT] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) t(n)
+),
+crc AS (SELECT list(v ORDER BY n) AS t FROM bits),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents
+),
+counted AS (SELECT doc_id, run, count(*) AS n, coalesce(doc_id::VARCHAR, '') || ':' || run AS named FROM runs GROUP BY doc_id, run),
+checked AS (
+  SELECT run, n, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, strlen(named) + 1), lambda i: ('0x' || substr(hex(encode(named)), 2 * i - 1, 2))::BIGINT),
+    lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1]))) AS h
+  FROM counted, crc
+),
+typed AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM checked
+),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+gaps AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM gaps),
+near AS (
+  SELECT a.word AS word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n FROM near GROUP BY word
+),
+formed AS (
+  SELECT words.word AS word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+),
+walk AS (
+  SELECT word, word AS root FROM formed
+  UNION SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.root WHERE formed.form IS NOT NULL
+)
+SELECT formed.word AS word, formed.form AS form, root, formed.n AS n, formed.n_near AS n_near, formed.form_n AS form_n
+FROM formed JOIN walk ON walk.word = formed.word JOIN formed ends ON ends.word = walk.root AND ends.form IS NULL
+"""
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
@@ -171,6 +337,9 @@ QUERIES = {
     "op8_embedding_neardup": op8_embedding_neardup,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_quality": op12_quality,
+    "op13_spelling": op13_spelling,
 }
 ORACLES = {
     "op1_warc": OP1_SQL,
@@ -178,4 +347,7 @@ ORACLES = {
     "op5_nearest": OP5_SQL,
     "op7_minhash_neardup": OP7_SQL,
     "op8_embedding_neardup": OP8_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_quality": OP12_SQL,
+    "op13_spelling": OP13_SQL,
 }
