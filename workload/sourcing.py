@@ -415,5 +415,6 @@ def readiness_signature(spark, sf_dir):
     newer = datasets.withColumn("active_version", F.concat("active_version", F.lit("+")))
     changed = signed(newer, sources, imports).union(signed(datasets, sources.where("id <> 'source_0'"), imports))
     changed = changed.union(signed(datasets, sources, imports.withColumn("status", F.lit("failed"))))
-    distinct = lambda df, name: df.agg(F.count_distinct(df.columns[0]).cast("int").alias(name))
-    return distinct(same, "repeated").join(distinct(changed.exceptAll(same), "changed"), F.lit(True))
+    both = same.withColumn("same", F.lit(True)).union(changed.withColumn("same", F.lit(False)))
+    per_signature = both.groupBy("signature").agg(F.max("same").alias("same"))
+    return per_signature.agg(F.count_if("same").cast("int").alias("repeated"), F.count_if(~F.col("same")).cast("int").alias("changed"))
