@@ -37,5 +37,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         kept = documents.select(["doc_id", "n_bytes"])
         return kept.append_column("n_tokens", pa.array(totals, pa.int64()))
 
-    counted = by_blocks(docs, path, frequencies, finish, "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    counted = by_blocks(docs, path, frequencies, finish, "doc_id bigint, n_bytes bigint, n_tokens bigint", ids=False)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

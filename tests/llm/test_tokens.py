@@ -86,6 +86,27 @@ def test_round_trip(docs):
     assert sorted(((*r[:2], bytes(r[2]), r[3]) for r in got), key=repr) == sorted(wanted, key=repr)
 
 
+@pytest.mark.parametrize("n_bytes", [0, 1, 10**6, 10**9, 10**12, 10**14, 3 * 10**14, 10**16])
+def test_the_layout_is_bounded_at_any_size(n_bytes):
+    made = wordtable.Layout.for_bytes(n_bytes)
+    assert 8 << 20 <= made.block_bytes <= 64 << 20
+    assert 1 <= made.table_buckets <= 32_768 < 100_000 and 1 <= made.word_buckets <= 4096
+    assert wordtable.Layout.for_bytes(n_bytes, 100).table_buckets <= 100
+    blocks = -(-n_bytes // made.block_bytes)
+    assert blocks <= max(4_000_000, n_bytes // (64 << 20) + 1)
+
+
+def test_many_blocks_share_a_bucket(spark, docs, monkeypatch):
+    monkeypatch.setattr(wordtable.Layout, "for_bytes", staticmethod(lambda n, most: wordtable.Layout(2000, 2, 3)))
+    test_round_trip(docs)
+    test_counts(docs)
+
+
+def test_more_words_than_are_remembered(docs, monkeypatch):
+    monkeypatch.setattr(wordtable, "MEMO", 5)
+    test_counts(docs)
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert token_counts.count_tokens(none, WORD).collect() == []
