@@ -19,8 +19,9 @@ more than ``TILE`` vectors is dealt into blocks that meet in tiles, so that memo
 bounded and a hot cell spreads over many tasks.
 
 ``n_links`` counts the other vectors linked directly, ``component_id`` is the smallest
-vec_id reachable, ``kept`` whether that is the row's own. Vectors that are null, zero, of
-another length, or hold null or non-finite components link with nothing. Rows that repeat a
+vec_id reachable, ``kept`` whether that is the row's own. Vectors that are null, zero, or hold
+null or non-finite components link with nothing; those of different lengths never meet. Vectors
+are scaled by powers of two, so huge and tiny ones have a cosine like any other. Rows that repeat a
 vec_id are rows of their own; a null vec_id is larger than any other, and a component
 without any has component_id null and is kept. Labels and other columns are not read.
 """
@@ -34,6 +35,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,7 @@ class Projections:
     seed: int = 20240311
 
     @staticmethod
+    @cache
     def for_size(n: int, dimension: int, least: float) -> Projections:
         spread = math.sqrt(2 - 2 * least)
         # Two vectors whose projections differ by s times the cell's width in spread share it
@@ -106,6 +109,11 @@ def same_cell(width: float) -> float:
     return 1 - tail - 2 / (math.sqrt(2 * math.pi) * width) * (1 - math.exp(-width * width / 2))
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near 1; cosines stay the same."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(1))[1][:, None])
+
+
 def links(vectors: np.ndarray, number: np.ndarray, left: np.ndarray, right: np.ndarray, group: int, within: bool, setup: Projections, least: float):
     """Places of linked pairs between ``left`` and ``right`` that first meet in ``group``."""
     norms = np.linalg.norm(vectors, axis=1)
@@ -147,39 +155,44 @@ def link_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     plain = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
     found = usable(plain).groupBy("embedding").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("first_id"))
     classes = written(found.withColumn("class", F.monotonically_increasing_id()), "vectors")
-    n, dimension = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    setup = Projections.for_size(n, dimension or 1, least)
+    n = classes.count()
 
     def celled(batches):
         for batch in batches:
-            if batch.num_rows:
-                rows = matrix(pa.chunked_array([batch.column("embedding")]))
+            lengths = pc.list_value_length(batch.column("embedding")).to_numpy()
+            for length in np.unique(lengths):
+                part = batch.filter(pa.array(lengths == length))
+                setup = Projections.for_size(n, int(length), least)
+                rows = scaled(matrix(pa.chunked_array([part.column("embedding")])))
                 cells = setup.cells(rows / np.linalg.norm(rows, axis=1)[:, None])
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * setup.groups), pa.array(cells.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("class"), flat], names=["class", "cells"])
+                same = pa.array(np.full(len(rows), length, np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("class"), same, flat], names=["class", "length", "cells"])
 
-    narrow = classes.select("class", "embedding").mapInArrow(celled, "class bigint, cells array<bigint>")
-    narrow = written(narrow.select("class", F.posexplode("cells").alias("group", "cell")), "cells")
-    counts = narrow.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = narrow.join(counts, ["group", "cell"])
+    narrow = classes.select("class", "embedding").mapInArrow(celled, "class bigint, length int, cells array<bigint>")
+    narrow = written(narrow.select("class", "length", F.posexplode("cells").alias("group", "cell")), "cells")
+    counts = narrow.groupBy("length", "group", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = narrow.join(counts, ["length", "group", "cell"])
     blocks = F.ceil(F.col("n") / TILE).cast("int")
     block = F.pmod(F.xxhash64("class", F.lit("block")), blocks).cast("int")
     dealt = shared.withColumns({"__blocks": blocks, "block": block})
     dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     places = F.struct(
-        "group", "cell", F.least("block", "__other").alias("i"), F.greatest("block", "__other").alias("j"), "block"
+        "length", "group", "cell", F.least("block", "__other").alias("i"), F.greatest("block", "__other").alias("j"), "block"
     )
     # Bounded by the number of groups times the blocks of a vector's cells.
     tiles = dealt.groupBy("class").agg(F.collect_list(places).alias("tiles")).join(classes, "class")
     tiles = tiles.select("class", "weight", "embedding", F.explode("tiles").alias("t")).select("class", "weight", "embedding", "t.*")
-    tiles = tiles.repartition("group", "cell", "i", "j").sortWithinPartitions("group", "cell", "i", "j")
+    keys = ["length", "group", "cell", "i", "j"]
+    tiles = tiles.repartition(*keys).sortWithinPartitions(*keys)
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        for rows in sorted_groups(batches, ["group", "cell", "i", "j"]):
-            group, i, j = (rows.column(c)[0].as_py() for c in ("group", "i", "j"))
+        for rows in sorted_groups(batches, keys):
+            length, group, i, j = (rows.column(c)[0].as_py() for c in ("length", "group", "i", "j"))
+            setup = Projections.for_size(n, length, least)
             own, weight, side = (rows.column(c).to_numpy() for c in ("class", "weight", "block"))
-            values = matrix(rows.column("embedding"))
+            values = scaled(matrix(rows.column("embedding")))
             left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
             linked, forest = np.zeros(len(own), np.int64), Forest(len(own))
             for x, y in links(values, own, left, right, group, i == j, setup, least):

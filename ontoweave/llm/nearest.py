@@ -9,8 +9,8 @@ are recomputed in double precision from the original vectors and merged into the
 best, block by block within the tile and then across tiles.
 
 Blocks are bounded, so a tile holds bounded memory. The result is exact. Ties go to the
-smaller vec_id. Vectors null, zero, of another length, or with null or non-finite components
-take no part. A row that repeats a vec_id is a query and a candidate of its own; only the
+smaller vec_id. Vectors null, zero, or with null or non-finite components take no part; those of
+different lengths have no inner product and never meet. A row that repeats a vec_id is a query and a candidate of its own; only the
 query's own row is left out. Rows without vec_id are candidates only, and rank last among
 equals. An empty table gives an empty result; other columns are not read.
 """
@@ -26,16 +26,18 @@ from .common import written
 from .vectors import matrix, usable
 
 STEP = 2048
+BLOCK_BYTES = 16 << 20
 LAST = np.iinfo(np.int64).max
 
 
 def quantised(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Integer codes (-127 to 127, as float32, whose products stay exact), their scales, and
-    the lengths of the quantised rows and of what quantisation left over."""
+    """Integer codes (-127 to 127, as floats whose products stay exact), their scales, and the
+    lengths of the quantised rows and of what quantisation left over."""
     scale = np.abs(rows).max(1) / 127.0
     codes = np.rint(rows / scale[:, None])
     back = codes * scale[:, None]
-    return codes.astype(np.float32), scale, np.linalg.norm(back, axis=1), np.linalg.norm(rows - back, axis=1)
+    exact = np.float32 if 127 * 127 * rows.shape[1] < 1 << 24 else np.float64
+    return codes.astype(exact), scale, np.linalg.norm(back, axis=1), np.linalg.norm(rows - back, axis=1)
 
 
 def best(rows: np.ndarray, others: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -80,15 +82,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of each query's k nearest by
     inner product."""
     plain = usable(vectors.select(F.col("vec_id").cast("bigint"), "embedding", is_query.alias("__query")))
-    rows = written(plain.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if(F.coalesce("__query", F.lit(False)))).first()
-    wide, high = min(16384, max(512, n // 16)), min(4096, max(512, n_queries // 16))
+    plain = plain.withColumns({"row": F.monotonically_increasing_id(), "length": F.size("embedding")})
+    rows = written(plain, "vectors")
+    n, n_queries, longest = rows.agg(F.count(F.lit(1)), F.count_if(F.coalesce("__query", F.lit(False))), F.max("length")).first()
+    fit = max(64, BLOCK_BYTES // (8 * (longest or 1)))
+    wide, high = min(fit, 16384, max(512, n // 16)), min(fit, 4096, max(512, n_queries // 16))
     across, down = max(1, -(-n // wide)), max(1, -(-n_queries // high))
     spread = lambda parts, of: F.pmod(F.xxhash64("row", F.lit(of)), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     values = ["row", "vec_id", "embedding"]
-    queries = rows.where("__query").select(*values, spread(down, "q").alias("i"), every(across).alias("j"))
-    candidates = rows.select(*values, spread(across, "c").alias("j"), every(down).alias("i"))
+    own = [F.col("length").alias("own_length"), *(F.col(c).alias(c) for c in values)]
+    queries = rows.where("__query").select(*own, spread(down, "q").alias("i"), every(across).alias("j"))
+    candidates = rows.select("length", *values, spread(across, "c").alias("j"), every(down).alias("i"))
     schema = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -103,7 +108,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         named = [pa.array(own[a]), left.column("vec_id").take(pa.array(a)).combine_chunks(), ids.take(pa.array(b)), pa.array(scores)]
         return pa.Table.from_arrays(named, schema=schema)
 
-    met = queries.groupBy("i", "j").cogroup(candidates.groupBy("i", "j"))
+    met = queries.groupBy("own_length", "i", "j").cogroup(candidates.groupBy("length", "i", "j"))
     found = met.applyInArrow(meet, "row bigint, query_id bigint, vec_id bigint, score double")
     # Spark keeps k rows per query on both sides of this shuffle.
     order = Window.partitionBy("row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())

@@ -9,15 +9,10 @@ from pyspark.sql import functions as F
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """The rows whose vector is not null, not zero and holds finite numbers only.
-
-    Vectors of another length than most are left out too: they compare with nothing.
-    """
+    """The rows whose vector is not null, not zero and holds finite numbers only, of any length."""
     value = F.col(column)
     finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    kept = vectors.where(value.isNotNull() & (F.size(value) > 0)).where(finite & F.exists(value, lambda x: x != 0))
-    lengths = kept.groupBy(F.size(value).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return kept.where(F.size(value) == lengths[0]["n"]) if lengths else kept.limit(0)
+    return vectors.where(value.isNotNull() & (F.size(value) > 0)).where(finite & F.exists(value, lambda x: x != 0))
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:

@@ -38,7 +38,7 @@ def valid(rows):
 
 
 def test_usable_rows(vectors):
-    assert usable(vectors).count() == len(valid(planted()))
+    assert usable(vectors).count() == len(valid(planted())) + 1, "a vector of another length takes part as well"
 
 
 def test_nearest_by_brute_force(vectors):
@@ -108,6 +108,32 @@ def test_linked_vectors_by_brute_force(vectors):
     assert sum(g[0] is not None and g[0] >= 1000 and g[1] == 0 and g[2] == g[0] and g[3] for g in got) == unusable
 
 
+def mixed_lengths():
+    draw = np.random.default_rng(4)
+    rows = []
+    for dim, n in ((3, 60), (8, 90), (17, 50)):
+        base = draw.standard_normal((n, dim))
+        base[1::3] = base[0::3][: len(base[1::3])] * 3 + draw.standard_normal((len(base[1::3]), dim)) * 0.02
+        rows += [(len(rows) + i, v.tolist()) for i, v in enumerate(base)]
+    return rows + [(500, [1e300] * 8), (501, [1e300] * 7 + [1.1e300]), (502, [1e-300] * 8), (503, [0.0] * 8)]
+
+
+def test_vectors_of_several_lengths_meet_their_own_kind(spark):
+    rows = mixed_lengths()
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: r for r in neardup_vectors.link_vectors(frame).collect()}
+    assert len(got) == len(rows)
+    unit = {i: np.array(v) / max(map(abs, v)) for i, v in rows if any(v)}
+    for i, v in unit.items():
+        near = [j for j, w in unit.items() if j != i and len(w) == len(v) and v @ w >= 0.95 * np.linalg.norm(v) * np.linalg.norm(w)]
+        assert got[i]["n_links"] == len(near), i
+    searched = nearest.search(frame.where("vec_id < 500"), F.col("vec_id") % 20 == 0, k=4).collect()
+    vectors = {i: np.array(v) for i, v in rows if i < 500}
+    for q in (i for i in vectors if i % 20 == 0):
+        best = sorted((-(vectors[q] * w).sum(), j) for j, w in vectors.items() if j != q and len(w) == len(vectors[q]))[:4]
+        assert [(r["score"], r["vec_id"]) for r in sorted((r for r in searched if r["query_id"] == q), key=lambda r: r["rank"])] == [(-s, j) for s, j in best]
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], VECTORS)
     assert nearest.search(none, F.lit(True)).collect() == [] and neardup_vectors.link_vectors(none).collect() == []
