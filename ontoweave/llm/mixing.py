@@ -2,8 +2,8 @@
 
 Tokens are summed per source, which gives each source a target and a repetition rate; a
 document is then emitted ``floor(rate)`` times, plus one copy drawn with the rate's
-fraction as its probability. The draw is a hash of the seed and the document's id, so a
-rerun and a lost executor draw the same.
+fraction as its probability. The draw is a hash of the seed, the document's id and its text, so
+a rerun and a lost executor draw the same.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def draw(seed: int, key: str = "doc_id") -> Column:
-    """A number from 0 to 1 that depends on the seed and the key alone (52 bits of an MD5)."""
-    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+def draw(seed: int, key: str = "doc_id", text: str = "text") -> Column:
+    """A number from 0 to 1 that depends on the seed, the key and the text alone (52 bits of an
+    MD5), so that rows without a key of their own draw apart by their texts."""
+    parts = [F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))]
+    named = F.concat(F.lit(f"{seed}:"), parts[0], F.lit(":"), parts[1])
     return F.conv(F.substring(F.md5(named.cast("binary")), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
@@ -67,8 +69,8 @@ def plan(
 ) -> DataFrame:
     """The documents with ``__size``, ``__source_size``, ``__target`` and ``__copies``.
 
-    A null or empty text has size 0. Documents without a source form a source of their own.
-    Rows that repeat a doc_id draw alike. The join to the targets is by source: small targets
+    Columns of these four names are replaced. A null or empty text has size 0. Documents without a source form a source of their own.
+    Rows that repeat both a doc_id and its text draw alike. The join to the targets is by source: small targets
     are broadcast by their size, else a hot source is split by the adaptive skew join.
     """
     sized = docs.withColumn("__size", words())

@@ -48,7 +48,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS mark, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -65,11 +65,11 @@ goals AS (
   SELECT source, source_size, least(cap, w * (SELECT max(level) FROM steps WHERE level * w <= cap)) AS target FROM steps
 ),
 rated AS (
-  SELECT doc_id, size, source_size, target, least(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END, 2.0) AS rate
+  SELECT doc_id, mark, size, source_size, target, least(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END, 2.0) AS rate
   FROM sized JOIN goals ON sized.source IS NOT DISTINCT FROM goals.source
 )
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN
-  ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+  ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || mark), 1, 13))::BIGINT / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM rated
 """
 
