@@ -52,6 +52,15 @@ def mark_revisits(captures: DataFrame, payload: str = "payload", least: int = LE
     return marked.join(keepers, F.col("__digest") == F.col("__of"), "left").drop("__of")
 
 
+def header_uri(url: Column) -> Column:
+    """The url with percent-encoded blanks and controls, which would break its header line or the
+    request line; all else stays as it is, what was encoded before too."""
+    breaks = r"[\x00-\x20\x7f]"
+    encoded = lambda c: F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c).cast("bigint")), 2, "0"))
+    letters = F.transform(F.split(url, ""), lambda c: F.when(c.rlike(breaks), encoded(c)).otherwise(c))
+    return F.when(url.rlike(breaks), F.array_join(letters, "")).otherwise(url)
+
+
 def _header(name: str, value: Column) -> Column:
     """A header line, or nothing where the value is null."""
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(END)), F.lit(""))
@@ -70,15 +79,14 @@ def write_archives(pages: DataFrame, path: str, per_file: int = 2000) -> None:
     at least 100 bytes, the one with the smallest page_id is written whole and the others as
     revisits without payload; a row that repeats the smallest page_id with the same payload
     is written whole as well, and so is a row without page_id. Line breaks, other controls
-    and spaces in a url are percent-encoded; a null url leaves its header out. Other columns
+    and spaces in a url are percent-encoded and nothing else is; a null url leaves its header out. Other columns
     are not read. An empty table gives an archive folder without records.
     """
     captures = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     marked = mark_revisits(captures)
     revisit = F.coalesce(F.col("__keeper.page_id") != F.col("page_id"), F.lit(False))
-    uri = lambda c: F.when(F.regexp_like(c, F.lit(r"[%\x00-\x20\x7f]")), F.url_encode(c)).otherwise(c)
     ids = {f"__{k}": F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")) for k in ("request_id", "response_id", "metadata_id")}
-    named = marked.withColumns({**ids, "__uri": uri(F.col("url")), "__keeper_uri": uri(F.col("__keeper.url"))})
+    named = marked.withColumns({**ids, "__uri": header_uri(F.col("url")), "__keeper_uri": header_uri(F.col("__keeper.url"))})
     target = _header("WARC-Target-URI", F.col("__uri"))
     together = _header("WARC-Concurrent-To", F.col("__response_id"))
     digest = _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("__digest")))

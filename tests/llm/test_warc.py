@@ -45,6 +45,16 @@ def test_round_trip(spark, tmp_path):
     assert all("\n" not in (r["response"]["target_uri"] or "") for r in got)
 
 
+def test_urls_keep_all_but_blanks_and_controls(spark, tmp_path):
+    urls = ["http://x.org/a%20b?q=1&r=%E2%82%AC#f", "http://é.org/漢?a=+", "http://x.org/a b\tc\r\nX: y\x7f", "", "%", "http://x.org/" + "p" * 5000]
+    path, captures = archived(spark, tmp_path, [(i, u, LONG) for i, u in enumerate(urls)])
+    got = {r["metadata"]["fields"].split()[1]: r["response"]["target_uri"] for r in captures.collect()}
+    wanted = {**{str(i): u for i, u in enumerate(urls)}, "2": "http://x.org/a%20b%09c%0D%0AX:%20y%7F"}
+    assert got == wanted
+    heads = {r["request"]["http_head"].split("\r\n")[0] for r in captures.collect()}
+    assert heads == {f"GET {u} HTTP/1.1" for u in wanted.values()}
+
+
 def test_archives_are_plain_warc(spark, tmp_path):
     path, _ = archived(spark, tmp_path, [(1, "http://a", LONG)])
     files = list((tmp_path / "warc").glob("*.gz"))
