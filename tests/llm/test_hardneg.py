@@ -68,14 +68,32 @@ def test_other_windows(spark, rows):
     assert mined(spark, rows, positives=2, negatives=40) == brute(rows, 2, 40)
 
 
-@pytest.mark.parametrize("part,block", [(7, 600), (64, 20_000)])
-def test_small_parts_and_blocks(spark, rows, monkeypatch, part, block):
-    monkeypatch.setattr(hardneg, "PART", part)
-    monkeypatch.setattr(hardneg, "BLOCK_BYTES", block)
+def test_small_blocks(spark, rows, monkeypatch):
+    monkeypatch.setattr(hardneg, "BLOCK_BYTES", 9_000)
     few = rows[:200] + rows[-20:]
     assert mined(spark, few) == brute(few)
 
 
+@pytest.mark.parametrize("part", [1, 7, 64])
+def test_small_parts_fill_the_same_windows(monkeypatch, part):
+    monkeypatch.setattr(hardneg, "PART", part)
+    draw = np.random.default_rng(part)
+    rows = draw.integers(-9, 9, (150, 12))
+    rows[40:60] = rows[0]
+    ids, own = draw.permutation(150), np.arange(20)
+    low = draw.integers(-200, 300, (20, 3))
+    high = low + draw.integers(-50, 400, (20, 3))
+    low[::4], high[::4] = -hardneg.LAST, hardneg.LAST
+    found = hardneg.threshold_join(rows[:20], rows, low, high, 4, lambda a, b: own[a][:, None] != b[None, :], ids)
+    scores = rows[:20] @ rows.T
+    for a in range(20):
+        for w in range(3):
+            fits = [x for x in range(150) if x != a and low[a, w] <= scores[a, x] <= high[a, w]]
+            wanted = sorted(fits, key=lambda x: (-scores[a, x], ids[x]))[:4]
+            at = np.flatnonzero(found.slot == a * 3 + w)
+            assert found.place[at].tolist() == wanted and found.score[at].tolist() == scores[a, wanted].tolist()
+
+
 def test_large_components_stay_exact(spark):
     draw = np.random.default_rng(1)
     rows = [(i, (draw.integers(-(2**20), 2**20, 6) * 1.5 + i / 7).tolist(), int(i % 2)) for i in range(120)]
