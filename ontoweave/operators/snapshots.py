@@ -3,14 +3,12 @@
 Layout under one root folder::
 
     data/<dataset>/<version>/     the rows of one version
-    versions/                     one row per version: profile, schema, fingerprint
-    registry/                     one row per change of a dataset's pointers
-    findings/  lineage/           appended facts
-
-All metadata tables are append-only; the state of a dataset is its registry row with the
-highest ``seq``, which a commit writes last. A commit that died before it runs again and
-may repeat its version and finding, which therefore count once. One writer per dataset is
-assumed, as one refresh job owns a source.
+    log/                          facts: registry, versions with their profiles, findings, lineage
+
+A commit to the log states a version, its finding and the dataset's new pointers at once, after
+the rows are written, so a job that dies leaves nothing half done and may run again. Writers of
+different datasets do not disturb each other; of two that change one dataset from the same
+state the second is refused.
 """
 
 from __future__ import annotations
@@ -18,17 +16,16 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from ..functions.hashing import digest
 from ..functions.local import local_frame
 from . import profile as P
 from . import query as Q
+from .log import Conflict, Fact, Log
 
 COLUMN = (
     "struct<position: int, name: string, type: string, rows: bigint, nulls: bigint, "
@@ -40,8 +37,7 @@ VERSIONS = (
 )
 REGISTRY = (
     "dataset_id string, seq bigint, name string, source_id string, table_name string, "
-    "active_version string, pending_version string, versions array<string>, "
-    "generation string, synced_at timestamp"
+    "active_version string, pending_version string, generation string, synced_at timestamp"
 )
 FINDINGS = (
     "dataset_id string, version string, title string, kind string, rows_before bigint, "
@@ -90,63 +86,69 @@ def schema_signature(schemas: Mapping[str, Sequence[tuple[str, str]]]) -> str:
     return digest(repr([(i, list(map(tuple, schemas[i]))) for i in sorted(schemas)]))
 
 
+COLUMN_NAMES = [part.split(":")[0] for part in COLUMN[len("struct<") : -1].split(", ")]
+
+
+def _named(columns: Sequence) -> list[dict]:
+    """Column profiles, rows or tuples of them, by name."""
+    return [
+        {n: c[n] for n in COLUMN_NAMES} if isinstance(c, (dict, Row)) else dict(zip(COLUMN_NAMES, c, strict=True)) for c in columns
+    ]
+
+
 @dataclass
 class Snapshots:
     spark: SparkSession
     root: str
 
-    # Append-only metadata tables.
+    log: Log = field(init=False, repr=False)
 
-    def _append(self, name: str, rows: list[tuple], schema: str) -> None:
-        local_frame(self.spark, rows, schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+    def __post_init__(self) -> None:
+        self.log = Log(self.spark, f"{self.root}/log")
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        parsed = T._parse_datatype_string(schema)
-        try:
-            return self.spark.read.schema(parsed).parquet(f"{self.root}/{name}")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return local_frame(self.spark, [], schema)
+    # What the log states.
 
     def versions(self) -> DataFrame:
-        return self._table("versions", VERSIONS).dropDuplicates(["dataset_id", "version"])
+        return self.log.frame("version", VERSIONS).drop("commit")
 
     def findings(self) -> DataFrame:
-        return self._table("findings", FINDINGS).dropDuplicates(["dataset_id", "version"])
+        return self.log.frame("finding", FINDINGS).drop("commit")
 
     def lineage(self) -> DataFrame:
-        return self._table("lineage", LINEAGE)
+        return self.log.frame("lineage", LINEAGE).drop("commit")
 
     def registry(self) -> DataFrame:
         """The present state of every dataset."""
-        log = self._table("registry", REGISTRY)
-        return (
-            log.groupBy("dataset_id")
-            .agg(F.max_by(F.struct(*log.columns), "seq").alias("r"))
-            .select("r.*")
-        )
+        return self.log.frame("registry", REGISTRY).drop("commit")
 
-    def state(self, dataset_id: str) -> Row | None:
-        return self.registry().where(F.col("dataset_id") == dataset_id).first()
+    def history(self, dataset_id: str) -> list[str]:
+        """The versions of a dataset, newest first."""
+        known = self.log.frame("version", VERSIONS).where(F.col("dataset_id") == dataset_id)
+        return [r["version"] for r in known.orderBy(F.desc("commit")).select("version").collect()]
 
-    def version_profile(self, dataset_id: str, version: str) -> Row | None:
-        return (
-            self.versions()
-            .where((F.col("dataset_id") == dataset_id) & (F.col("version") == version))
-            .first()
-        )
+    def state(self, dataset_id: str) -> dict | None:
+        return self.log.get("registry", dataset_id)
+
+    def version_profile(self, dataset_id: str, version: str) -> dict | None:
+        return self.log.get("version", f"{dataset_id}/{version}")
 
     def path(self, dataset_id: str, version: str) -> str:
         return f"{self.root}/data/{dataset_id}/{version}"
 
-    def _point(self, old: Row | None, **values) -> Row:
-        fields = T._parse_datatype_string(REGISTRY).names
-        known = (old.asDict() if old else {}) | values
+    def _point(self, old: dict | None, dataset_id: str, facts: Sequence[Fact] = (), **values) -> dict:
+        """Move a dataset's pointers from the state that was read, with what goes along."""
+        fields = [part.split()[0] for part in REGISTRY.split(", ")]
+        known = (old or {}) | values | {"dataset_id": dataset_id}
         known["seq"] = (old["seq"] if old else 0) + 1
-        known["synced_at"] = dt.datetime.now(dt.timezone.utc)
-        row = Row(*fields)(*[known.get(f) for f in fields])
-        self._append("registry", [tuple(row)], REGISTRY)
+        known["synced_at"] = dt.datetime.now(dt.timezone.utc).isoformat()
+        row = {f: known.get(f) for f in fields}
+
+        def decide() -> list[Fact]:
+            if self.state(dataset_id) != old:
+                raise Conflict(f"{dataset_id} was changed by another writer")
+            return [*facts, ("registry", dataset_id, row)]
+
+        self.log.update(decide)
         return row
 
     # Versions.
@@ -159,7 +161,7 @@ class Snapshots:
         version: str | None = None,
         source_id: str | None = None,
         generation: str | None = None,
-    ) -> Row:
+    ) -> dict:
         """Write one complete snapshot. A changed schema waits as pending; otherwise the
         new version is served at once. Committing a version again changes nothing.
 
@@ -167,64 +169,54 @@ class Snapshots:
         decide its schema, so no schema waits."""
         old = self.state(dataset_id)
         version = generation or version
-        if version and old and version in old["versions"]:
+        if version and old and self.version_profile(dataset_id, version):
             return old
         version = version or str(uuid.uuid4())
-        # A failed attempt may have left files that no registry row names.
+        # A failed attempt may have left files that the log does not name.
         df.write.mode("overwrite").parquet(self.path(dataset_id, version))
         written = self.spark.read.schema(df.schema).parquet(self.path(dataset_id, version))
         fresh = P.profile(written)
         before = self.version_profile(dataset_id, old["active_version"]) if old else None
-        now = dt.datetime.now(dt.timezone.utc)
-        self._append(
-            "versions",
-            [(dataset_id, version, fresh["rows"], fresh["duplicate_rows"], fresh["fingerprint"], fresh["columns"], now)],
-            VERSIONS,
-        )
+        now = dt.datetime.now(dt.timezone.utc).isoformat()
+        about = {"dataset_id": dataset_id, "version": version, "created_at": now}
+        kept = {c: fresh[c] for c in ("rows", "duplicate_rows", "fingerprint")}
+        facts: list[Fact] = [("version", f"{dataset_id}/{version}", about | kept | {"columns": _named(fresh["columns"])})]
         drift = not generation and before is not None and drifted(before["columns"], fresh["columns"])
         if before is not None and before["fingerprint"] != fresh["fingerprint"]:
             found = quality_diff(self._columns(before), self._columns(fresh)).collect()
-            self._append(
-                "findings",
-                [
-                    (
-                        dataset_id,
-                        version,
-                        ("Schema changed: " if drift else "Data refreshed: ") + name,
-                        "schema" if drift else "refresh",
-                        before["rows"],
-                        fresh["rows"],
-                        [r["issue"] for r in found],
-                        fresh["duplicate_rows"],
-                        fresh["fingerprint"],
-                        False,
-                        now,
-                    )
-                ],
-                FINDINGS,
-            )
+            finding = {
+                "title": ("Schema changed: " if drift else "Data refreshed: ") + name,
+                "kind": "schema" if drift else "refresh",
+                "rows_before": before["rows"],
+                "rows_after": fresh["rows"],
+                "issues": [r["issue"] for r in found],
+                "duplicate_rows": fresh["duplicate_rows"],
+                "fingerprint": fresh["fingerprint"],
+                "dismissed": False,
+            }
+            facts.append(("finding", f"{dataset_id}/{version}", about | finding))
         return self._point(
             old,
-            dataset_id=dataset_id,
+            dataset_id,
+            facts,
             name=old["name"] if old else name,
             source_id=source_id or (old["source_id"] if old else None),
             table_name=Q.dataset_table(dataset_id),
             active_version=old["active_version"] if drift else version,
             pending_version=version if drift else None,
-            versions=[version, *(old["versions"] if old else [])],
             generation=generation or (old["generation"] if old else None),
         )
 
-    def _columns(self, profile: Row | dict) -> DataFrame:
-        columns = [tuple(c.values() if isinstance(c, dict) else c) for c in profile["columns"]]
+    def _columns(self, profile: Mapping) -> DataFrame:
+        columns = [tuple(c.values()) for c in _named(profile["columns"])]
         return local_frame(self.spark, columns, COLUMN[len("struct<") : -1])
 
-    def accept(self, dataset_id: str) -> Row:
+    def accept(self, dataset_id: str) -> dict:
         """Serve the version that waits because of its schema."""
         old = self.state(dataset_id)
         if old is None or not old["pending_version"]:
             raise ValueError("No pending version")
-        return self._point(old, active_version=old["pending_version"], pending_version=None)
+        return self._point(old, dataset_id, active_version=old["pending_version"], pending_version=None)
 
     def active(self, dataset_id: str, generation: str | None = None) -> DataFrame:
         """The served rows. A derived dataset is read as its generation left it, so a new
@@ -234,7 +226,7 @@ class Snapshots:
             raise ValueError("Dataset is unavailable")
         version = state["active_version"]
         if state["generation"]:
-            if generation not in state["versions"]:
+            if not generation or not self.version_profile(dataset_id, generation):
                 raise ValueError("Dataset is unavailable")
             version = generation
         return self.spark.read.parquet(self.path(dataset_id, version))
@@ -275,8 +267,14 @@ class Snapshots:
     # Guards and facts over the registry.
 
     def record_lineage(self, to_id: str, inputs: Sequence[str], generation: str | None = None) -> None:
-        rows = [(i, to_id, self.state(i)["active_version"], generation) for i in inputs]
-        self._append("lineage", rows, LINEAGE)
+        def decide() -> list[Fact]:
+            read = {i: self.state(i)["active_version"] for i in inputs}
+            names = ("from_id", "to_id", "input_version", "generation")
+            rows = [dict(zip(names, (i, to_id, version, generation), strict=True)) for i, version in read.items()]
+            return [("lineage", f"{to_id}/{i}/{run}", row) for i, row in zip(read, rows, strict=True)]
+
+        run = uuid.uuid4().hex
+        self.log.update(decide)
 
 
 def stale_inputs(recorded: DataFrame, registry: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ def test_drift_waits_and_the_old_version_still_serves(store, orders):
     store.commit("orders", "Orders", orders, "v1")
     drifted = orders.select("id", "customer", F.col("amount").alias("total"))
     state = store.commit("orders", "Orders", drifted, "v2")
-    assert (state["active_version"], state["pending_version"], state["versions"]) == ("v1", "v2", ["v2", "v1"])
+    assert (state["active_version"], state["pending_version"]) == ("v1", "v2")
+    assert store.history("orders") == ["v2", "v1"]
     assert store.query(["orders"], "SELECT sum(amount) AS revenue FROM Orders")[0].first()["revenue"] == 35
     state = store.accept("orders")
     assert (state["active_version"], state["pending_version"]) == ("v2", None)
