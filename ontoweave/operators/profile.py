@@ -21,7 +21,7 @@ from ..functions.hashing import digest, row_hash
 from ..functions.local import at_least, local_frame
 from ..functions.text import canonical, field, is_sensitive, plain, shorten, unless_blank
 from ..plans.cells import cells, counted, is_null, typed
-from ..plans.ordered import page_of
+from ..plans.ordered import Key, page_of
 
 ROW = -1
 FACTS = "position int, name string, type string, sensitive boolean"
@@ -62,11 +62,17 @@ def key_counts(tables: Mapping[str, tuple[DataFrame, list[str]]]) -> dict[tuple[
                 columns[len(names)] = typed(field(f.name), f.dataType)
                 names[len(names)] = (table, f.name)
         parts.append(cells(df, columns))
-    measured = _measures(counted(reduce(DataFrame.unionByName, parts)))
+    return measured_keys(counted(reduce(DataFrame.unionByName, parts)), names)
+
+
+def measured_keys(counts: DataFrame, names: Mapping[int, tuple[str, str]]) -> dict[tuple[str, str], dict]:
+    """The measures of counted cells by table and column name, from the numbers they have there."""
+    measured = _measures(counts)
     flag = key_flag(F.col("rows"), F.col("nulls"), F.col("distinct"))
     found = {
         names[r["position"]]: r.asDict()
         for r in measured.select("position", "rows", "nulls", "distinct", flag.alias("primary_key")).collect()
+        if r["position"] in names
     }
     empty = {"rows": 0, "nulls": 0, "distinct": 0, "primary_key": False}
     return {name: found.get(name, empty) for name in names.values()}
@@ -204,7 +210,7 @@ def sample_rows(df: DataFrame, n: int = 50) -> DataFrame:
 
 def page(df: DataFrame, order_by: list[str], offset: int = 0, limit: int = 100) -> DataFrame:
     """One page under a total order: the named columns, ties broken by the others."""
-    ranked = [field(c) for c in order_by] + _orderable(df)
+    ranked = [Key(c) for c in [*(field(c) for c in order_by), *_orderable(df)]]
     return page_of(df, ranked, at_least("offset", offset, 0), at_least("limit", limit, 0))
 
 

@@ -144,19 +144,59 @@ def test_latest_of_a_hot_key(frame, skewed):
     assert got == {k: i for k, (_, i) in newest.items()}
 
 
-@pytest.mark.parametrize("offset, limit", [(0, 5), (37, 11), (299, 7), (590, 50), (700, 5)])
-def test_deep_pages(frame, skewed, monkeypatch, offset, limit):
+PAGES = [(0, 5), (37, 11), (299, 7), (590, 50), (700, 5)]
+
+
+@pytest.mark.parametrize("offset, limit, few", [(*PAGES[0], 0), (*PAGES[1], 0), (*PAGES[2], 20), (*PAGES[3], 10_000), (*PAGES[4], 0)])
+def test_deep_pages(frame, skewed, monkeypatch, offset, limit, few):
     from ontoweave.plans import ordered
 
     df = frame(skewed, SCHEMA).repartition(5)
     shallow = [tuple(r) for r in P.page(df, ["key", "n"], offset, limit).collect()]
-    monkeypatch.setattr(ordered, "SHALLOW", -1)
+    monkeypatch.setattr(ordered, "SHALLOW", 0)
+    monkeypatch.setattr(ordered, "FEW", few)
     assert [tuple(r) for r in P.page(df, ["key", "n"], offset, limit).collect()] == shallow
-    newest = [F.col("n").desc(), F.col("id").desc()]
+    newest = [ordered.Key(F.col("n"), True), ordered.Key(F.col("id"), True)]
     deep = [r["id"] for r in ordered.page_of(df, newest, offset, limit).collect()]
     assert deep == [r[0] for r in sorted(skewed, key=lambda r: (-r[2], -r[0]))][offset : offset + limit]
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_deep_pages_of_every_kind_of_key(spark, frame, monkeypatch, descending):
+    from ontoweave.plans import ordered
+
+    texts = [None, "", "a", "ab", "abc", "abcd", "abd", "b\x00", "b", "é", "\ud7ff", "\uffff", "\U0010ffff", "\U0010ffffz", "same" * 4]
+    made = [
+        (t, None if i % 7 == 0 else float("nan") if i % 11 == 0 else (i * 37 % 50) / 4, i % 3 == 0 if i % 5 else None, [i % 4], i)
+        for i, t in enumerate(t for t in texts for _ in range(9))
+    ]
+    df = frame(made, "t string, x double, b boolean, a array<int>, i int").repartition(4)
+    orders = (["t", "x", "i"], ["x", "t", "i"], ["b", "x", "t", "i"], ["a", "t", "i"], ["b", "t"])
+    for names in orders:
+        keys = [ordered.Key(F.col(n), descending) for n in names]
+        monkeypatch.setattr(ordered, "SHALLOW", 100_000)
+        whole = [tuple(str(r[n]) for n in names) for r in ordered.page_of(df, keys, 0, 1000).collect()]
+        monkeypatch.setattr(ordered, "SHALLOW", 3)
+        monkeypatch.setattr(ordered, "FEW", 6)
+        for offset, limit in ((10, 20), (40, 3), (100, 60)):
+            got = [tuple(str(r[n]) for n in names) for r in ordered.page_of(df, keys, offset, limit).collect()]
+            assert got == whole[offset : offset + limit], (names, offset)
+
+
+def test_a_deep_page_writes_nothing_and_filters_the_scan(spark, tmp_path, monkeypatch):
+    from ontoweave.plans import ordered
+
+    path = str(tmp_path / "rows")
+    spark.range(200_000).selectExpr("id", "concat('k', lpad(id, 7, '0')) AS t").write.parquet(path)
+    monkeypatch.setattr(ordered, "cut", None)
+    for key in ("id", "t"):
+        page = ordered.page_of(spark.read.parquet(path), [key], 150_000, 5)
+        assert [r["id"] for r in page.collect()] == list(range(150_000, 150_005))
+        plan = page._jdf.queryExecution().toString()
+        bounds = plan.split("PushedFilters")[1]
+        assert f"GreaterThanOrEqual({key}," in bounds or f"EqualTo({key}," in bounds
+
+
 values = st.one_of(st.none(), st.sampled_from(["a", "A", " a", "", "b"]))
 
 
