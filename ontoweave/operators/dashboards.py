@@ -34,6 +34,12 @@ class Dashboard:
     description: str = ""
 
 
+def dashboard_of(stored: Mapping) -> Dashboard:
+    """A dashboard from its stored form."""
+    widgets = tuple(Widget(**{**w, "inputs": tuple(w["inputs"])}) for w in stored["widgets"])
+    return Dashboard(stored["name"], widgets, stored["description"])
+
+
 def presented(rows: DataFrame, w: Widget) -> Widget:
     """The presentation the result's shape allows, with axis names that exist."""
     columns = rows.columns

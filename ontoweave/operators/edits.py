@@ -93,22 +93,54 @@ def _fits(value: Column, old: Column, kind: Column) -> Column:
     return value.isNull() | old.isNull() | ~wrong
 
 
-def apply_edits(
+def with_first_uses(requests: DataFrame, done: DataFrame) -> DataFrame:
+    """Requests (with ``edit_id``, ``idempotency_key``, ``submitted_at``, ``request_hash``) and two
+    flags: ``repeated``, the same was asked under this key before, and ``misused``, something
+    else was. ``done(idempotency_key, request_hash)`` are requests already applied.
+
+    Firsts are minima, so a key with most of the requests needs no big group.
+    """
+    first_of_key = requests.groupBy("idempotency_key").agg(F.min_by(F.struct("edit_id", "request_hash"), _order()).alias("first"))
+    seen = done.select("idempotency_key", F.col("request_hash").alias("done_hash"))
+    joined = requests.join(first_of_key, "idempotency_key").join(
+        _named_in(seen, requests, ["idempotency_key"]), "idempotency_key", "left"
+    )
+    stated = F.coalesce("done_hash", "first.request_hash")
+    again = F.col("done_hash").isNotNull() | (F.col("edit_id") != F.col("first.edit_id"))
+    same = F.col("request_hash") == stated
+    return joined.withColumns({"repeated": again & same, "misused": ~same}).drop("first", "done_hash")
+
+
+MISUSED = "Idempotency key reused for different action"
+
+
+def _order() -> Column:
+    return F.struct("submitted_at", "edit_id")
+
+
+def first_fine(judged: DataFrame, about: Sequence[str], late: str) -> tuple[DataFrame, DataFrame]:
+    """Of the requests without a ``reason`` the first about each thing; all others are refused,
+    ``(edit_id, <about>, reason)``, the later ones with ``late``."""
+    fine = judged.where(F.col("reason").isNull())
+    winners = fine.groupBy(*about).agg(F.min_by(F.struct(*fine.columns), _order()).alias("w")).select("w.*")
+    shown = ["edit_id", *about, "reason"]
+    behind = fine.join(winners.select("edit_id"), "edit_id", "left_anti").withColumn("reason", F.lit(late))
+    return winners, judged.where(F.col("reason").isNotNull()).select(*shown).unionByName(behind.select(*shown))
+
+
+CHANGED = "Object was edited; refresh the preview"
+
+
+def judge_edits(
     objects: DataFrame,
     overlays: DataFrame,
     edits: DataFrame,
     types: Sequence[TypeDef],
     done: DataFrame,
     kinds: Mapping[str, Mapping[str, str]] | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Apply a batch of edits: new overlays, refused edits with the reason, audit rows.
-
-    ``done(idempotency_key, request_hash)`` are requests already applied: the same one again
-    changes nothing, another one under its key is refused. Of several edits on one record
-    the first submitted wins and the others find the record changed, as they would one by
-    one. Firsts are minima, so a record or key with most of the edits needs no big group.
-    ``kinds`` are :func:`value_kinds` by type.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """The edits of a batch that apply, one per record with its state before, and the refused
+    ones with the reason."""
     allowed = F.lit(None).cast("array<string>")
     kind_of = _literal_map({})
     for t in types:
@@ -116,26 +148,17 @@ def apply_edits(
         editable = F.array(*[F.lit(p) for p in t.properties if p != t.key]).cast("array<string>")
         allowed = F.when(here, editable).otherwise(allowed)
         kind_of = F.when(here, _literal_map((kinds or {}).get(t.name, {}))).otherwise(kind_of)
-    order = F.struct("submitted_at", "edit_id")
-    hashed = edits.withColumn("request_hash", request_hash())
-    first_of_key = hashed.groupBy("idempotency_key").agg(
-        F.min_by(F.struct("edit_id", "request_hash"), order).alias("first")
-    )
-    seen = done.select("idempotency_key", F.col("request_hash").alias("done_hash"))
     known = _named_in(objects.select("logical_id", "id", "type", "name", "base"), edits, ["logical_id"])
     current = _named_in(overlays, edits, ["logical_id"]).select(
         "logical_id", F.col("values").alias("old_values"), F.col("revision").alias("old_revision")
     )
     placed = (
-        hashed.join(first_of_key, "idempotency_key")
-        .join(seen, "idempotency_key", "left")
+        with_first_uses(edits.withColumn("request_hash", request_hash()), done)
         .join(known, "logical_id", "left")
         .join(current, "logical_id", "left")
         .withColumn("allowed", allowed)
         .withColumn("kind_of", kind_of)
     )
-    stated = F.coalesce("done_hash", "first.request_hash")
-    again = F.col("done_hash").isNotNull() | (F.col("edit_id") != F.col("first.edit_id"))
     names = F.map_keys("values")
     none = F.array().cast("array<string>")
     unknown = F.size(F.array_except(names, F.coalesce("allowed", none))) > 0
@@ -145,34 +168,30 @@ def apply_edits(
             F.element_at("values", k), F.try_element_at("base", k), F.try_element_at("kind_of", k)
         ),
     )
-    changed = F.lit("Object was edited; refresh the preview")
     reason = (
-        F.when(F.col("request_hash") != stated, "Idempotency key reused for different action")
+        F.when(F.col("misused"), MISUSED)
         .when(F.col("id").isNull(), "Object unavailable")
         .when(unknown, "Invalid editable field")
         .when(wrong, "Invalid type for a field")
-        .when(F.col("revision") != F.coalesce("old_revision", F.lit(0)), changed)
-    )
-    repeated = again & (F.col("request_hash") == stated)
-    # Written once: the outputs below all start from it.
-    judged = cut(placed.where(~repeated).withColumn("reason", reason))
-    fine = judged.where(F.col("reason").isNull())
-    winners = (
-        fine.groupBy("logical_id").agg(F.min_by(F.struct(*fine.columns), order).alias("w")).select("w.*")
+        .when(F.col("revision") != F.coalesce("old_revision", F.lit(0)), CHANGED)
     )
-    shown = ["edit_id", "logical_id", "reason"]
-    late = fine.join(winners.select("edit_id"), "edit_id", "left_anti").withColumn("reason", changed)
-    refused = judged.where(F.col("reason").isNotNull()).select(*shown).unionByName(late.select(*shown))
+    # Written once: all that follows starts from it.
+    judged = cut(placed.where(~F.col("repeated")).withColumn("reason", reason))
+    return first_fine(judged, ["logical_id"], CHANGED)
+
+
+def new_overlays(winners: DataFrame) -> DataFrame:
+    """The overlays that applied edits leave."""
     empty = F.expr("CAST(map() AS map<string,string>)")
-    written = winners.select(
-        "logical_id",
-        F.when(F.col("revert"), empty)
-        .otherwise(overlaid(F.col("old_values"), F.col("values")))
-        .alias("values"),
-        (F.col("revision") + 1).alias("revision"),
+    merged = overlaid(F.col("old_values"), F.col("values"))
+    return winners.select(
+        "logical_id", F.when(F.col("revert"), empty).otherwise(merged).alias("values"), (F.col("revision") + 1).alias("revision")
     )
-    kept = overlays.join(written.select("logical_id"), "logical_id", "left_anti")
-    audit = winners.select(
+
+
+def edit_audit(winners: DataFrame) -> DataFrame:
+    """An audit row per applied edit."""
+    return winners.select(
         F.concat(F.lit("action_"), F.sha2("idempotency_key", 256)).alias("id"),
         F.concat(F.lit("Updated "), "name").alias("name"),
         "actor",
@@ -184,7 +203,27 @@ def apply_edits(
         "idempotency_key",
         F.col("submitted_at").alias("created_at"),
     )
-    return kept.unionByName(written), refused, audit
+
+
+def apply_edits(
+    objects: DataFrame,
+    overlays: DataFrame,
+    edits: DataFrame,
+    types: Sequence[TypeDef],
+    done: DataFrame,
+    kinds: Mapping[str, Mapping[str, str]] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Apply a batch of edits: new overlays, refused edits with the reason, audit rows.
+
+    ``done(idempotency_key, request_hash)`` are requests already applied: the same one again
+    changes nothing, another one under its key is refused. Of several edits on one record
+    the first submitted wins and the others find the record changed, as they would one by
+    one. ``kinds`` are :func:`value_kinds` by type.
+    """
+    winners, refused = judge_edits(objects, overlays, edits, types, done, kinds)
+    written = new_overlays(winners)
+    kept = overlays.join(written.select("logical_id"), "logical_id", "left_anti")
+    return kept.unionByName(written), refused, edit_audit(winners)
 
 
 def manual_from(df: DataFrame, t: TypeDef) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.local import at_least
 from ..functions.text import BLANKS
-from ..plans.ordered import page_of
+from ..plans.ordered import Key, page_of
 from ..session import cut
 from .objects import link_counts
 
@@ -99,8 +99,17 @@ def neighborhood(
     return objects.join(_few(reached, limit), "id"), _edges_between(relations, reached, limit)
 
 
-def neighbors(relations: DataFrame, ids: DataFrame) -> DataFrame:
-    """Distinct neighbours of each given record, ``(id, neighbor)``, in both directions."""
+def neighbors(relations: DataFrame, ids: DataFrame, incoming: DataFrame | None = None) -> DataFrame:
+    """Distinct neighbours of each given record, ``(id, neighbor)``, in both directions.
+
+    ``incoming`` are the same relations in a second copy, such as :meth:`Graph.relations_to`, whose
+    files are in the order of their ends.
+    """
+    if incoming is not None:
+        out = relations.select(F.col("from_id").alias("id"), F.col("to_id").alias("neighbor"))
+        into = incoming.select(F.col("to_id").alias("id"), F.col("from_id").alias("neighbor"))
+        near = [side.join(ids.select("id"), "id", "left_semi") for side in (out, into)]
+        return near[0].unionByName(near[1]).distinct()
     both = relations.select(
         F.inline(
             F.array(
@@ -122,17 +131,14 @@ def _natural(text: Column) -> Column:
     return F.regexp_replace(padded, r"0*(\d{19})", "$1")
 
 
-def sort_keys(value: Column, label: Column, descending: bool = False, by_label: bool = False) -> list[Column]:
+def sort_keys(value: Column, label: Column, descending: bool = False, by_label: bool = False) -> list[Key]:
     """A total order of records: blanks last, numbers by value, then natural text, then the
     label and the id."""
-    number = F.when(F.trim(value) != "", value.try_cast("double"))
-    keys = [_blank(value).cast("int").asc()]
     if by_label:
-        ordered = [_natural(label), label]
-        return [c.desc() if descending else c.asc() for c in ordered] + [F.col("id").asc()]
-    ordered = [number.isNull(), number, _natural(value), value]
-    keys += [c.desc() if descending else c.asc() for c in ordered]
-    return [*keys, _natural(label).asc(), label.asc(), F.col("id").asc()]
+        return [Key(_natural(label), descending), Key(label, descending), Key(F.col("id"))]
+    number = F.when(F.trim(value) != "", value.try_cast("double"))
+    ordered = [Key(c, descending) for c in (number.isNull().cast("int"), number, _natural(value), value)]
+    return [Key(_blank(value).cast("int")), *ordered, Key(_natural(label)), Key(label), Key(F.col("id"))]
 
 
 def search(records: DataFrame, text: str | None, values: str = "effective") -> DataFrame:
@@ -183,24 +189,43 @@ def list_records(
     return page, total
 
 
+# So many ids may stand in a filter, which prunes files; more of them are joined.
+FILTERED_IDS = 1000
+
+
 def record_detail(
-    records: DataFrame, relations: DataFrame, audit: DataFrame, object_id: str, history_limit: int | None = None
+    records: DataFrame,
+    relations: DataFrame,
+    audit: DataFrame,
+    object_id: str,
+    history_limit: int | None = None,
+    incoming: DataFrame | None = None,
+    related_limit: int | None = None,
 ) -> dict[str, DataFrame]:
-    """One record, the records related to it, and the audit entries that name it, newest
-    first: all, or the last ``history_limit``.
+    """One record, the records related to it (all, or the ``related_limit`` first by id), and the
+    audit entries that name it, newest first: all, or the last ``history_limit``.
 
     ``audit(id, name, object_id, logical_id, from_logical_id, to_logical_id, created_at)``.
+    ``incoming`` are the relations once more, by the record they lead to: each copy is then read
+    by the end it is ordered by, which leaves a few files of each.
     """
     record = records.where(F.col("id") == object_id)
     logical = object_id.split("_", 1)[1]
-    one = record.select("id")
-    near = neighbors(relations.where((F.col("from_id") == object_id) | (F.col("to_id") == object_id)), one)
-    related = records.join(near.select(F.col("neighbor").alias("id")), "id", "left_semi")
+    starts, ends = F.col("from_id") == object_id, F.col("to_id") == object_id
+    if incoming is None:
+        touching = relations.where(starts | ends)
+        near = touching.select(F.when(starts, F.col("to_id")).otherwise(F.col("from_id")).alias("id"))
+    else:
+        near = relations.where(starts).select(F.col("to_id").alias("id"))
+        near = near.unionByName(incoming.where(ends).select(F.col("from_id").alias("id")))
+    if related_limit is None or related_limit > FILTERED_IDS:
+        related = _limited(records.join(near, "id", "left_semi"), related_limit)
+    else:
+        first = [r["id"] for r in near.distinct().orderBy("id").limit(at_least("related_limit", related_limit, 1)).collect()]
+        related = records.where(F.col("id").isin(first) if first else F.lit(False))
     named = (F.col("object_id") == object_id) | F.col("object_id").endswith("_" + logical)
     for column in ("logical_id", "from_logical_id", "to_logical_id"):
         if column in audit.columns:
             named = named | F.coalesce(F.col(column) == logical, F.lit(False))
     history = _limited(audit.where(named).orderBy(F.col("created_at").desc(), "id"), history_limit)
     return {"record": record, "related": related, "history": history}
-
-

@@ -6,12 +6,14 @@ and need no lookup of what was written before.
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 import re
 import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field as default
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,14 +23,18 @@ from pyspark.sql import types as T
 from ..functions.hashing import digest, logical_id
 from ..functions.local import local_frame
 from ..functions.text import BLANKS, field, plain
+from .dashboards import Dashboard, dashboard_of
 from .entities import Bundle, RelationshipDef, TypeDef
+from .log import Fact, Log
+
+if TYPE_CHECKING:
+    from .editstore import EditStore
 
 OBJECT = (
     "id string, generation string, type string, type_id string, key string, logical_id string, "
     "name string, base map<string,string>, source_version string, manual boolean"
 )
 RELATION = "generation string, name string, from_id string, to_id string"
-POINTER = "seq bigint, generation string, previous string, bundle_hash string, actor string, published_at timestamp"
 
 
 class PublicationRefused(RuntimeError):
@@ -130,12 +136,19 @@ def publication_counts(
 class Graph:
     """Published generations under one folder.
 
-    ``objects`` and ``relations`` are partitioned by generation. A generation is visible
-    only once its row in ``pointer`` is written, which happens last.
+    ``objects`` and ``relations`` are partitioned by generation, and files lie in the order they
+    are looked up in: objects by type and id, relations by the record they start from, and once
+    more (``relations_to``) by the one they lead to. The statistics of Parquet then leave a read
+    of one record a few files, however large the generation is. A generation is visible only once
+    the log states it, which happens last; of two publications on one base the second is refused.
     """
 
     spark: SparkSession
     root: str
+    log: Log = default(init=False, repr=False)
+
+    def __post_init__(self) -> None:
+        self.log = Log(self.spark, f"{self.root}/log")
 
     def _table(self, name: str, schema: str) -> DataFrame:
         parsed = T._parse_datatype_string(schema)
@@ -146,18 +159,31 @@ class Graph:
                 raise
             return local_frame(self.spark, [], schema)
 
-    def pointer(self):
-        return self._table("pointer", POINTER).orderBy(F.col("seq").desc()).first()
+    def pointer(self) -> dict | None:
+        """The active publication: generation, previous, bundle_hash, actor, types, edits_version."""
+        return self.log.get("pointer", "active")
 
     def active(self) -> str | None:
         row = self.pointer()
         return row["generation"] if row else None
 
+    def _of(self, name: str, schema: str, generation: str | None) -> DataFrame:
+        return self._table(name, schema).where(F.col("generation") == (generation or self.active()))
+
     def objects(self, generation: str | None = None) -> DataFrame:
-        return self._table("objects", OBJECT).where(F.col("generation") == (generation or self.active()))
+        return self._of("objects", OBJECT, generation)
 
     def relations(self, generation: str | None = None) -> DataFrame:
-        return self._table("relations", RELATION).where(F.col("generation") == (generation or self.active()))
+        """Relations, by the record they start from."""
+        return self._of("relations", RELATION, generation)
+
+    def relations_to(self, generation: str | None = None) -> DataFrame:
+        """The same relations, by the record they lead to."""
+        return self._of("relations_to", RELATION, generation)
+
+    def dashboards(self, generation: str | None = None) -> list[Dashboard]:
+        found = self.log.get("dashboards", generation or self.active() or "")
+        return [dashboard_of(d) for d in found["dashboards"]] if found else []
 
     def publish(
         self,
@@ -171,12 +197,15 @@ class Graph:
         relation_edits: DataFrame | None = None,
         actor: str = "",
         generation: str | None = None,
+        stored: EditStore | None = None,
     ) -> str:
         """Write all objects and relations of a validated bundle as a new generation.
 
         ``base`` is the generation the bundle was validated on, ``recorded`` the input
         versions of then and ``versions`` those of now; a difference refuses. ``tables``
-        hold the bundle's derived tables too. Edits that people made are applied again.
+        hold the bundle's derived tables too. Edits that people made are applied again: those
+        given, and those ``stored`` up to now; the publication says how far that was, and
+        :meth:`records` adds what came later.
         """
         from . import edits
 
@@ -190,13 +219,18 @@ class Graph:
             raise PublicationRefused("Published definitions changed. Revalidate these definitions.")
         generation = generation or str(uuid.uuid4())
         by_name = {t.name: t for t in bundle.types}
+        pinned = stored.version() if stored else 0
+        if stored and pinned:
+            made_by_hand, linked_by_hand = stored.manual(pinned), stored.relation_edits(pinned)
+            manual = made_by_hand if manual is None else manual.unionByName(made_by_hand).dropDuplicates(["type", "key"])
+            relation_edits = linked_by_hand if relation_edits is None else relation_edits.unionByName(linked_by_hand)
         made = reduce(
             DataFrame.unionByName,
             [objects(tables[t.dataset], t, generation, versions.get(t.dataset)) for t in bundle.types],
         )
         if manual is not None:
             made = edits.with_manual_objects(made, manual, list(by_name), generation)
-        self._write("objects", made, generation)
+        self._write("objects", made, generation, ["type", "id"])
         written = self.objects(generation)
         if bundle.relationships:
             linked = reduce(
@@ -217,25 +251,53 @@ class Graph:
             linked = local_frame(self.spark, [], RELATION)
         if relation_edits is not None:
             linked = edits.with_relation_edits(linked, relation_edits, written, generation)
-        self._write("relations", linked, generation)
-        self._point(generation, bundle, current, actor)
+        self._write("relations", linked, generation, ["from_id", "to_id"])
+        self._write("relations_to", self.relations(generation), generation, ["to_id", "from_id"])
+        row = {
+            "seq": (current["seq"] if current else 0) + 1,
+            "generation": generation,
+            "previous": current["generation"] if current else None,
+            "bundle_hash": bundle_hash(bundle),
+            "actor": actor,
+            "types": list(by_name),
+            "edits_version": pinned,
+            "published_at": dt.datetime.now(dt.timezone.utc).isoformat(),
+        }
+        shown = {"dashboards": [dataclasses.asdict(d) for d in bundle.dashboards]}
+
+        def decide() -> list[Fact]:
+            if self.pointer() != current:
+                raise PublicationRefused("Published definitions changed. Revalidate these definitions.")
+            return [("pointer", "active", row), ("publication", generation, row), ("dashboards", generation, shown)]
+
+        self.log.update(decide)
         return generation
 
-    def _write(self, name: str, df: DataFrame, generation: str) -> None:
+    def _write(self, name: str, df: DataFrame, generation: str, order: Sequence[str]) -> None:
         path = f"{self.root}/{name}/generation={generation}"
+        ranged = df.drop("generation").repartitionByRange(*order).sortWithinPartitions(*order)
         # A generation is new, so an overwrite only replaces a failed attempt of itself.
-        df.drop("generation").write.mode("overwrite").parquet(path)
-
-    def _point(self, generation: str, bundle: Bundle, current, actor: str) -> None:
-        row = (
-            (current["seq"] if current else 0) + 1,
-            generation,
-            current["generation"] if current else None,
-            bundle_hash(bundle),
-            actor,
-            dt.datetime.now(dt.timezone.utc),
-        )
-        local_frame(self.spark, [row], POINTER).coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
+        ranged.write.mode("overwrite").parquet(path)
+
+    def records(self, stored: EditStore) -> DataFrame:
+        """The active generation's records with all edits there are by now, and with the objects
+        people created since it was published."""
+        from . import edits
+
+        row = self.pointer()
+        since = stored.manual(since=row["edits_version"])
+        objects = edits.with_manual_objects(self.objects(row["generation"]), since, row["types"], row["generation"])
+        return edits.effective_records(objects, stored.overlays())
+
+    def links(self, stored: EditStore) -> DataFrame:
+        """The active generation's relations after the links and unlinks since it was published."""
+        from . import edits
+
+        row = self.pointer()
+        since = stored.relation_edits(since=row["edits_version"])
+        created = stored.manual(since=row["edits_version"])
+        objects = edits.with_manual_objects(self.objects(row["generation"]), created, row["types"], row["generation"])
+        return edits.with_relation_edits(self.relations(row["generation"]), since, objects, row["generation"])
 
     def rollback(self, bundles: Mapping[str, Bundle], tables: Mapping[str, DataFrame], validate, **how) -> str:
         """Publish the previous generation's definitions again, on today's inputs, after
@@ -243,8 +305,7 @@ class Graph:
         current = self.pointer()
         if not current or not current["previous"]:
             raise PublicationRefused("No previous publication")
-        log = self._table("pointer", POINTER)
-        old = log.where(F.col("generation") == current["previous"]).orderBy(F.col("seq").desc()).first()
+        old = self.log.get("publication", current["previous"])
         bundle = bundles.get(old["bundle_hash"]) if old else None
         if bundle is None:
             raise PublicationRefused("Previous definitions unavailable")
@@ -268,10 +329,10 @@ NAMED = [
 ]
 
 
-def record_label(type_name: Column, key: Column, values: Column, names: Sequence[str]) -> Column:
-    """A readable name: a person's, else a name or title, else the record's own email, else
-    its type and a shortened key. ``values`` is a map; ``names`` its possible keys, in the
-    order the type lists them."""
+def record_label(type_name: Column, key: Column, values: Column, names: Sequence[str], longest: int = 80) -> Column:
+    """A readable name: a person's, else a name or title, else the record's own email (of those
+    the first ``longest`` characters), else its type and a shortened key. ``values`` is a map;
+    ``names`` its possible keys, in the order the type lists them."""
     def filled(name: str) -> Column:
         value = F.try_element_at(values, F.lit(name))
         return F.when(value.isNotNull() & ~F.trim(value).isin(BLANKS), value)
@@ -282,7 +343,7 @@ def record_label(type_name: Column, key: Column, values: Column, names: Sequence
 
     given, family = first(FIRST_NAME), first(LAST_NAME)
     person = F.when(given.isNotNull() | family.isNotNull(), F.concat_ws(" ", given, family))
-    named = F.substring(F.coalesce(*[first(rule) for rule in NAMED]), 1, 80)
+    named = F.substring(F.coalesce(*[first(rule) for rule in NAMED]), 1, longest)
     short = F.when(F.length(key) > 14, F.concat(F.substring(key, 1, 12), F.lit("…"))).otherwise(key)
     return F.coalesce(person, named, F.concat_ws(" ", type_name, short))
 

@@ -8,9 +8,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..functions.kinds import sql_name
+from ..plans.runs import PipelineDef, run_checks
+from . import dashboards as D
 from . import entities as E
 from . import validate as V
+from .dashboards import Widget
+from .editstore import EditStore
 from .entities import Bundle
 from .objects import Graph, PublicationRefused
 from .snapshots import Snapshots
@@ -31,16 +34,18 @@ class Proposal:
 
 
 def input_ids(bundle: Bundle) -> list[str]:
-    """Stored datasets a bundle reads or describes: those of its derived tables, of its types
-    and of its catalog."""
-    derived = {t.id for t in bundle.tables}
-    read = [i for t in bundle.tables for i in t.inputs] + [t.dataset for t in bundle.types]
+    """Stored datasets a bundle reads or describes: those of its derived tables and pipelines, of
+    its types, widgets and catalog."""
+    made = [*bundle.tables, *bundle.pipelines]
+    derived = {x.id for x in made}
+    read = [i for x in made for i in x.inputs] + [t.dataset for t in bundle.types]
+    read += [i for d in bundle.dashboards for w in d.widgets for i in w.inputs]
     read += [dataset for dataset, _, _ in bundle.catalog]
     return [i for i in dict.fromkeys(read) if i not in derived]
 
 
 def _columns(tables: dict[str, DataFrame]) -> dict[str, list[tuple[str, str]]]:
-    return {i: [(f.name, sql_name(f.dataType)) for f in df.schema.fields] for i, df in tables.items()}
+    return {i: E.columns_of(df) for i, df in tables.items()}
 
 
 def _served(store: Snapshots) -> dict[str, str]:
@@ -60,7 +65,7 @@ def propose(store: Snapshots, graph: Graph, bundle: Bundle) -> Proposal:
         bundle = V.drop_failing(bundle, report)
         versions = {i: versions[i] for i in input_ids(bundle)}
         report = V.validate_bundle(tables, _columns(tables), bundle)
-    return Proposal(bundle, tuple(report), versions, graph.active())
+    return Proposal(V.presented(bundle, tables, _columns(tables)), tuple(report), versions, graph.active())
 
 
 def publish(
@@ -71,9 +76,11 @@ def publish(
     relation_edits: DataFrame | None = None,
     actor: str = "",
     generation: str | None = None,
+    stored: EditStore | None = None,
 ) -> str:
-    """Write a valid proposal's derived tables, lineage, objects and relations under a new
-    generation, which readers see when its pointer is written at the end."""
+    """Write a valid proposal's derived tables, lineage, objects, relations and dashboards under a
+    new generation, which readers see when its pointer is written at the end. Tables are built in
+    the order they read each other; a pipeline whose written rows fail a check stops it all."""
     if not proposal.valid:
         raise PublicationRefused("Definitions must pass validation")
     bundle = proposal.bundle
@@ -83,25 +90,39 @@ def publish(
     if versions != proposal.versions:
         raise PublicationRefused("Input data changed. Revalidate these definitions.")
     tables = {i: store.active(i) for i in versions}
-    columns = _columns(tables)
-    for t in bundle.tables:
-        merged, _ = E.entity_table(tables, t.entity, columns, t.normalized)
-        store.commit(t.id, t.name, merged, generation=generation)
-        store.record_lineage(t.id, t.inputs, generation)
-        tables[t.id] = store.active(t.id, generation)
+    made = E.build_order(bundle)
+    for x in made:
+        store.commit(x.id, x.name, E.derive(x, tables, _columns(tables)), generation=generation)
+        store.record_lineage(x.id, x.inputs, generation)
+        tables[x.id] = store.active(x.id, generation)
+        if isinstance(x, PipelineDef):
+            report = run_checks(tables[x.id], {i: tables[i] for i in x.inputs}, x.checks)
+            failed = [r["name"] for r in report.collect() if not r["passed"]]
+            if failed:
+                raise PublicationRefused(f"Quality check failed: {', '.join(failed)}")
     return graph.publish(
         bundle,
         tables,
         base=proposal.base,
         recorded=proposal.versions,
-        versions=versions | {t.id: generation for t in bundle.tables},
+        versions=versions | {x.id: generation for x in made},
         manual=manual,
         relation_edits=relation_edits,
         actor=actor,
         generation=generation,
+        stored=stored,
     )
 
 
+def show(store: Snapshots, graph: Graph, dashboard: str, title: str) -> tuple[DataFrame, Widget]:
+    """The rows of a published widget, over the datasets as the active generation sees them."""
+    generation = graph.active()
+    found = [w for d in graph.dashboards(generation) if d.name == dashboard for w in d.widgets if w.title == title]
+    if not found:
+        raise ValueError("Unknown widget")
+    return D.widget(store.inputs(found[0].inputs, generation), found[0])
+
+
 def store_all(store: Snapshots, datasets: Sequence) -> None:
     """Commit datasets (as :class:`keys.Dataset`) as snapshots."""
     for d in datasets:

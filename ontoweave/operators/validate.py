@@ -6,13 +6,18 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.local import local_frame
 from ..functions.text import field
+from ..plans.runs import PipelineDef, run_checks
+from . import dashboards as D
 from . import entities as E
+from .dashboards import Widget
 from .entities import Bundle, RelationshipDef, TypeDef
+from .query import QueryRefused
 from .profile import facts_by_name, key_counts, key_flag, profile_columns
 
 REPORT = "kind string, name string, passed boolean, detail string"
@@ -20,7 +25,7 @@ REPORT = "kind string, name string, passed boolean, detail string"
 
 @dataclass(frozen=True)
 class CheckResult:
-    kind: str  # names, table, type, relationship, action or catalog
+    kind: str  # names, table, pipeline, type, relationship, dashboard, action or catalog
     name: str
     passed: bool
     detail: str
@@ -112,7 +117,7 @@ def relationship_cardinality(source: DataFrame, target: DataFrame, from_column:
 
 
 def _named_once(bundle: Bundle) -> CheckResult:
-    groups = [bundle.tables, bundle.types, bundle.relationships, bundle.actions]
+    groups = [bundle.tables, bundle.pipelines, bundle.types, bundle.relationships, bundle.dashboards, bundle.actions]
     ok = all(len({x.name for x in g}) == len(g) for g in groups)
     return CheckResult("names", "Definition identities", ok, "Names must be unique within each asset type")
 
@@ -120,8 +125,10 @@ def _named_once(bundle: Bundle) -> CheckResult:
 def validate_bundle(tables: Mapping[str, DataFrame], columns: E.Columns, bundle: Bundle) -> list[CheckResult]:
     """Every definition checked on the data, in two jobs: one counts all keys and join
     columns, the other all relationships. A row per column and per relationship comes back.
+    Pipelines are built in the order of their inputs, and each of their checks and each widget of
+    a dashboard is one more query.
     """
-    built = E.build_tables(bundle, tables, columns)
+    built, unbuilt = E.try_tables(bundle, tables, columns)
     types = {t.name: t for t in bundle.types}
     flaws = {("type", t.name): _type_flaw(t, built) for t in bundle.types}
     flaws |= {("relationship", r.name): _relationship_flaw(r, types, built) for r in bundle.relationships}
@@ -129,7 +136,7 @@ def validate_bundle(tables: Mapping[str, DataFrame], columns: E.Columns, bundle:
     sound_links = [r for r in bundle.relationships if not flaws["relationship", r.name]]
 
     wanted: dict[str, dict[str, None]] = {}
-    for t in [*bundle.tables, *sound_types]:
+    for t in [*(t for t in bundle.tables if t.id not in unbuilt), *sound_types]:
         wanted.setdefault(t.id if isinstance(t, E.TableDef) else t.dataset, {})[t.key] = None
     for r in sound_links:
         wanted.setdefault(types[r.from_type].dataset, {})[r.from_column] = None
@@ -141,7 +148,12 @@ def validate_bundle(tables: Mapping[str, DataFrame], columns: E.Columns, bundle:
     for dataset, _, _ in bundle.catalog:
         known = dataset in tables
         results.append(CheckResult("catalog", dataset, known, "Described" if known else "Unknown dataset"))
+    for p in bundle.pipelines:
+        results.append(_pipeline_result(p, built, unbuilt))
     for t in bundle.tables:
+        if t.id in unbuilt:
+            results.append(CheckResult("table", t.name, False, unbuilt[t.id]))
+            continue
         key, name = counts[t.id, t.key], E.checks(bundle)[t.id]
         ok = key["nulls"] == 0 and key["distinct"] == key["rows"]
         results.append(CheckResult("table", t.name, ok, name if ok else f"Quality check failed: {name}"))
@@ -163,6 +175,7 @@ def validate_bundle(tables: Mapping[str, DataFrame], columns: E.Columns, bundle:
                 f"{found['matched']}/{found['total']} source objects matched; {shape}; {found['pairs']} relationship pairs"
             )
         results.append(CheckResult("relationship", r.name, flaws["relationship", r.name] is None, detail))
+    results += [result for _, result in widgets(bundle, built)]
     for a in bundle.actions:
         t = types.get(a.type)
         ok = t is not None and editable(t, a.fields)
@@ -171,6 +184,41 @@ def validate_bundle(tables: Mapping[str, DataFrame], columns: E.Columns, bundle:
     return results
 
 
+def _pipeline_result(p: PipelineDef, built: Mapping[str, DataFrame], unbuilt: Mapping[str, str]) -> CheckResult:
+    if p.id in unbuilt:
+        return CheckResult("pipeline", p.name, False, unbuilt[p.id])
+    report = run_checks(built[p.id], {i: built[i] for i in p.inputs}, p.checks)
+    failed = [r["name"] for r in report.collect() if not r["passed"]]
+    detail = f"Quality check failed: {', '.join(failed)}" if failed else f"{len(p.checks)} quality checks passed"
+    return CheckResult("pipeline", p.name, not failed, detail)
+
+
+def widgets(bundle: Bundle, built: Mapping[str, DataFrame]) -> list[tuple[tuple[str, Widget], CheckResult]]:
+    """Each widget, as its result allows to show it, under its dashboard's name, and whether its
+    query runs."""
+    names = {x.id: x.name for x in [*bundle.tables, *bundle.pipelines]}
+    inputs = {i: (names.get(i, i), df) for i, df in built.items()}
+    out = []
+    for d in bundle.dashboards:
+        for w in d.widgets:
+            about = f"{d.name} / {w.title}"
+            try:
+                rows, shown = D.widget(inputs, w)
+                out.append(((d.name, shown), CheckResult("dashboard", about, True, f"{rows.count()} result rows; query executed")))
+            except (ValueError, AnalysisException, ParseException, QueryRefused) as e:
+                out.append(((d.name, w), CheckResult("dashboard", about, False, str(e).strip().split("\n")[0])))
+    return out
+
+
+def presented(bundle: Bundle, tables: Mapping[str, DataFrame], columns: E.Columns) -> Bundle:
+    """The bundle with its widgets as their results are to be shown."""
+    shown = [placed for placed, _ in widgets(bundle, E.try_tables(bundle, tables, columns)[0])]
+    return replace(
+        bundle,
+        dashboards=tuple(replace(d, widgets=tuple(w for name, w in shown if name == d.name)) for d in bundle.dashboards),
+    )
+
+
 def _type_flaw(t: TypeDef, tables: Mapping[str, DataFrame]) -> str | None:
     if t.dataset not in tables:
         return "Unknown dataset"
@@ -208,12 +256,23 @@ def editable(t: TypeDef, fields: Sequence[str]) -> bool:
 
 
 def drop_failing(bundle: Bundle, report: Sequence[CheckResult]) -> Bundle:
-    """The bundle without what failed, and without what depends on a failed type."""
+    """The bundle without what failed, and without what depends on a failed table or type."""
     failed = {(c.kind, c.name) for c in report if not c.passed}
-    types = {t.name for t in bundle.types if ("type", t.name) not in failed}
+    gone = {t.id for t in bundle.tables if ("table", t.name) in failed}
+    gone |= {p.id for p in bundle.pipelines if ("pipeline", p.name) in failed}
+    for x in E.build_order(bundle):
+        if any(i in gone for i in x.inputs):
+            gone.add(x.id)
+    types = {t.name for t in bundle.types if ("type", t.name) not in failed and t.dataset not in gone}
+    kept = [
+        replace(d, widgets=tuple(w for w in d.widgets if ("dashboard", f"{d.name} / {w.title}") not in failed and not gone & set(w.inputs)))
+        for d in bundle.dashboards
+    ]
     return replace(
         bundle,
-        tables=tuple(t for t in bundle.tables if ("table", t.name) not in failed),
+        tables=tuple(t for t in bundle.tables if t.id not in gone),
+        pipelines=tuple(p for p in bundle.pipelines if p.id not in gone),
+        dashboards=tuple(d for d in kept if d.widgets),
         types=tuple(t for t in bundle.types if t.name in types),
         relationships=tuple(
             r for r in bundle.relationships

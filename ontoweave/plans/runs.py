@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import field
@@ -22,6 +22,20 @@ class Check:
     sql: str
 
 
+@dataclass(frozen=True)
+class PipelineDef:
+    """A graph of nodes whose output is a derived dataset of a bundle, and what must hold of it."""
+
+    id: str
+    name: str
+    nodes: tuple[Node, ...]
+    checks: tuple[Check, ...] = ()
+
+    @property
+    def inputs(self) -> tuple[str, ...]:
+        return tuple(source_ids(self.nodes))
+
+
 def run_checks(output: DataFrame, sources: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
     """Each check's first row must be all true (or 1). One row per check: name, passed.
 
@@ -55,7 +69,7 @@ def preview(sources: Mapping[str, DataFrame], output: DataFrame, rows: int = 5)
     return reduce(DataFrame.unionByName, parts)
 
 
-def rerun(store: Snapshots, graph: Sequence[Node], output_id: str, name: str, version: str | None = None) -> Row:
+def rerun(store: Snapshots, graph: Sequence[Node], output_id: str, name: str, version: str | None = None) -> dict:
     """Run a graph again over the active versions of its datasets, and serve the result as
     a new version of its output."""
     ids = source_ids(graph)

@@ -359,3 +359,101 @@ def test_from_snapshots_to_a_generation(spark, store, tables, tmp_path):
     second = W.publish(snapshots, store, W.propose(snapshots, store, proposal.bundle))
     assert (store.objects().count(), store.relations().count()) == (4, 2)
     assert snapshots.active(merged.id, first).count() == snapshots.active(merged.id, second).count() == 2
+
+
+def test_one_record_touches_few_files(spark, tmp_path):
+    """Objects and both copies of the relations lie in the order they are looked up in."""
+    import pyarrow.parquet as pq
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = O.Graph(spark, str(tmp_path / "graph"))
+        people = spark.range(4000).selectExpr("CAST(id AS STRING) AS id", "'EU' AS region", "'x' AS email")
+        orders = spark.range(9000).selectExpr("id", "CAST(id % 4000 AS STRING) AS customer", "1 AS amount", "'s' AS status")
+        store.publish(BUNDLE, {"customers": people, "orders": orders}, generation="g1")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    focus = f"g1_{logical('Customer', 7)}"
+    for name, column, most in (("objects", "id", 3), ("relations", "from_id", 1), ("relations_to", "to_id", 1)):
+        files = list((tmp_path / "graph" / name).rglob("*.parquet"))
+        holding = 0
+        for f in files:
+            part = pq.ParquetFile(f)
+            at = part.schema_arrow.names.index(column)
+            groups = [part.metadata.row_group(i).column(at).statistics for i in range(part.metadata.num_row_groups)]
+            holding += any(s.min <= focus <= s.max for s in groups)
+        assert len(files) >= 4 and holding <= most, (name, len(files), holding)
+    audit = store._table("none", "id string, name string, object_id string, created_at timestamp")
+    parts = G.record_detail(store.objects(), store.relations(), audit, focus, incoming=store.relations_to(), related_limit=10)
+    assert parts["record"].count() == 1 and rows(parts["related"], "key") == [("4007",), ("7",), ("8007",)]
+    text = parts["related"]._jdf.queryExecution().toString()
+    assert "In(id, [" in text.split("PushedFilters")[1]
+    shown = G.neighbors(store.relations(), parts["record"], store.relations_to())
+    assert shown.count() == 3 and rows(shown) == rows(G.neighbors(store.relations(), parts["record"]))
+
+
+def test_bundles_build_pipelines_and_dashboards(spark, store, tables, tmp_path):
+    import dataclasses
+
+    from ontoweave.operators import publish as W
+    from ontoweave.operators.dashboards import Dashboard, Widget
+    from ontoweave.operators.snapshots import Snapshots
+    from ontoweave.plans.nodes import Node
+    from ontoweave.plans.runs import Check, PipelineDef
+
+    snapshots = Snapshots(spark, str(tmp_path / "snapshots"))
+    for name, df in tables.items():
+        snapshots.commit(name, name, df, "v1")
+    spent = PipelineDef(
+        "pipeline_spent", "Spent",
+        (Node("in", "source", dataset="orders"), Node("sum", "aggregate", ("in",), {"groupBy": ["customer"], "metrics": {"spent": "sum(amount)"}})),
+        (Check("has rows", "SELECT count(*) > 0 FROM output"), Check("all orders", "SELECT (SELECT sum(spent) FROM output) = (SELECT sum(amount) FROM orders)")),
+    )
+    # Listed before the pipeline it reads.
+    regions = PipelineDef(
+        "pipeline_regions", "Regions",
+        (
+            Node("s", "source", dataset="pipeline_spent"), Node("c", "source", dataset="customers"),
+            Node("j", "join", ("s", "c"), {"on": "a.customer = b.id", "select": "b.region AS region, a.spent AS spent"}),
+        ),
+    )
+    bad = PipelineDef("pipeline_bad", "Bad", spent.nodes, (Check("never", "SELECT false"),))
+    broken = PipelineDef("pipeline_broken", "Broken", (Node("in", "source", dataset="orders"), Node("x", "select", ("in",), {"columns": ["nope"]})))
+    after_bad = PipelineDef("pipeline_after", "After", (Node("in", "source", dataset="pipeline_bad"),))
+    board = Dashboard(
+        "Board",
+        (
+            Widget("Spent by region", "metric", "SELECT r.region, sum(r.spent) AS spent FROM Regions r GROUP BY 1", ("pipeline_regions",), x="r.region"),
+            Widget("Nothing", "table", "SELECT nope FROM Regions", ("pipeline_regions",)),
+            Widget("Bad rows", "table", "SELECT * FROM Bad", ("pipeline_bad",)),
+        ),
+    )
+    bundle = Bundle("", types=(CUSTOMER, ORDER), relationships=(PLACED,), pipelines=(regions, spent, bad, broken, after_bad), dashboards=(board,))
+    report = {c.name: c for c in V.validate_bundle(tables, {}, bundle)}
+    assert [n for n, c in report.items() if c.kind == "pipeline" and not c.passed] == ["Bad", "Broken"]
+    assert report["Bad"].detail == "Quality check failed: never" and report["Broken"].detail == "Unknown column nope"
+    assert report["Board / Spent by region"].detail == "2 result rows; query executed" and not report["Board / Nothing"].passed
+    proposal = W.propose(snapshots, store, bundle)
+    assert proposal.valid and [p.name for p in proposal.bundle.pipelines] == ["Regions", "Spent"]
+    (shown,) = proposal.bundle.dashboards[0].widgets
+    assert (shown.title, shown.type, shown.x, shown.y) == ("Spent by region", "bar", "region", "spent")
+    generation = W.publish(snapshots, store, proposal)
+    rows_of, widget = W.show(snapshots, store, "Board", "Spent by region")
+    assert widget == shown and rows(rows_of) == [("EU", 30), ("NA", 5)]
+    assert ("pipeline_spent", "pipeline_regions", generation) in rows(snapshots.lineage(), "from_id", "to_id", "generation")
+    # Readers see the next rows of a widget only after the next publication.
+    snapshots.commit("orders", "orders", tables["orders"].where("id = 1"), "v2")
+    assert rows(W.show(snapshots, store, "Board", "Spent by region")[0]) == [("EU", 30), ("NA", 5)]
+    W.publish(snapshots, store, W.propose(snapshots, store, bundle))
+    assert rows(W.show(snapshots, store, "Board", "Spent by region")[0]) == [("EU", 10)]
+    with pytest.raises(ValueError, match="Unknown widget"):
+        W.show(snapshots, store, "Board", "Nothing")
+    # A check that fails on the rows as written stops the publication.
+    active = store.active()
+    forced = dataclasses.replace(W.propose(snapshots, store, proposal.bundle), bundle=dataclasses.replace(proposal.bundle, pipelines=(spent, bad), dashboards=()))
+    with pytest.raises(O.PublicationRefused, match="never"):
+        W.publish(snapshots, store, forced)
+    assert store.active() == active
+    with pytest.raises(ValueError, match="circle"):
+        loop = PipelineDef("pipeline_spent", "Loop", (Node("in", "source", dataset="pipeline_regions"),))
+        V.validate_bundle(tables, {}, Bundle("", pipelines=(regions, loop)))
