@@ -33,7 +33,7 @@ def run(spec: MetricSpec, rounded: bool = True):
     def query(spark, sf_dir):
         df = table(spark, sf_dir, spec.dataset)
         used = (spec.column, spec.time_column, spec.group_by, spec.filter and spec.filter[0])
-        out = metrics.metric(df, facts_of(df, *dict.fromkeys(used)) if spec.group_by or spec.column else {}, spec)
+        out = metrics.metric(df, facts_of(df, *dict.fromkeys(used)) if spec.group_by or spec.column else {}, spec, metrics.SCREEN)
         values = [c for c in ("value", "previous") if c in out.columns]
         return out.withColumns({c: F.round(c, 2) for c in values})
 
@@ -98,7 +98,7 @@ UNION ALL SELECT 'day', least(24, date_diff('day', date_trunc('day', lo), date_t
 )
 def metric_grain(spark, sf_dir):
     spec = MetricSpec("trend", "events", time_column="ts", filter=("event_type", "Purchase"))
-    return metrics.grain_points(table(spark, sf_dir, "events"), spec)
+    return metrics.grain_points(table(spark, sf_dir, "events"), spec, metrics.SCREEN)
 
 
 @register(
@@ -111,7 +111,7 @@ UNION ALL SELECT 'day', (SELECT count(DISTINCT date_trunc('day', t)) FROM v, hi
 )
 def metric_grain_avg(spark, sf_dir):
     spec = MetricSpec("trend", "orders", "avg", "o_totalprice", "o_orderdate")
-    return metrics.grain_points(table(spark, sf_dir, "orders"), spec)
+    return metrics.grain_points(table(spark, sf_dir, "orders"), spec, metrics.SCREEN)
 
 
 @register(
