@@ -1,20 +1,25 @@
 """Change capture: counting the commits that touch a source, and refreshing once for many.
 
-A stream of change events ``(source, tx, lsn, tag)`` becomes one counter per source. Each
-micro-batch writes the whole small state under its own batch number, from the state of the
-batch before it, so a batch that runs again writes the same thing again.
+A stream of change events ``(source, tx, lsn, tag)`` becomes one counter per source. What a
+transaction has done so far is Spark's streaming state, one group per transaction, so a source
+with most of the events spreads like any other; a commit ends the group, and one that never
+commits expires. A micro-batch leaves one commit in a log: the counters of the sources it
+touched, with its number, so a batch that runs again counts nothing twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.local import local_frame
+from ..operators.log import Fact, Log
 from ..operators.snapshots import Snapshots
 
 # The tags of a change stream.
@@ -28,6 +33,8 @@ DEFAULT_MINUTES = 5
 EVENT = "source string, tx string, lsn bigint, tag string"
 COUNTERS = "source string, changes bigint, cursor bigint"
 OPEN = "source string, tx string, changed boolean, lsn bigint"
+# A transaction that has not committed after so many hours is forgotten.
+EXPIRES_HOURS = 24
 APPLIED = "source string, applied bigint"
 
 
@@ -40,12 +47,6 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return local_frame(spark, [], schema)
 
 
-def _left_by(spark: SparkSession, path: str, schema: str, batch: int) -> DataFrame:
-    """The state as one batch left it; nothing before the first. Batches are numbered one
-    after another, so this reads one folder however long the stream has run."""
-    return _read(spark, f"{path}/batch={batch}", schema)
-
-
 def advance(
     counters: DataFrame, open_txs: DataFrame, events: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
@@ -82,23 +83,78 @@ def advance(
     return counted, txs.where(~F.col("closed")).select("source", "tx", "changed", "lsn")
 
 
-def count_changes(stream: DataFrame, state_path: str, once: bool = True):
-    """Start counting. State and checkpoint live together under ``state_path``; with
-    ``once`` the query stops when it has read what is there."""
+def tracker(expires_hours: float = EXPIRES_HOURS) -> Callable:
+    """Follows one transaction over micro-batches: the state is whether it changed rows or tables
+    and its last position; a commit emits a count and ends it."""
+
+    def track(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        changed, last = state.get if state.exists else (False, None)
+        connects, committed, seen = 0, False, None
+        for part in parts:
+            connects += int((part["tag"] == CONNECT).sum())
+            own = part[part["tag"] != CONNECT]
+            if len(own):
+                seen = own["seen_at"].max()
+                changed = changed or bool(own["tag"].isin(CHANGES).any())
+                committed = committed or bool((own["tag"] == COMMIT).any())
+                last = int(own["lsn"].max()) if last is None else max(last, int(own["lsn"].max()))
+        if committed and state.exists:
+            state.remove()
+        elif seen is not None and not committed:
+            state.update((changed, last))
+            state.setTimeoutTimestamp(int(seen.timestamp() * 1000 + expires_hours * 3_600_000))
+        # A (re)connect counts too: changes may have been missed.
+        count = connects + (committed and changed)
+        if count or committed:
+            cursor = pd.array([last if committed else None], dtype="Int64")
+            yield pd.DataFrame({"source": [key[0]], "changes": [count], "cursor": cursor})
+
+    return track
+
+
+def _counters(spark: SparkSession, state_path: str) -> Log:
+    # One stream writes the counters, so commits that a checkpoint holds may go.
+    return Log(spark, f"{state_path}/counters", one_writer=True)
+
+
+def count_changes(stream: DataFrame, state_path: str, once: bool = True, expires_hours: float = EXPIRES_HOURS):
+    """Start counting. Counters and checkpoint live together under ``state_path``; with ``once``
+    the query stops when it has read what is there."""
+    # The watermark is the time of the last micro-batch with events, so a query that stops when it
+    # has read everything is not kept running by transactions that wait for their time.
+    seen = stream.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", "0 seconds")
+    counted = seen.groupBy("source", "tx").applyInPandasWithState(
+        tracker(expires_hours), COUNTERS, "changed boolean, lsn bigint", "update", GroupStateTimeout.EventTimeTimeout
+    )
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        log = _counters(batch.sparkSession, state_path)
+        # One row per source that had commits.
+        touched = batch.groupBy("source").agg(F.sum("changes").alias("changes"), F.max("cursor").alias("cursor")).collect()
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        counters = _left_by(spark, f"{state_path}/counters", COUNTERS, batch_id - 1)
-        open_txs = _left_by(spark, f"{state_path}/open", OPEN, batch_id - 1)
-        counted, still_open = advance(counters, open_txs, batch)
-        # The counters come last: a batch without them is not done.
-        still_open.write.mode("overwrite").parquet(f"{state_path}/open/batch={batch_id}")
-        counted.write.mode("overwrite").parquet(f"{state_path}/counters/batch={batch_id}")
+        def decide() -> list[Fact]:
+            facts = []
+            for r in touched:
+                old = log.get("counter", r["source"]) or {"changes": 0, "cursor": None, "batch": -1}
+                if old["batch"] < batch_id:
+                    cursor = max((c for c in (old["cursor"], r["cursor"]) if c is not None), default=None)
+                    now = {"source": r["source"], "changes": old["changes"] + r["changes"], "cursor": cursor, "batch": batch_id}
+                    facts.append(("counter", r["source"], now))
+            return facts
 
-    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{state_path}/checkpoint")
+        log.update(decide)
+
+    writer = stream_writer(counted, state_path).foreachBatch(add)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def stream_writer(counted: DataFrame, state_path: str):
+    return counted.writeStream.outputMode("update").option("checkpointLocation", f"{state_path}/checkpoint")
+
+
 def read_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(T._parse_datatype_string(EVENT))
     if files_per_batch:
@@ -108,9 +164,7 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int | None = No
 
 def counters(spark: SparkSession, state_path: str) -> DataFrame:
     """Changes and cursor per source, as of the last finished batch."""
-    table = _read(spark, f"{state_path}/counters", f"{COUNTERS}, batch bigint")
-    last = table.agg(F.max("batch").alias("batch")).first()["batch"]
-    return table.where(F.col("batch") == (-1 if last is None else last)).drop("batch")
+    return _counters(spark, state_path).frame("counter", COUNTERS).drop("commit")
 
 
 def applied(spark: SparkSession, state_path: str) -> DataFrame:

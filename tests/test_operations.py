@@ -237,6 +237,61 @@ def test_commits_count_once(spark, frame, capture):
     assert rows(C.counters(spark, state), "source", "changes", "cursor") == [("a", 2, 6), ("b", 1, 3)]
 
 
+def test_a_restarted_stream_goes_on_and_its_state_stays_small(spark, frame, tmp_path, monkeypatch):
+    """Many micro-batches, stopped and started again: counts as one batch would, in few files."""
+    import os
+
+    from ontoweave.operators import log
+
+    monkeypatch.setattr(log, "EVERY", 4)
+    monkeypatch.setattr(C, "Log", lambda *a, **how: log.Log(*a, every=4, **how))
+    path, sizes, n = str(tmp_path / "events"), [], 0
+    for part in range(2):
+        for _ in range(9):
+            made = [("a", f"t{n}", 2 * n, "insert"), ("a", f"t{n - 1}", 2 * n + 1, "commit"), ("b", f"u{n}", n, "relation"), ("b", f"u{n}", n, "commit")]
+            events(frame, *made).coalesce(1).write.mode("append").parquet(path)
+            n += 1
+        C.count_changes(C.read_events(spark, path, 1), str(tmp_path / "state")).awaitTermination()
+        sizes.append(len(os.listdir(tmp_path / "state" / "counters")))
+    # Every insert but the last has its commit one batch later.
+    assert rows(C.counters(spark, str(tmp_path / "state")), "source", "changes", "cursor") == [("a", n - 1, 2 * n - 1), ("b", 0, n - 1)]
+    assert sizes[1] <= sizes[0] + 8, sizes
+
+
+def test_transactions_that_never_commit_expire():
+    import pandas as pd
+
+    class State:
+        hasTimedOut, exists, value, timeout = False, False, None, None
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.exists, self.value = True, value
+
+        def remove(self):
+            self.exists, self.value = False, None
+
+        def setTimeoutTimestamp(self, ms):
+            self.timeout = ms
+
+    def part(*tags):
+        return pd.DataFrame({"source": "a", "tx": "t", "lsn": range(len(tags)), "tag": tags, "seen_at": pd.Timestamp(1000, unit="s")})
+
+    track, state = C.tracker(expires_hours=2), State()
+    assert list(track(("a", "t"), iter([part("insert"), part("relation")]), state)) == []
+    assert state.value == (True, 0) and state.timeout == 8_200_000
+    state.hasTimedOut = True
+    assert list(track(("a", "t"), iter([]), state)) == [] and not state.exists
+    state.hasTimedOut = False
+    (late,) = track(("a", "t"), iter([part("relation", "commit")]), state)
+    assert late.to_dict("records") == [{"source": "a", "changes": 0, "cursor": 1}] and not state.exists
+    (both,) = track(("a", None), iter([part("connect", "connect")]), state)
+    assert both["changes"].tolist() == [2] and both["cursor"].isna().all()
+
+
 def test_a_batch_that_runs_again_changes_nothing(spark, frame):
     empty = frame([], "source string, changes bigint, cursor bigint"), frame([], "source string, tx string, changed boolean, lsn bigint")
     batch = events(frame, ("a", "t1", 1, "insert"), ("a", "t1", 2, "commit"))
