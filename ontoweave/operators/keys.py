@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kinds, names
 from ..functions.local import local_frame
-from .profile import key_counts
+from ..functions.text import field
+from ..plans.cells import cells, counted, typed
+from ..session import cut
+from .profile import measured_keys
 
 # One row per column (or text field of a struct column) that may take part in a link.
 FACTS = (
@@ -55,17 +59,63 @@ def ordered(datasets: Iterable[Dataset]) -> list[Dataset]:
     return sorted(datasets, key=lambda d: (d.name, d.id))
 
 
-def profiles(datasets: Sequence[Dataset]) -> dict[str, list[dict]]:
-    """Column profiles by dataset id, from one job over all datasets. Only counts reach the
-    driver, one row per column.
+@dataclass(frozen=True)
+class Counted:
+    """The cells of all columns that could be keys, counted once and written: profiles and overlap
+    both read them. ``places`` are the numbers of columns, by dataset, column and field."""
 
-    Only columns that could be keys are counted; of the others rules read just the type.
+    counts: DataFrame
+    places: Mapping[tuple[str, str, str | None], int]
+
+    def index(self, columns: Sequence) -> DataFrame:
+        """:func:`overlap.value_index` of some columns, under the numbers ``i`` they have there."""
+        from .overlap import index_of
+
+        numbers = [(self.places[c["dataset"], c["column"], c["field"]], c["i"]) for c in columns]
+        wanted = local_frame(self.counts.sparkSession, numbers, "position int, i int")
+        kept = self.counts.join(F.broadcast(wanted), "position").drop("position").withColumnRenamed("i", "position")
+        return index_of(kept)
+
+
+def count_keys(datasets: Sequence[Dataset], declared: DataFrame | None = None) -> Counted:
+    """Count the values of all columns that could be keys, from one scan per dataset and one shuffle.
+
+    Of columns that may link, by their name or by a declared key, the whole text counts, of others
+    a digest of long ones.
     """
-    wanted = {}
+    stated = set() if declared is None else {
+        (r[f"{end}_dataset"], r[f"{end}_column"]) for r in declared.collect() for end in ("from", "to")
+    }
+    places: dict[tuple[str, str, str | None], int] = {}
+    parts = []
     for d in datasets:
-        could = [f.name for f in d.df.schema.fields if kinds.is_key_type(f.dataType)]
-        wanted[d.id] = (d.df, could or d.df.columns[:1])
-    counted = key_counts(wanted)
+        others = {names.noun(x.table) for x in datasets if x is not d}
+        held = {}
+        for f in d.df.schema.fields:
+            if kinds.is_key_type(f.dataType):
+                links = names.is_key(f.name) or names.noun(f.name) in others or (d.id, f.name) in stated
+                places[d.id, f.name, None] = len(places)
+                held[places[d.id, f.name, None]] = typed(field(f.name), f.dataType, shorten=not links)
+            for inner in kinds.text_fields(f.dataType):
+                if names.is_key(inner):
+                    places[d.id, f.name, inner] = len(places)
+                    value = field(f.name)[inner]
+                    held[places[d.id, f.name, inner]] = typed(value, f.dataType[inner].dataType, shorten=False)
+        if not any(k[0] == d.id and k[2] is None for k in places):
+            first = d.df.schema.fields[0]
+            places[d.id, first.name, None] = len(places)
+            held[places[d.id, first.name, None]] = typed(field(first.name), first.dataType)
+        parts.append(cells(d.df, held))
+    return Counted(cut(counted(reduce(DataFrame.unionByName, parts))), places)
+
+
+def profiles(datasets: Sequence[Dataset], known: Counted | None = None) -> dict[str, list[dict]]:
+    """Column profiles by dataset id. Only counts reach the driver, one row per column.
+
+    Only columns that could be keys are counted; of the others rules read just the type.
+    """
+    known = count_keys(datasets) if known is None else known
+    counted = measured_keys(known.counts, {n: (d, c) for (d, c, inner), n in known.places.items() if inner is None})
     rows = {i: c["rows"] for (i, _), c in counted.items()}
     out: dict[str, list[dict]] = {}
     for d in datasets:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.local import local_frame
@@ -24,6 +24,13 @@ EXACT, FOLDED = 0, 1
 STEM_LETTERS = 3
 
 
+def index_of(counts: DataFrame) -> DataFrame:
+    """``(c, v, n)`` from counted cells: how often each column holds each non-blank value, as text."""
+    # Numbers are counted as numbers; only distinct ones are printed.
+    text = F.coalesce("text", F.col("number").cast("string"))
+    return counts.select(F.col("position").alias("c"), text.alias("v"), "n").where(F.trim("v") != "")
+
+
 def value_index(tables: Mapping[str, DataFrame], columns: Sequence[Row]) -> DataFrame:
     """``(c, v, n)``: how often each key column holds each non-blank value, as text.
 
@@ -40,39 +47,39 @@ def value_index(tables: Mapping[str, DataFrame], columns: Sequence[Row]) -> Data
                     value, kind = value[c["field"]], kind[c["field"]].dataType
                 held[c["i"]] = typed(value, kind, shorten=False)
         parts.append(cells(df, held))
-    # Numbers are counted as numbers; only distinct ones are printed.
-    text = F.coalesce("text", F.col("number").cast("string"))
-    index = counted(reduce(DataFrame.unionByName, parts))
-    return index.select(F.col("position").alias("c"), text.alias("v"), "n").where(F.trim("v") != "")
+    return index_of(counted(reduce(DataFrame.unionByName, parts)))
 
 
-def _comparable(columns: Sequence[Row], declared: set[tuple[int, int]]) -> list[tuple[int, int, bool]]:
-    """Ordered pairs of columns to compare, and each column with itself for its totals.
+def _pairs(spark: SparkSession, columns: Sequence[Row], declared: set[tuple[int, int]]) -> tuple[DataFrame, DataFrame, Column]:
+    """Key columns with what decides whether two of them compare, the declared pairs, and the rule
+    over a pair ``a``, ``b`` of such columns.
 
-    Texts pair freely across datasets; an integer only with a column whose noun starts the
-    same, or with one a database declares. Definitions only: at most columns squared.
+    Texts pair freely across datasets; an integer only with a column whose noun starts the same, or
+    with one a database declares. Only pairs that share a value come to the rule, so neither the
+    driver nor a broadcast holds more than a row per column.
     """
-    out = []
-    for a in columns:
-        for b in columns:
-            pair = (a["i"], b["i"])
-            texts = not a["integer"] and not b["integer"]
-            nouns = a["stem"][:STEM_LETTERS] == b["stem"][:STEM_LETTERS]
-            if a["i"] == b["i"] or (a["d"] != b["d"] and (texts or nouns or pair in declared)):
-                out.append((*pair, pair in declared))
-    return out
+    rows = [(c["i"], c["d"], c["integer"], c["stem"][:STEM_LETTERS]) for c in columns]
+    about = local_frame(spark, rows, "i int, d int, integer boolean, stem string")
+    stated = local_frame(spark, [(a, b, True) for a, b in sorted(declared)], "a int, b int, declared boolean")
+    texts = ~F.col("x.integer") & ~F.col("y.integer")
+    alike = texts | (F.col("x.stem") == F.col("y.stem")) | F.col("declared")
+    return about, stated, (F.col("a") == F.col("b")) | ((F.col("x.d") != F.col("y.d")) & alike)
 
 
 def key_overlap(
-    tables: Mapping[str, DataFrame], columns: Sequence[Row], declared: set[tuple[int, int]] = frozenset()
+    tables: Mapping[str, DataFrame],
+    columns: Sequence[Row],
+    declared: set[tuple[int, int]] = frozenset(),
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Shared values of each ordered pair of key columns, exactly and ignoring case:
     distinct shared values, rows of ``a`` that hold them, and the totals of ``a``.
 
-    ``columns`` are rows of :func:`keys.key_columns`.
+    ``columns`` are rows of :func:`keys.key_columns`; ``index`` is their :func:`value_index`, where
+    their values have been counted already.
     """
     spark = next(iter(tables.values())).sparkSession
-    index = value_index(tables, columns)
+    index = value_index(tables, columns) if index is None else index
     folded = F.lower(F.trim("v"))
     variants = index.select(
         F.inline(
@@ -98,14 +105,18 @@ def key_overlap(
         .groupBy("kind", "list", "c")
         .agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows"))
     )
-    comparable = local_frame(spark, _comparable(columns, set(declared)), "a int, b int, declared boolean")
+    about, stated, comparable = _pairs(spark, columns, set(declared))
     both = per_list.select("kind", F.col("c").alias("a"), F.explode("list").alias("b"), "values", "rows")
 
     def total(kind: int, what: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(what))), F.lit(0))
 
+    # Per pair and list of columns first, so that the small tables meet few rows.
+    met = both.groupBy("a", "b", "kind").agg(F.sum("values").alias("values"), F.sum("rows").alias("rows"))
+    met = met.join(F.broadcast(stated), ["a", "b"], "left").withColumn("declared", F.coalesce("declared", F.lit(False)))
+    met = met.join(F.broadcast(about).alias("x"), F.col("a") == F.col("x.i")).join(F.broadcast(about).alias("y"), F.col("b") == F.col("y.i"))
     counted = (
-        both.join(F.broadcast(comparable), ["a", "b"])
+        met.where(comparable)
         .groupBy("a", "b", "declared")
         .agg(
             total(EXACT, "values").alias("m_exact"),

@@ -137,8 +137,10 @@ COUNTS = ["m_exact", "m_ci", "a_rows_exact", "a_rows_ci", "a_distinct", "a_disti
 def _overlap(spark, sf_dir):
     """The overlap of the business datasets, and their key columns as local rows."""
     found = datasets(spark, sf_dir)
-    columns = keys.settled(keys.key_columns(keys.column_facts(found)))
-    return overlap.key_overlap({d.id: d.df for d in found}, columns.orderBy("i").collect()), columns
+    counted = keys.count_keys(found)
+    columns = keys.settled(keys.key_columns(keys.column_facts(found, keys.profiles(found, counted))))
+    rows = columns.orderBy("i").collect()
+    return overlap.key_overlap({d.id: d.df for d in found}, rows, index=counted.index(rows)), columns
 
 
 def _named(df, columns):
