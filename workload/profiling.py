@@ -63,15 +63,17 @@ ORACLES["profile_rows"] = """
 SELECT count(*) AS rows, 3 AS columns, 'n_nationkey INTEGER, n_name VARCHAR, n_regionkey INTEGER' AS schema
 FROM nation"""
 
-KEYED = {"orders": ["o_orderkey", "o_custkey"], "part": ["p_partkey", "p_name"], "supplier": ["s_suppkey", "s_nationkey"]}
+KEYED = {
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split(),
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice".split(),
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal".split(),
+}
 
 
 def key_candidates(spark, sf_dir):
+    """Every column of the tables: whether it is a key."""
     parts = [
-        profile.profile_columns(table(spark, sf_dir, t), only=columns).select(
-            F.lit(t).alias("dataset"), "name", "primary_key"
-        )
-        for t, columns in KEYED.items()
+        profile.profile_columns(table(spark, sf_dir, t)).select(F.lit(t).alias("dataset"), "name", "primary_key") for t in KEYED
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -109,13 +111,21 @@ ORACLES["profile_examples"] = "WITH t AS (SELECT * FROM orders ORDER BY ALL LIMI
     for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 )
 
-PAIRS = ["l_partkey", "l_returnflag", "l_linestatus"]
-QUERIES["duplicate_rows"] = lambda spark, d: profile.duplicate_rows(
-    table(spark, d, "lineitem").select(*PAIRS)
-)
-ORACLES["duplicate_rows"] = f"""
-SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT {", ".join(PAIRS)} FROM lineitem))
-  AS duplicate_rows FROM lineitem"""
+COPIED = ["lineitem", "events", "customer"]
+
+
+def duplicate_rows(spark, sf_dir):
+    """Whole rows, of the tables as they are and of one whose rows all stand twice."""
+    tables = {t: table(spark, sf_dir, t) for t in COPIED}
+    tables["twice"] = tables["customer"].unionByName(tables["customer"])
+    parts = [profile.duplicate_rows(df).select(F.lit(t).alias("dataset"), "rows", "duplicate_rows") for t, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+QUERIES["duplicate_rows"] = duplicate_rows
+ORACLES["duplicate_rows"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS dataset, count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS duplicate_rows FROM {t}" for t in COPIED
+) + " UNION ALL SELECT 'twice', 2 * count(*), 2 * count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM customer)) FROM customer"
 
 
 def fingerprint(spark, sf_dir):

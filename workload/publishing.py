@@ -15,8 +15,14 @@ from ontoweave.functions.hashing import digest
 from ontoweave.functions.local import local_frame
 from ontoweave.operators import edits, graph, objects
 from ontoweave.operators.entities import Bundle, RelationshipDef, TypeDef
+from ontoweave.operators.dashboards import Dashboard, Widget
+from ontoweave.operators.editstore import CREATED, LINKED, EditStore
 from ontoweave.operators.objects import Graph, type_id
+from ontoweave.operators.publish import propose, publish, show
+from ontoweave.operators.snapshots import Snapshots
 from ontoweave.operators.validate import validate_bundle
+from ontoweave.plans.nodes import Node
+from ontoweave.plans.runs import Check, PipelineDef
 
 from .data import scratch, table
 
@@ -444,3 +450,142 @@ def relation_overrides(spark, sf_dir):
         F.lit(True).alias("enabled"),
     )
     return edits.with_relation_edits(linked, undone.unionByName(forced), made, "g1").drop("generation")
+
+
+def value_edits(customers: DataFrame, segment: str, balance: str, batch: str) -> DataFrame:
+    """Everybody in a segment gets a balance, as an edit of the record nobody has edited."""
+    return customers.where(F.col("c_mktsegment") == segment).select(
+        F.concat(F.lit(batch), "c_custkey").alias("edit_id"),
+        objects.object_id("Customer", F.col("c_custkey")).alias("logical_id"),
+        F.create_map(F.lit("c_acctbal"), F.lit(balance)).alias("values"),
+        F.lit(0).cast("bigint").alias("revision"),
+        F.concat(F.lit(f"{batch}-request-"), "c_custkey").alias("idempotency_key"),
+        F.lit(False).alias("revert"),
+        F.lit("ada").alias("actor"),
+        F.lit("2024-02-01 00:00:00").cast("timestamp").alias("submitted_at"),
+    )
+
+
+@register(
+    "stored_edits",
+    """
+SELECT 'record' AS outcome, CAST(c_custkey AS VARCHAR) AS key, CASE c_mktsegment WHEN 'BUILDING' THEN 5.5 WHEN 'FURNITURE' THEN 7.25 ELSE c_acctbal END AS balance,
+  CAST(CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN 1 ELSE 0 END AS BIGINT) AS revision, CAST(NULL AS VARCHAR) AS detail FROM customer
+UNION ALL SELECT 'record', 'new-' || CAST(s_suppkey AS VARCHAR), s_acctbal, 0, NULL FROM supplier WHERE s_acctbal < 0
+UNION ALL SELECT 'refused', CAST(c_custkey AS VARCHAR), NULL, NULL, 'Object was edited; refresh the preview' FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'audit', CAST(c_custkey AS VARCHAR), c_acctbal, NULL, 'ada' FROM customer WHERE c_mktsegment IN ('BUILDING', 'FURNITURE')
+UNION ALL SELECT 'link', CAST(c_custkey AS VARCHAR), NULL, NULL, 'escalated to' FROM customer JOIN nation ON n_nationkey = c_custkey WHERE c_acctbal > 0""",
+)
+def stored_edits(spark, sf_dir):
+    """Publish, edit in batches (one sent twice, one on an old revision), create objects and links,
+    and publish again: what the new generation's records, its links and the audit then say."""
+    tables, root = _tables(spark, sf_dir), scratch(spark)
+    graph_store, stored = Graph(spark, f"{root}/graph"), EditStore(spark, f"{root}/edits")
+    graph_store.publish(BUNDLE, tables, generation="g1")
+    records = graph_store.objects()
+    kinds = {"Customer": edits.value_kinds(tables["customer"])}
+    batches = [("BUILDING", "5.5", "a"), ("BUILDING", "5.5", "a"), ("FURNITURE", "7.25", "b"), ("BUILDING", "9", "c")]
+    refused = [stored.apply(records, value_edits(tables["customer"], *b), [CUSTOMER], kinds) for b in batches][-1]
+    suppliers = table(spark, sf_dir, "supplier").where("s_acctbal < 0")
+    key = F.concat(F.lit("new-"), "s_suppkey")
+    made = suppliers.select(
+        key.alias("edit_id"), F.lit("Customer").alias("type"), key.alias("key"),
+        F.create_map(F.lit("c_custkey"), key, F.lit("c_acctbal"), F.col("s_acctbal").cast("string")).alias("values"),
+        key.alias("idempotency_key"), F.lit("ada").alias("actor"), F.lit("2024-02-01").cast("timestamp").alias("submitted_at"),
+    )
+    stored.create(records, made.select(*[c.split()[0] for c in CREATED.split(", ")]), [CUSTOMER])
+    joined = tables["customer"].where("c_acctbal > 0").join(tables["nation"], F.col("c_custkey") == F.col("n_nationkey"))
+    links = joined.select(
+        F.concat(F.lit("l"), "c_custkey").alias("edit_id"), objects.object_id("Customer", F.col("c_custkey")).alias("from_logical_id"),
+        objects.object_id("Nation", F.col("n_nationkey")).alias("to_logical_id"), F.lit("escalated to").alias("name"),
+        F.lit(True).alias("enabled"), F.lit(0).cast("bigint").alias("revision"), F.concat(F.lit("link-"), "c_custkey").alias("idempotency_key"),
+        F.lit("ada").alias("actor"), F.lit("2024-02-01").cast("timestamp").alias("submitted_at"),
+    )
+    stored.link(records, links.select(*[c.split()[0] for c in LINKED.split(", ")]))
+    graph_store.publish(BUNDLE, tables, base="g1", generation="g2", stored=stored)
+
+    people = graph_store.records(stored).where("type = 'Customer'")
+    number = lambda c: F.element_at(c, "c_acctbal").cast("double").alias("balance")
+    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    named = people.select("logical_id", "key")
+    audit = stored.audit().join(named, "logical_id").select(
+        F.lit("audit").alias("outcome"), "key", number("before"), nothing("bigint", "revision"), F.col("actor").alias("detail")
+    )
+    late = refused.join(named, "logical_id").select(
+        F.lit("refused").alias("outcome"), "key", nothing("double", "balance"), nothing("bigint", "revision"), F.col("reason").alias("detail")
+    )
+    linked = graph_store.links(stored).where("name = 'escalated to'")
+    linked = linked.join(people.select(F.col("id").alias("from_id"), "key"), "from_id").select(
+        F.lit("link").alias("outcome"), "key", nothing("double", "balance"), nothing("bigint", "revision"), F.col("name").alias("detail")
+    )
+    shown = people.select(F.lit("record").alias("outcome"), "key", number("effective"), "revision", nothing("string", "detail"))
+    return reduce(DataFrame.unionByName, [shown, late, audit, linked])
+
+
+PAID = PipelineDef(
+    "pipeline_paid",
+    "Paid",
+    (
+        Node("in", "source", dataset="orders"),
+        Node("done", "filter", ("in",), {"condition": "o_orderstatus = 'F'"}),
+        Node("out", "aggregate", ("done",), {"groupBy": ["o_custkey"], "metrics": {"paid": "sum(o_totalprice)", "orders": "count(*)"}}),
+    ),
+    (
+        Check("a customer each", "SELECT count(*) = count(DISTINCT o_custkey) FROM output"),
+        Check("no order lost", "SELECT (SELECT sum(orders) FROM output) = (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')"),
+    ),
+)
+SEGMENTS = PipelineDef(
+    "pipeline_segments",
+    "Segments",
+    (
+        Node("paid", "source", dataset="pipeline_paid"),
+        Node("who", "source", dataset="customer"),
+        Node("both", "join", ("paid", "who"), {"on": "a.o_custkey = b.c_custkey", "select": "b.c_mktsegment AS segment, a.paid AS paid"}),
+    ),
+)
+NEVER = PipelineDef("pipeline_never", "Never", PAID.nodes, (Check("impossible", "SELECT min(paid) < 0 FROM output"),))
+BOARD = Dashboard(
+    "Sales",
+    (
+        Widget("Paid by segment", "metric", "SELECT s.segment, sum(s.paid) AS paid FROM Segments s GROUP BY 1", ("pipeline_segments",), x="s.segment"),
+        Widget("Never", "table", "SELECT * FROM Never", ("pipeline_never",)),
+    ),
+)
+
+
+@register(
+    "bundle_pipelines",
+    """
+SELECT c_mktsegment AS segment, sum(paid) AS paid, 'bar' AS shown, 'Paid, Segments' AS pipelines, 'Paid by segment' AS widgets
+FROM (SELECT o_custkey, sum(o_totalprice) AS paid FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
+)
+def bundle_pipelines(spark, sf_dir):
+    """A bundle with node graphs that read each other, one whose check fails, and a dashboard: what
+    the published widget shows, and which definitions were published."""
+    root = scratch(spark)
+    store, graph_store = Snapshots(spark, f"{root}/store"), Graph(spark, f"{root}/graph")
+    for name, df in _tables(spark, sf_dir).items():
+        store.commit(name, name, df, "v1")
+    bundle = Bundle("Sales", types=(CUSTOMER, ORDER, NATION), relationships=(BILLED,), pipelines=(SEGMENTS, NEVER, PAID), dashboards=(BOARD,))
+    proposal = propose(store, graph_store, bundle)
+    publish(store, graph_store, proposal)
+    rows, widget = show(store, graph_store, "Sales", "Paid by segment")
+    names = sorted(p.name for p in proposal.bundle.pipelines)
+    titles = [w.title for d in graph_store.dashboards() for w in d.widgets]
+    return rows.select(
+        "segment", "paid", F.lit(widget.type).alias("shown"), F.lit(", ".join(names)).alias("pipelines"), F.lit(", ".join(titles)).alias("widgets")
+    )
+
+
+@register(
+    "published_detail",
+    WORLD
+    + f"""SELECT 'record' AS part, id FROM o WHERE id = '{FOCUS}' UNION ALL SELECT DISTINCT 'related', neighbor FROM ends WHERE id = '{FOCUS}'""",
+)
+def published_detail(spark, sf_dir):
+    """One record of a published generation, read by both copies of the relations."""
+    store = Graph(spark, scratch(spark))
+    store.publish(BUNDLE, _tables(spark, sf_dir), generation="g1")
+    parts = graph.record_detail(store.objects(), store.relations(), audit_of(store.objects()), FOCUS, incoming=store.relations_to())
+    return reduce(DataFrame.unionByName, [parts[p].select(F.lit(p).alias("part"), "id") for p in ("record", "related")])

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoweave.operators import profile, snapshots
@@ -43,14 +45,16 @@ QUERIES["scan_parquet"] = lambda spark, d: files.scan(spark, f"{d}/lineitem.parq
 ORACLES["scan_parquet"] = "SELECT * FROM lineitem"
 
 
-@register("empty_schema", "SELECT * FROM orders WHERE o_orderkey IS NULL")
+@register("empty_schema", "SELECT * FROM orders")
 def empty_schema(spark, sf_dir):
-    """The given table's columns, declared, over a landing that holds no rows."""
-    path = f"{scratch(spark)}/empty.jsonl"
+    """A landing without rows reads as its declared columns, one with rows as what they hold."""
+    path = scratch(spark)
     orders = table(spark, sf_dir, "orders")
-    orders.where("o_orderkey IS NULL").write.json(path)
+    orders.where("o_orderkey IS NULL").write.json(f"{path}/empty.jsonl")
+    orders.write.json(f"{path}/orders.jsonl")
     columns = [{"name": f.name, "type": f.dataType.simpleString()} for f in orders.schema.fields]
-    return files.scan_or_empty(spark, path, "jsonl", columns)
+    empty, filled = (files.scan_or_empty(spark, f"{path}/{name}.jsonl", "jsonl", columns) for name in ("empty", "orders"))
+    return filled.unionByName(empty.select(*[F.col(f.name).cast(f.dataType) for f in filled.schema.fields]))
 
 
 @register("ingest_rows", "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier")
@@ -61,11 +65,20 @@ def ingest_rows(spark, sf_dir):
     return store.active("suppliers")
 
 
-@register("list_files")
+LISTED = ("region", "nation", "customer", "orders", "lineitem", "documents")
+
+
+@register(
+    "list_files",
+    " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, true AS filled, count(*) AS rows FROM {t}" for t in LISTED),
+)
 def list_files(spark, sf_dir):
-    return files.list_files(spark, sf_dir).select(
-        F.element_at(F.split("name", "/"), -1).alias("name"), "size"
+    """Files of the folder with the rows that each holds."""
+    listed = files.list_files(spark, sf_dir).select(
+        F.element_at(F.split("name", "/"), -1).alias("name"), (F.col("size") > 0).alias("filled")
     )
+    held = [table(spark, sf_dir, t).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("rows")) for t in LISTED]
+    return listed.join(reduce(DataFrame.unionByName, held), "name")
 
 
 ITEM = "struct<id: bigint, amount: double>"
@@ -256,10 +269,9 @@ def snapshot_commit(spark, sf_dir):
     store.commit("customers", "Customers", customers, "v1")
     store.commit("customers", "Customers", customers.where("c_acctbal > 0"), "v2")
     store.commit("customers", "Customers", customers, "v1")
-    rows = store.versions().where("version = 'v2'").select("dataset_id", "rows")
-    return store.registry().join(rows, "dataset_id").select(
-        "dataset_id", "active_version", F.size("versions").alias("versions"), "rows"
-    )
+    rows = F.max(F.when(F.col("version") == "v2", F.col("rows"))).alias("rows")
+    known = store.versions().groupBy("dataset_id").agg(F.count(F.lit(1)).cast("int").alias("versions"), rows)
+    return store.registry().join(known, "dataset_id").select("dataset_id", "active_version", "versions", "rows")
 
 
 @register(
