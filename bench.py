@@ -74,7 +74,7 @@ def ingest_profile(spark):
 
     def run():
         store = Snapshots(spark, scratch(spark))
-        store.commit("orders", "Orders", files.scan(spark, f"{root}/orders.jsonl", "jsonl"), "v1")
+        store.ingest("orders", "Orders", f"{root}/orders.jsonl", version="v1")
 
     return run
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -167,15 +167,34 @@ class Snapshots:
 
         A derived dataset has one version per ``generation``, named for it; definitions
         decide its schema, so no schema waits."""
+
+        def write(path: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        return self._commit(dataset_id, name, write, version, source_id, generation)
+
+    def ingest(
+        self, dataset_id: str, name: str, path: str, format: str | None = None, version: str | None = None, source_id: str | None = None
+    ) -> dict:
+        """Commit a file or folder as a snapshot. JSON lines are parsed once, as they are written."""
+        from ..sources import files
+
+        kind = (format or path.rstrip("/").rsplit(".", 1)[-1]).lower()
+        if kind not in ("jsonl", "ndjson"):
+            return self.commit(dataset_id, name, files.scan(self.spark, path, kind), version, source_id)
+        return self._commit(dataset_id, name, lambda target: files.land_json_lines(self.spark, path, target), version, source_id, None)
+
+    def _commit(
+        self, dataset_id: str, name: str, write: Callable[[str], DataFrame], version: str | None, source_id: str | None, generation: str | None
+    ) -> dict:
         old = self.state(dataset_id)
         version = generation or version
         if version and old and self.version_profile(dataset_id, version):
             return old
         version = version or str(uuid.uuid4())
         # A failed attempt may have left files that the log does not name.
-        df.write.mode("overwrite").parquet(self.path(dataset_id, version))
-        written = self.spark.read.schema(df.schema).parquet(self.path(dataset_id, version))
-        fresh = P.profile(written)
+        fresh = P.profile(write(self.path(dataset_id, version)))
         before = self.version_profile(dataset_id, old["active_version"]) if old else None
         now = dt.datetime.now(dt.timezone.utc).isoformat()
         about = {"dataset_id": dataset_id, "version": version, "created_at": now}

@@ -289,3 +289,43 @@ def test_database_reads_are_planned():
     with pytest.raises(ValueError, match="bounds"):
         database.read_options("orders", partition_column="id", partitions=8)
     assert set(database.CATALOG["mysql"]) == set(database.CATALOG["postgres"]) == {"tables", "columns", "foreign_keys"}
+
+
+CLEAN = [
+    {"id": i, "amount": i / 4 + (0.125 if i % 7 == 0 else 0), "ok": i % 2 == 0, "day": f"2024-01-{1 + i % 28:02}", "at": f"2024-01-01T00:00:{i % 60:02}",
+     "zoned": f"2024-01-01T00:00:{i % 60:02}Z", "note": f"n {i}" if i % 3 else None, "nested": {"a": i, "b": ["x", "y"][: i % 3]}, "odd name": "x", "never": None}
+    for i in range(300)
+]
+CHANGES = {
+    "clean": lambda rows: rows,
+    "fraction later": lambda rows: [{**r, "id": r["id"] + 0.5} if i == 250 else r for i, r in enumerate(rows)],
+    "text later": lambda rows: [{**r, "ok": "maybe"} if i == 250 else r for i, r in enumerate(rows)],
+    "no day later": lambda rows: [{**r, "day": "soon"} if i == 250 else r for i, r in enumerate(rows)],
+    "new column later": lambda rows: [{**r, "extra": 1} if i == 250 else r for i, r in enumerate(rows)],
+    "value later": lambda rows: [{**r, "never": "2024-01-01"} if i == 250 else r for i, r in enumerate(rows)],
+    "missing later": lambda rows: [{k: v for k, v in r.items() if k != "amount"} if i > 200 else r for i, r in enumerate(rows)],
+    "huge number": lambda rows: [{**r, "id": 10**20} if i == 250 else r for i, r in enumerate(rows)],
+    "mixed from the start": lambda rows: [{**r, "id": "a" if i % 2 else 1} for i, r in enumerate(rows)],
+    "quoted name": lambda rows: [{**r, "it's": 1} for r in rows],
+}
+
+
+@pytest.mark.parametrize("change", CHANGES)
+def test_lines_parsed_once_are_what_inference_reads(spark, store, tmp_path, change):
+    made = CHANGES[change](CLEAN)
+    path = str(tmp_path / "in.jsonl")
+    (tmp_path / "in.jsonl").write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in made) + "\n\n")
+    wanted = files.scan(spark, path)
+    store.ingest("d", "D", path, version="v1")
+    got = store.active("d")
+    assert [(f.name, f.dataType) for f in got.schema.fields] == [(f.name, f.dataType) for f in wanted.schema.fields]
+    assert rows(got.select(F.to_json(F.struct("*")))) == rows(wanted.select(F.to_json(F.struct("*"))))
+    assert store.version_profile("d", "v1")["rows"] == 300
+
+
+def test_lines_that_are_no_json(spark, store, tmp_path):
+    (tmp_path / "in.jsonl").write_text('{"a": 1}\nnot json\n{"a": 2}\n')
+    store.ingest("d", "D", str(tmp_path / "in.jsonl"), version="v1")
+    assert sorted(store.active("d").columns) == sorted(files.scan(spark, str(tmp_path / "in.jsonl")).columns)
+    store.ingest("p", "P", f"{store.root}/data/d/v1", "parquet", version="v1")
+    assert store.active("p").count() == store.active("d").count()

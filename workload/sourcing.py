@@ -65,6 +65,15 @@ def ingest_rows(spark, sf_dir):
     return store.active("suppliers")
 
 
+@register("ingest_json", "SELECT *, (SELECT count(*) FROM orders) AS profiled FROM orders")
+def ingest_json(spark, sf_dir):
+    """JSON lines into a profiled snapshot."""
+    store = Snapshots(spark, scratch(spark))
+    table(spark, sf_dir, "orders").write.json(f"{store.root}/orders.jsonl")
+    store.ingest("orders", "Orders", f"{store.root}/orders.jsonl", version="v1")
+    return store.active("orders").withColumn("profiled", F.lit(store.version_profile("orders", "v1")["rows"]))
+
+
 LISTED = ("region", "nation", "customer", "orders", "lineitem", "documents")
 
 
