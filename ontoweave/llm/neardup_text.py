@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import setsketch
 from .arrow import Forest, fixed_rows, sorted_groups
-from .common import components, small_batches, written
+from .common import components, releasing, small_batches, written
 from .shingles import WordHashes, shingles
 
 LEAST = 75  # per cent
@@ -70,7 +70,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 yield rows(ids, sets)
 
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return plain.mapInArrow(run, "doc_id bigint, n_shingles bigint, fingerprint binary, registers binary")
+    return plain.mapInArrow(releasing(run), "doc_id bigint, n_shingles bigint, fingerprint binary, registers binary")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def _likely(pairs: DataFrame, facts: DataFrame, least: float) -> DataFrame:
                 keep = pa.array(setsketch.likely(left, right, n_left, n_right, least))
                 yield pa.RecordBatch.from_arrays([batch.column(s).filter(keep) for s in "xy"], names=["x", "y"])
 
-    return pairs.select("x", "y", "n_x", "n_y", "r_x", "r_y").mapInArrow(run, "x bigint, y bigint")
+    return pairs.select("x", "y", "n_x", "n_y", "r_x", "r_y").mapInArrow(releasing(run), "x bigint, y bigint")
 
 
 def _across(members: DataFrame, least: float) -> DataFrame:
@@ -149,7 +149,7 @@ def _across(members: DataFrame, least: float) -> DataFrame:
                 columns = [group.column(c).filter(pa.array(marked)).combine_chunks() for c in ("key", "i", "j", "class", "block")]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "i", "j", "class", "block"])
 
-    return tiles.mapInArrow(run, "key bigint, i int, j int, class bigint, block int")
+    return tiles.mapInArrow(releasing(run), "key bigint, i int, j int, class bigint, block int")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
             if prints:
                 yield pa.RecordBatch.from_arrays([pa.array(prints), pa.array(sets, schema.field(1).type)], schema=schema)
 
-    built = texts.select("text").mapInArrow(run, "fingerprint binary, shingles array<bigint>")
+    built = texts.select("text").mapInArrow(releasing(run), "fingerprint binary, shingles array<bigint>")
     built = built.groupBy("fingerprint").agg(F.first("shingles").alias("shingles"))
     return built.join(wanted, "fingerprint").select("class", "shingles")
 
@@ -233,7 +233,7 @@ def _linked(marks: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
                 u, v = np.array(forest.edges, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(number[u]), pa.array(number[v])], names=["u", "v"])
 
-    return tiles.select("key", "i", "j", "block", "class", "shingles").mapInArrow(run, "u bigint, v bigint")
+    return tiles.select("key", "i", "j", "block", "class", "shingles").mapInArrow(releasing(run), "u bigint, v bigint")
 
 
 def link_documents(docs: DataFrame, per_cent: int = LEAST) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_folder, small_batches
+from .common import fresh_folder, releasing, small_batches
 from .pretokens import splitter
 
 BUCKET_BYTES = 16 << 20
@@ -153,7 +153,7 @@ def split(docs: DataFrame, path: str, layout: Layout, items: Callable[[np.ndarra
         yield from of_words(block, known)
 
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return plain.mapInArrow(run, SPLIT)
+    return plain.mapInArrow(releasing(run), SPLIT)
 
 
 def encoded_words(words: DataFrame, path: str, ids: bool) -> DataFrame:
@@ -179,7 +179,7 @@ def encoded_words(words: DataFrame, path: str, ids: bool) -> DataFrame:
                     columns.append([pack(np.fromiter((n for some in found for n in some), np.uint32, int(lengths.sum())))])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return words.mapInArrow(run, "block bigint, numbers binary, lengths binary" + ", ids binary" * ids)
+    return words.mapInArrow(releasing(run), "block bigint, numbers binary, lengths binary" + ", ids binary" * ids)
 
 
 class BlockTable:
