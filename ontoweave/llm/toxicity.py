@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import give_back, releasing, small_batches, written
 
 FOLDS = 5
 SPACE = 1 << 22
@@ -152,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, schema.field(3).type)], schema=schema)
 
     spec = "positive boolean, unlabelled boolean, bag int, features array<int>"
-    rows = written(sample.repartition(F.xxhash64("text")).mapInArrow(featurise, spec), "toxicity")
+    rows = written(sample.repartition(F.xxhash64("text")).mapInArrow(releasing(featurise), spec), "toxicity")
     got = rows.agg(F.sum(F.col("positive").cast("int")), F.sum(F.col("unlabelled").cast("int"))).first()
     n_p, n_u = (got[0] or 0), (got[1] or 0)
     if not n_p or not n_u:
@@ -204,19 +205,23 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.arrow_udf("double")
-    def scored(texts: pa.Array) -> pa.Array:
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weight = shared.value
+        # A word is looked at once in all batches of a partition.
         memo = Known(lambda word: [f for f in word_features(word) if f in weight] or None, MANY)
-        out = np.empty(len(texts))
-        for i, text in enumerate(texts):
-            found: set[int] = set()
-            for word in distinct_words(text.as_py()):
-                hit = memo[word]
-                if hit:
-                    found.update(hit)
-            total = bias + sum(weight[f] for f in sorted(found))
-            out[i] = 0.0 if total == -math.inf else 1 / (1 + math.exp(-max(-700.0, min(700.0, total))))
-        return pa.array(out)
+        for texts in batches:
+            out = np.empty(len(texts))
+            for i, text in enumerate(texts):
+                found: set[int] = set()
+                for word in distinct_words(text.as_py()):
+                    hit = memo[word]
+                    if hit:
+                        found.update(hit)
+                total = bias + sum(weight[f] for f in sorted(found))
+                out[i] = 0.0 if total == -math.inf else 1 / (1 + math.exp(-max(-700.0, min(700.0, total))))
+            yield pa.array(out)
+        memo.clear()
+        give_back()
 
     return docs.withColumn(name, scored(F.col("text").cast("string")))
 
