@@ -19,7 +19,7 @@ from ontoweave.llm import secrets
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the given tables are not here")
-NAMES = "op1_warc op2_mixing op3_sharding op4_token_counts op5_nearest op6_secrets op7_minhash_neardup op8_embedding_neardup op9_toxicity op10_bpe pipeline"
+NAMES = "op1_warc op2_mixing op3_sharding op4_token_counts op5_nearest op6_secrets op7_minhash_neardup op8_embedding_neardup op9_toxicity op10_bpe op11_hard_negatives op12_quality op13_spelling pipeline"
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +34,7 @@ def run(spark, name):
 def test_all_are_registered():
     assert set(NAMES.split()) <= set(entry.queries())
     assert {"op1_warc", "op2_mixing", "op5_nearest", "op7_minhash_neardup", "op8_embedding_neardup"} <= set(entry.oracle_sql())
+    assert {"op11_hard_negatives", "op12_quality", "op13_spelling"} <= set(entry.oracle_sql())
 
 
 def test_sharding(spark, texts):
