@@ -177,7 +177,7 @@ class Snapshots:
     def ingest(
         self, dataset_id: str, name: str, path: str, format: str | None = None, version: str | None = None, source_id: str | None = None
     ) -> dict:
-        """Commit a file or folder as a snapshot. JSON lines are parsed once, as they are written."""
+        """Commit a file or folder as a snapshot. JSON lines are parsed once for their types and once as they are written."""
         from ..sources import files
 
         kind = (format or path.rstrip("/").rsplit(".", 1)[-1]).lower()

@@ -77,86 +77,66 @@ TIMES = {
 FIRST_ROWS = 100
 
 
+def _time_tests(df: DataFrame) -> list[tuple[str, str]]:
+    """Text columns, and the kinds of times that each may hold."""
+    broken = df.sparkSession.conf.get("spark.sql.columnNameOfCorruptRecord", "_corrupt_record")
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != broken]
+    return [(name, kind) for name in texts for kind in TIMES]
+
+
+def _held(tests: Sequence[tuple[str, str]]) -> list[Column]:
+    """Whether every value of a column is a time of a kind, test by test; null without values."""
+    return [
+        F.bool_and(F.when(field(name).isNotNull(), field(name).rlike(TIMES[kind]) & field(name).try_cast(kind).isNotNull())).alias(str(n))
+        for n, (name, kind) in enumerate(tests)
+    ]
+
+
 def with_times(df: DataFrame) -> DataFrame:
     """Text columns whose every value is a date or time, as one; JSON has no such types.
 
     All rows decide, in one aggregate. What the first rows already rule out is not asked of
     the others, which leaves the columns that do hold times, each with its own rule.
     """
-    broken = df.sparkSession.conf.get("spark.sql.columnNameOfCorruptRecord", "_corrupt_record")
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != broken]
-    open_tests = [(name, kind) for name in texts for kind in TIMES]
+    open_tests = _time_tests(df)
     for rows in (df.limit(FIRST_ROWS), df):
         if not open_tests:
             return df
-        holds = [
-            F.bool_and(
-                F.when(field(name).isNotNull(), field(name).rlike(TIMES[kind]) & field(name).try_cast(kind).isNotNull())
-            ).alias(str(n))
-            for n, (name, kind) in enumerate(open_tests)
-        ]
-        found = rows.agg(*holds).first()
+        found = rows.agg(*_held(open_tests)).first()
         # A column without values so far is still open.
         passed = (True,) if rows is df else (True, None)
         open_tests = [test for n, test in enumerate(open_tests) if found[str(n)] in passed]
     return df.withColumns({name: field(name).cast(kind) for name, kind in open_tests}) if open_tests else df
 
 
-# JSON lines, parsed once.
-
-
-def _types_of(variants: str | None) -> T.StructType | None:
-    """The column types of objects, from the merged schema of their variants, as inference reads
-    them: fractions are doubles, what has no value is text. None where kinds are mixed or a whole
-    number is beyond 64 bits, which inference settles in its own way."""
-    if not variants or not variants.startswith("OBJECT<") or "VARIANT" in variants or re.search(r"DECIMAL\(\d+, ?0\)", variants):
-        return None
-    spoken = re.sub(r"DECIMAL\(\d+, ?\d+\)", "DOUBLE", variants.replace("OBJECT<", "STRUCT<"))
-    found = T._parse_datatype_string(re.sub(r"\bVOID\b", "STRING", spoken))
-    return found if found.fields and not any("'" in name for name in found.names) else None
-
-
 def land_json_lines(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """JSON lines as Parquet of the types that :func:`scan` infers, in one parse if it can be.
+    """JSON lines as Parquet of the types that :func:`scan` gives them.
 
-    The first rows suggest the types. One pass then parses each line to a variant, writes its
-    values as those types, and merges the kinds of all values on the way. If they are what was
-    suggested, the work is done; otherwise the lines are scanned with full inference and
-    written again, so the result is the same in either case.
+    Inference reads the lines once. They are parsed once more, as they are written: the first rows
+    suggest which texts are times, and the same pass finds out whether all rows agree. Only if
+    they do not are the lines written again.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    first = lines.limit(FIRST_ROWS).select("value", F.try_parse_json("value").alias("v"))
-    seen = first.agg(F.schema_of_variant_agg("v").alias("kinds"), F.count_if(F.col("v").isNull()).alias("bad")).first()
-    kinds_seen = _types_of(seen["kinds"]) if not seen["bad"] else None
-    if kinds_seen is None:
-        scan(spark, path, "jsonl").write.mode("overwrite").parquet(target)
-        return spark.read.parquet(target)
-    suggested = with_times(first.select(_shredded(kinds_seen)).select("o.*")).schema
-    times = {f.name: f.dataType.simpleString() for f, before in zip(suggested.fields, kinds_seen.fields) if f.dataType != before.dataType}
-    parsed = lines.select(F.try_parse_json("value").alias("v")).select("v", _shredded(kinds_seen))
-    value = lambda name: F.col("o")[name]
-    holds = [
-        F.bool_and(F.when(value(name).isNotNull(), value(name).rlike(TIMES[kind]) & value(name).try_cast(kind).isNotNull())).alias(f"t{i}")
-        for i, (name, kind) in enumerate(times.items())
-    ]
-    merged = Observation()
-    watched = parsed.observe(merged, F.schema_of_variant_agg("v").alias("kinds"), F.count_if(F.col("v").isNull()).alias("bad"), *holds)
-    columns = [value(f.name).try_cast(times[f.name]).alias(f.name) if f.name in times else value(f.name).alias(f.name) for f in suggested.fields]
-    watched.select(*columns).write.mode("overwrite").parquet(target)
-    found = merged.get
-    # Fractions of other lengths are doubles all the same; a column without values so far is open.
-    same = found["kinds"] == seen["kinds"] or ("VOID" not in seen["kinds"] and _types_of(found["kinds"]) == kinds_seen)
-    if found["bad"] or not same or any(found[f"t{i}"] is False for i in range(len(times))):
-        scan(spark, path, "jsonl").write.mode("overwrite").parquet(target)
+    df = spark.read.json(path)
+    tests = _time_tests(df)
+    first = df.limit(FIRST_ROWS).agg(*_held(tests)).first() if tests else {}
+    open_tests = [test for n, test in enumerate(tests) if first[str(n)] is not False]
+    suggested = {name: kind for n, (name, kind) in enumerate(tests) if first[str(n)]}
+
+    def write(rows: DataFrame, times: Mapping[str, str]) -> None:
+        rows.withColumns({n: field(n).try_cast(kind) for n, kind in times.items()}).write.mode("overwrite").parquet(target)
+
+    if open_tests:
+        watched = Observation()
+        write(df.observe(watched, *_held(open_tests)), suggested)
+        found = watched.get
+        times = {name: kind for n, (name, kind) in enumerate(open_tests) if found[str(n)]}
+        if times != suggested:
+            write(df, times)
+    else:
+        write(df, {})
     return spark.read.parquet(target)
 
 
-def _shredded(schema: T.StructType) -> Column:
-    """A variant's values as columns ``o.*`` of the given types."""
-    parts = [F.try_variant_get("v", f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in schema.fields]
-    return F.struct(*parts).alias("o")
-
-
 def declared(columns: Sequence[Mapping[str, str]]) -> T.StructType:
     return T.StructType(
         [

@@ -311,7 +311,7 @@ CHANGES = {
 
 
 @pytest.mark.parametrize("change", CHANGES)
-def test_lines_parsed_once_are_what_inference_reads(spark, store, tmp_path, change):
+def test_lines_parsed_as_they_are_written_are_what_a_scan_reads(spark, store, tmp_path, change):
     made = CHANGES[change](CLEAN)
     path = str(tmp_path / "in.jsonl")
     (tmp_path / "in.jsonl").write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in made) + "\n\n")
