@@ -234,12 +234,14 @@ def near_words(words: DataFrame, symbols: int | None = None) -> DataFrame:
     vocabulary = written(words.select("word", "n").withColumn("id", F.monotonically_increasing_id()), "vocabulary")
     symbols, table = alphabet(vocabulary, symbols)
     known = keyed(vocabulary, table).select("key", F.col("id").alias("other_id"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    # A word becomes a hundred variants, so a few files of words are dealt to many tasks.
+    spread = vocabulary.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     long = F.char_length("word") > CARRIED
     one_edit = F.levenshtein("word", "other", 1) == 1
-    short_pairs = variants(vocabulary.where(~long), table, symbols, "word").alias("v").join(
+    short_pairs = variants(spread.where(~long), table, symbols, "word").alias("v").join(
         known.alias("k"), (F.col("v.key") == F.col("k.key")) & one_edit
     )
-    numbered = variants(vocabulary.where(long), table, symbols, "id").alias("v")
+    numbered = variants(spread.where(long), table, symbols, "id").alias("v")
     long_pairs = numbered.join(known.alias("k"), (F.col("v.key") == F.col("k.key")) & (F.col("id") != F.col("other_id")))
     long_pairs = long_pairs.select("id", "other", "other_n").join(vocabulary.where(long).select("id", "word"), "id").where(one_edit)
     columns = ["word", "other", "other_n"]
