@@ -80,30 +80,39 @@ def key_overlap(
     """
     spark = next(iter(tables.values())).sparkSession
     index = value_index(tables, columns) if index is None else index
+    # One exchange and one sort, by folded text, bring the spellings of a value and the columns that
+    # hold each together. Rows are counted per column and value already, so no value brings more of
+    # them than key columns times its spellings; its digest is what the sort mostly compares.
     folded = F.lower(F.trim("v"))
-    variants = index.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit(EXACT).alias("kind"), "c", "v", "n"),
-                F.struct(F.lit(FOLDED).alias("kind"), "c", folded.alias("v"), "n"),
-            )
-        )
+    spelled = (
+        index.repartition(folded)
+        .select("c", "v", "n", folded.alias("f"))
+        .withColumn("h", F.xxhash64("f"))
+        .sortWithinPartitions("h", "f", "v", "c")
     )
-    # One exchange by value serves both groupings below; rows are counted per column and
-    # value already, so no value brings more rows than key columns times its spellings.
-    per_value = (
-        variants.repartition("kind", "v")
-        .groupBy("kind", "v", "c")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("kind", "v")
-        .agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("held"))
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    text, spellings = Window.partitionBy("h", "f", "v").orderBy("c"), Window.partitionBy("h", "f").orderBy("v", "c")
+    earlier = F.collect_set("c").over(spellings.rowsBetween(Window.unboundedPreceding, -1))
+    held = spelled.select(
+        "c",
+        "n",
+        F.collect_list("c").over(text.rowsBetween(*whole)).alias("exact"),
+        F.array_sort(F.collect_set("c").over(spellings.rowsBetween(*whole))).alias("folded"),
+        # A column that spells a value in several ways holds it once.
+        (~F.array_contains(earlier, F.col("c"))).cast("bigint").alias("once"),
     )
-    held_by = F.transform("held", lambda x: x["c"])
     # Linear again: one row per value and column, combined map-side per list of columns.
     per_list = (
-        per_value.select("kind", held_by.alias("list"), F.inline("held"))
-        .groupBy("kind", "list", "c")
-        .agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows"))
+        held.groupBy("exact", "folded", "c")
+        .agg(F.count(F.lit(1)).alias("written"), F.sum("once").alias("values"), F.sum("n").alias("rows"))
+        .select(
+            F.inline(
+                F.array(
+                    F.struct(F.lit(EXACT).alias("kind"), F.col("exact").alias("list"), "c", F.col("written").alias("values"), "rows"),
+                    F.struct(F.lit(FOLDED).alias("kind"), F.col("folded").alias("list"), "c", "values", "rows"),
+                )
+            )
+        )
     )
     about, stated, comparable = _pairs(spark, columns, set(declared))
     both = per_list.select("kind", F.col("c").alias("a"), F.explode("list").alias("b"), "values", "rows")

@@ -116,3 +116,14 @@ def test_overlap_joins_no_values(large):
     text = plan(V.key_overlap({d.id: d.df for d in found}, columns))
     assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
     assert text.count("FileScan") == 2, "each dataset is read once"
+
+
+def test_overlap_deals_out_each_value_once_and_builds_no_table_of_values(large):
+    from ontoweave.operators import keys
+    from workload.connecting import datasets
+
+    found = datasets(large, SF_DIR, ["customers", "contacts", "orders"])
+    columns = keys.key_columns(keys.column_facts(found)).orderBy("i").collect()
+    text = plan(V.key_overlap({d.id: d.df for d in found}, columns))
+    assert "ObjectHashAggregate" not in text, "a sort brings values together, and can spill"
+    assert text.count("Exchange hashpartitioning(lower(trim(v") == 1, "as written and folded at once"

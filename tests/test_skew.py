@@ -82,6 +82,20 @@ def test_overlap(frame, skewed):
     assert set(got) <= {(0, 1), (1, 0), (2, 3), (3, 2)}
 
 
+def test_overlap_counts_a_value_once_however_a_column_spells_it(frame):
+    left = [("Ab",), ("aB",), (" ab",), ("AB",), ("c",)]
+    right = [("ab",), ("AB",), ("AB ",), ("C",), ("c",), ("c",)]
+    tables = {"x": frame(left, "k string"), "y": frame(right, "k string")}
+    meta = [
+        {"i": 7, "d": 0, "dataset": "x", "column": "k", "field": None, "integer": False, "stem": "k"},
+        {"i": 3, "d": 1, "dataset": "y", "column": "k", "field": None, "integer": False, "stem": "k"},
+    ]
+    got = {(r["a"], r["b"]): r.asDict() for r in V.key_overlap(tables, meta).collect()}
+    names = ("m_exact", "m_ci", "a_rows_exact", "a_rows_ci", "a_distinct", "a_distinct_ci", "a_rows")
+    assert [got[7, 3][n] for n in names] == [2, 2, 2, 5, 5, 2, 5]
+    assert [got[3, 7][n] for n in names] == [2, 2, 3, 6, 5, 2, 6]
+
+
 def test_coverage_and_uniqueness(frame, skewed):
     targets = [(i, k) for i, k in enumerate(["hot"] * 50 + ["a", None, "zzz"])]
     got = R.relationship_coverage(
