@@ -1,9 +1,10 @@
 """Profiles: exact counts per column, duplicates, fingerprint, samples, schema cards.
 
-One scan melts every row into ``(column, value)`` cells plus one cell that holds the row's
-hash. Counting equal cells first (combined map-side) and then cells per column gives the
-null count, the exact distinct count, duplicate rows and the fingerprint from one shuffle
-of cells, however many columns there are.
+One scan melts every row into ``(column, value)`` cells. Counting equal cells first (combined
+map-side) and then cells per column gives the null count and the exact distinct count from one
+shuffle of cells, however many columns there are. Duplicate rows and the fingerprint come from the
+rows' hashes, which a second scan counts: they hardly ever combine, and in one hash table with the
+cells they push it to disk.
 """
 
 from __future__ import annotations
@@ -28,26 +29,35 @@ FACTS = "position int, name string, type string, sensitive boolean"
 
 
 def _measures(counts: DataFrame) -> DataFrame:
-    """One row per column (and one for whole rows) from counted cells."""
-    is_row = F.col("position") == ROW
-    times = F.col("number").cast("decimal(38,0)") * F.col("n").cast("decimal(19,0)")
+    """One row per column from counted cells."""
     return counts.groupBy("position").agg(
         F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(is_null(), F.col("n"))), F.lit(0)).alias("nulls"),
         F.count(F.when(~is_null(), 1)).alias("distinct"),
+    )
+
+
+def _row_measures(df: DataFrame) -> DataFrame:
+    """One row about whole rows, from their counted hashes; none for an empty table."""
+    a, b = row_hash(df)
+    times = F.col("a").cast("decimal(38,0)") * F.col("n").cast("decimal(19,0)")
+    counts = df.groupBy(a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(F.lit(ROW).alias("position")).agg(
+        F.sum("n").alias("rows"),
+        F.count(F.lit(1)).alias("distinct"),
         # Equal rows cancel in pairs, as they do one by one.
-        F.bit_xor(F.when(is_row, F.when(F.col("n") % 2 == 1, F.col("number")).otherwise(0))).alias("xor_hash"),
-        F.sum(F.when(is_row, times)).alias("sum_hash"),
+        F.bit_xor(F.when(F.col("n") % 2 == 1, F.col("a")).otherwise(0)).alias("xor_hash"),
+        F.sum(times).alias("sum_hash"),
     )
 
 
-def _cells(df: DataFrame, with_rows: bool, only: list[str] | None = None) -> DataFrame:
+def _cells(df: DataFrame, only: list[str] | None = None) -> DataFrame:
     columns = {
         position: typed(field(f.name), f.dataType)
         for position, f in enumerate(df.schema.fields)
         if only is None or f.name in only
     }
-    return counted(cells(df, columns, {ROW: row_hash(df)} if with_rows else None))
+    return counted(cells(df, columns))
 
 
 def key_counts(tables: Mapping[str, tuple[DataFrame, list[str]]]) -> dict[tuple[str, str], dict]:
@@ -96,7 +106,7 @@ def profile_columns(df: DataFrame, only: list[str] | None = None) -> DataFrame:
 
     Both sides have one row per column, so the join is a broadcast of a few rows.
     """
-    counts = F.broadcast(_measures(_cells(df, False, only)))
+    counts = F.broadcast(_measures(_cells(df, only)))
     facts = _facts(df) if only is None else _facts(df).where(F.col("name").isin(only))
     return facts.join(counts, "position", "left").select(
         "position",
@@ -159,14 +169,15 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 
 def profile_cells(df: DataFrame) -> DataFrame:
-    """What a whole profile is made of: one row of counts per column and one for the rows."""
-    return _measures(_cells(df, True))
+    """The counts of a whole profile, one row per column."""
+    return _measures(_cells(df))
 
 
 def profile(df: DataFrame) -> dict:
     """The whole dataset profile: counts, duplicates, fingerprint, columns. One job, from
     which one row per column comes back."""
-    found = {r["position"]: r for r in profile_cells(df).collect()}
+    measured = profile_cells(df).unionByName(_row_measures(df), allowMissingColumns=True)
+    found = {r["position"]: r for r in measured.collect()}
     whole = found.get(ROW)
     rows = whole["rows"] if whole else 0
     columns = []

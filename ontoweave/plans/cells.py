@@ -35,22 +35,17 @@ def typed(value: Column, kind: T.DataType, shorten: bool = True) -> tuple[str, C
     return TEXT, compact(text) if shorten and long_texts else text
 
 
-FAMILIES = {LONG: "bigint", "pair": "bigint", DOUBLE: "double", TEXT: "string"}
+FAMILIES = {LONG: "bigint", DOUBLE: "double", TEXT: "string"}
 
 
-def cells(
-    df: DataFrame,
-    columns: Mapping[int, tuple[str, Column]],
-    pairs: Mapping[int, tuple[Column, Column]] | None = None,
-) -> DataFrame:
-    """``(position, number, pair, double, text)``: one row per row and column.
+def cells(df: DataFrame, columns: Mapping[int, tuple[str, Column]]) -> DataFrame:
+    """``(position, number, double, text)``: one row per row and column.
 
-    ``columns`` are :func:`typed` values by number; ``pairs`` are two-part numbers, such as
-    a row's two hashes. A null value is a cell with nothing in it. Families that no column
-    uses are left out of the cells and added back as constants, to keep the cells narrow.
+    ``columns`` are :func:`typed` values by number. A null value is a cell with nothing in it.
+    Families that no column uses are left out of the cells and added back as constants, to keep
+    the cells narrow.
     """
     values = {position: {family: value} for position, (family, value) in columns.items()}
-    values |= {position: {LONG: a, "pair": b} for position, (a, b) in (pairs or {}).items()}
     used = [f for f in FAMILIES if any(f in v for v in values.values())]
     prepared = [F.lit(None).cast(FAMILIES[f]).alias(f"no_{f}") for f in used]
     slots = []
@@ -70,7 +65,7 @@ def cells(
 
 def counted(cells: DataFrame) -> DataFrame:
     """How often each column holds each value, ``n``. Equal cells combine map-side."""
-    per_cell = cells.groupBy("position", "number", "pair", "double", "text")
+    per_cell = cells.groupBy("position", "number", "double", "text")
     return per_cell.agg(F.count(F.lit(1)).alias("n"))
 
 

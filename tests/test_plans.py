@@ -127,3 +127,9 @@ def test_overlap_deals_out_each_value_once_and_builds_no_table_of_values(large):
     text = plan(V.key_overlap({d.id: d.df for d in found}, columns))
     assert "ObjectHashAggregate" not in text, "a sort brings values together, and can spill"
     assert text.count("Exchange hashpartitioning(lower(trim(v") == 1, "as written and folded at once"
+
+
+def test_row_hashes_share_no_hash_table_with_cells(spark):
+    df = table(spark, SF_DIR, "lineitem")
+    assert "xxhash64" not in plan(P.profile_cells(df))
+    assert P.profile(df)["duplicate_rows"] == df.count() - df.distinct().count()
