@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import digest, logical_id
+from ..functions.jobs import together
 from ..functions.local import local_frame
 from ..functions.text import BLANKS, field, plain
 from .dashboards import Dashboard, dashboard_of
@@ -230,8 +231,6 @@ class Graph:
         )
         if manual is not None:
             made = edits.with_manual_objects(made, manual, list(by_name), generation)
-        self._write("objects", made, generation, ["type", "id"])
-        written = self.objects(generation)
         if bundle.relationships:
             linked = reduce(
                 DataFrame.unionByName,
@@ -249,10 +248,20 @@ class Graph:
             )
         else:
             linked = local_frame(self.spark, [], RELATION)
-        if relation_edits is not None:
-            linked = edits.with_relation_edits(linked, relation_edits, written, generation)
-        self._write("relations", linked, generation, ["from_id", "to_id"])
-        self._write("relations_to", self.relations(generation), generation, ["to_id", "from_id"])
+
+        def write_objects() -> None:
+            self._write("objects", made, generation, ["type", "id"])
+
+        def write_relations(linked: DataFrame) -> None:
+            self._write("relations", linked, generation, ["from_id", "to_id"])
+            self._write("relations_to", self.relations(generation), generation, ["to_id", "from_id"])
+
+        if relation_edits is None:
+            together([write_objects, lambda: write_relations(linked)])
+        else:
+            # Edited relations are checked against the objects as written.
+            write_objects()
+            write_relations(edits.with_relation_edits(linked, relation_edits, self.objects(generation), generation))
         row = {
             "seq": (current["seq"] if current else 0) + 1,
             "generation": generation,

@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 
+from ..functions.jobs import together
 from ..plans.runs import PipelineDef, run_checks
 from . import dashboards as D
 from . import entities as E
@@ -124,6 +126,5 @@ def show(store: Snapshots, graph: Graph, dashboard: str, title: str) -> tuple[Da
 
 
 def store_all(store: Snapshots, datasets: Sequence) -> None:
-    """Commit datasets (as :class:`keys.Dataset`) as snapshots."""
-    for d in datasets:
-        store.commit(d.id, d.name, d.df, source_id=d.system or None)
+    """Commit datasets (as :class:`keys.Dataset`) as snapshots, several of them at once."""
+    together([partial(store.commit, d.id, d.name, d.df, source_id=d.system or None) for d in datasets])

@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jobs import together
 from ..functions.local import local_frame
 from ..functions.text import field
 from ..plans.runs import PipelineDef, run_checks
@@ -141,8 +142,10 @@ def validate_bundle(tables: Mapping[str, DataFrame], columns: E.Columns, bundle:
     for r in sound_links:
         wanted.setdefault(types[r.from_type].dataset, {})[r.from_column] = None
         wanted.setdefault(types[r.to_type].dataset, {})[r.to_column] = None
-    counts = key_counts({i: (built[i], list(names)) for i, names in wanted.items()}) if wanted else {}
-    covered = _coverages(sound_links, types, built)
+    columns_wanted = {i: (built[i], list(names)) for i, names in wanted.items()}
+    counts, covered = together(
+        [lambda: key_counts(columns_wanted) if wanted else {}, lambda: _coverages(sound_links, types, built)]
+    )
 
     results = [_named_once(bundle)]
     for dataset, _, _ in bundle.catalog:

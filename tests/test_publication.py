@@ -457,3 +457,34 @@ def test_bundles_build_pipelines_and_dashboards(spark, store, tables, tmp_path):
     with pytest.raises(ValueError, match="circle"):
         loop = PipelineDef("pipeline_spent", "Loop", (Node("in", "source", dataset="pipeline_regions"),))
         V.validate_bundle(tables, {}, Bundle("", pipelines=(regions, loop)))
+
+
+def test_datasets_are_stored_side_by_side_and_stated_one_after_another(spark, tmp_path, monkeypatch):
+    from threading import Barrier
+
+    from ontoweave.operators import profile
+    from ontoweave.operators.keys import Dataset
+    from ontoweave.operators.publish import store_all
+    from ontoweave.operators.snapshots import Snapshots
+
+    met, plain = Barrier(3, timeout=60), profile.profile
+
+    def waiting(df):
+        met.wait()
+        return plain(df)
+
+    monkeypatch.setattr(profile, "profile", waiting)
+    store = Snapshots(spark, str(tmp_path / "store"))
+    store_all(store, [Dataset(f"d{i}", f"d{i}", spark.range(i + 1)) for i in range(3)])
+    assert {f"d{i}": store.active(f"d{i}").count() for i in range(3)} == {"d0": 1, "d1": 2, "d2": 3}
+    assert store.log.version() == 3 and store.versions().count() == 3
+
+
+def test_calls_run_together_keep_their_order_and_their_error():
+    from ontoweave.functions.jobs import together
+
+    assert together([lambda i=i: i for i in range(9)]) == list(range(9)) and together([]) == []
+    done = []
+    with pytest.raises(ZeroDivisionError):
+        together([lambda: 1 // 0, lambda: done.append(1)])
+    assert done == [1]
